@@ -71,7 +71,7 @@ def clean_mime(c: Column) -> Column:
 
 
 # Private-use marker envelope and the kinds that are removed.
-MARKER_OPEN, MARKER_CLOSE, MARKER_SEPARATOR = "", "", ""
+MARKER_OPEN, MARKER_CLOSE, MARKER_SEPARATOR = "\ue200", "\ue201", "\ue202"
 MARKER_KINDS = ("cite", "navlist", "filecite")
 
 

@@ -264,16 +264,20 @@ def conversation_detail(archive: DataFrame, links: DataFrame, attachments: DataF
         )
         .withColumn("attachments", F.slice("attachments", 1, S.MAX_ATTACHMENTS))
     )
+    no_files = F.array().cast(files.schema["attachments"].dataType)
+    no_branches = F.array().cast(branches.schema["alternate_branches"].dataType)
     rows = (
         active_path(archive, links)
         .join(files, [key, "node_id"], "left")
         .join(branches, [key, "node_id"], "left")
+        .withColumn("attachments", F.coalesce("attachments", no_files))
+        .withColumn("alternate_branches", F.coalesce("alternate_branches", no_branches))
     )
     shown = renderable(
         F.col("message_id"),
         F.col("message_text"),
-        F.coalesce(F.size("attachments") > 0, F.lit(False)),
-        F.coalesce(F.size("alternate_branches") > 0, F.lit(False)),
+        F.size("attachments") > 0,
+        F.size("alternate_branches") > 0,
     )
     messages = (
         rows.where(shown)
@@ -283,8 +287,7 @@ def conversation_detail(archive: DataFrame, links: DataFrame, attachments: DataF
                 F.collect_list(
                     F.struct(
                         "position", "node_id", "role", "created_at", "content_type", "message_text",
-                        F.coalesce("attachments", F.slice("attachments", 1, 0)).alias("attachments"),
-                        "alternate_branches",
+                        "attachments", "alternate_branches",
                     )
                 )
             ).alias("messages")

@@ -139,23 +139,31 @@ def phrase_filter(index: DataFrame, words: list[str]) -> DataFrame:
 def snippet(body: Column, starts: Column) -> Column:
     """Eighteen words of the body around the hits.
 
-    ``starts`` holds ``(start, term_no)`` structs of the body hits.  The window that
-    covers the most different terms wins, the earliest one on a tie; without a body
-    hit it is the first words.
+    ``starts`` holds ``(start, term_no)`` structs of the body hits, in order.  The window
+    that covers the most different terms wins, the earliest one on a tie; without a body
+    hit it is the first words.  A window holds at most 18 words and 16 terms, so each
+    start looks at a bounded slice of the hits after it.
     """
     width = S.SNIPPET_TOKENS
+    reach = width * S.MAX_SEARCH_TERMS
+
+    def terms_in(hits: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(hits, lambda h: h["term_no"])))
 
     def render(words: Column) -> Column:
         n = F.size(words)
         last = F.greatest(n - width, F.lit(0))
 
-        def score(hit: Column) -> Column:
-            at = F.least(hit["start"], last)
-            inside = F.filter(starts, lambda h: h["start"].between(at, at + width - 1))
-            terms = F.size(F.array_distinct(F.transform(inside, lambda h: h["term_no"])))
-            return F.struct(terms.alias("terms"), (-at).alias("back"))
+        def score(hit: Column, i: Column) -> Column:
+            near = F.slice(starts, i + 1, F.lit(reach))
+            inside = F.filter(near, lambda h: h["start"] < hit["start"] + width)
+            return F.struct(terms_in(inside).alias("terms"), (-hit["start"]).alias("back"))
 
-        best = F.array_max(F.transform(starts, score))
+        # The windows of hits near the end all coincide with the last window.
+        head = F.transform(F.filter(starts, lambda h: h["start"] <= last), score)
+        tail = F.filter(starts, lambda h: h["start"] >= last)
+        tail_score = F.array(F.struct(terms_in(tail).alias("terms"), (-last).alias("back")))
+        best = F.array_max(F.concat(head, F.when(F.size(tail) > 0, tail_score).otherwise(F.slice(tail_score, 1, 0))))
         at = F.coalesce(-best["back"], F.lit(0))
         shown = F.regexp_replace(F.array_join(F.slice(words, at + 1, F.lit(width)), ""), r"[^\p{L}\p{N}]+\z", "")
         return F.concat(

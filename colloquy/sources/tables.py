@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from colloquy import schemas as S
 
-OPEN, CLOSE, SEP = "", "", ""
+OPEN, CLOSE, SEP = "\ue200", "\ue201", "\ue202"
 
 NO_MESSAGE = "(t = 0 AND c % 12 = 3)"
 ALIASED = "(c > 0 AND c % 31 = 0)"
