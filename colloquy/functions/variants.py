@@ -12,6 +12,21 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import byte_truncate, let
 
 
+def strict_json(c: Column) -> Column:
+    """Parsed value of a text that is exactly one JSON value, else null.
+
+    The plain parser ignores what follows the first value; inside an array with an end
+    mark nothing can follow unnoticed.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit(",null]")))
+
+    def only(a: Column) -> Column:
+        alone = F.is_variant_null(sub(a, "$[1]")) & sub(a, "$[2]").isNull()
+        return F.when(alone, sub(a, "$[0]"))
+
+    return let(wrapped, only)
+
+
 def sub(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 

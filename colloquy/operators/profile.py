@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy import schemas as S
 from colloquy.functions import variants as V
+from colloquy.operators.project import with_doc
 from colloquy.session import materialize
 
 # Known keys at each level, and the report's field names.
@@ -94,20 +94,13 @@ def _unknown(obj: Column, known: tuple[str, ...]) -> Column:
 
 
 def record_counters(records: DataFrame) -> DataFrame:
-    """Counters of each record.  Row-local; Python sees ids only, never text.
-
-    ``record`` is the text of one array element; a null one marks an element beyond
-    the size limit.
-    """
+    """Counters of each record.  Row-local; Python sees ids only, never text."""
     doc = F.col("doc")
     rows = (
-        records.withColumn("oversized", F.coalesce(F.octet_length("record") > S.MAX_RECORD_BYTES, F.lit(True)))
-        .withColumn("doc", F.when(~F.col("oversized"), F.try_parse_json("record")))
-        .drop("record")
-        .withColumn("top", V.object_at(doc, "$"))
-        .withColumn("mapping", V.object_at(doc, "$.mapping"))
-        .withColumn("entries", F.map_values("mapping"))
-        .withColumn("is_object", F.col("top").isNotNull())
+        with_doc(records)
+        .withColumnRenamed("too_large", "oversized")
+        .withColumns({"top": V.object_at(doc, "$"), "mapping": V.object_at(doc, "$.mapping")})
+        .withColumns({"entries": F.map_values("mapping"), "is_object": F.col("top").isNotNull()})
     )
     string_children = lambda n: F.array_compact(
         F.transform(V.array_at(n, "$.children"), lambda ch: V.string_at(ch, "$"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from colloquy import schemas as S
 from colloquy.functions import keys, text
 from colloquy.functions import variants as V
+from colloquy.session import sql_conf
 
 
 def renderable(message_id: Column, body: Column, has_attachments: Column, has_branches: Column) -> Column:
@@ -104,22 +105,35 @@ def _read_node(entry: Column) -> Column:
     )
 
 
+def with_doc(records: DataFrame) -> DataFrame:
+    """Adds the parsed ``doc`` and the record's size; drops the text.
+
+    A source that has parsed a record already passes ``doc``; one that found it too
+    large passes neither text nor value.  Of a repeated key the last value counts.
+    """
+    # The parser takes its rule for repeated keys when the plan is made.
+    with sql_conf(records.sparkSession, spark__sql__variant__allowDuplicateKeys="true"):
+        size = F.octet_length("record").cast("bigint")
+        parsed = F.when(size <= S.MAX_RECORD_BYTES, V.strict_json(F.col("record")))
+        if "doc" in records.columns:
+            parsed = F.coalesce("doc", parsed)
+        too_large = parsed.isNull() & F.coalesce(size > S.MAX_RECORD_BYTES, F.lit(True))
+        if "doc" not in records.columns:
+            too_large = F.coalesce(size > S.MAX_RECORD_BYTES, F.lit(True))
+        staged = records.withColumns({"record_bytes": size, "too_large": too_large, "doc": parsed})
+        return staged.drop("record")
+
+
 def parse_records(records: DataFrame) -> DataFrame:
-    """``record`` text to a parsed value with a reason for each refused record."""
-    doc = F.try_parse_json("record")
-    mapping = V.object_at(F.col("doc"), "$.mapping")
-    parsed = (
-        records.withColumn("record_bytes", F.octet_length("record").cast("bigint"))
-        .withColumn("doc", F.when(F.col("record_bytes") <= S.MAX_RECORD_BYTES, doc))
-        .withColumn("mapping", mapping)
-    )
+    """Parsed records with a reason for each refused one."""
+    parsed = with_doc(records).withColumn("mapping", V.object_at(F.col("doc"), "$.mapping"))
     reason = (
-        F.when(F.col("record_bytes") > S.MAX_RECORD_BYTES, "RECORD_TOO_LARGE")
+        F.when(F.col("too_large"), "RECORD_TOO_LARGE")
         .when(F.col("doc").isNull(), "MALFORMED_RECORD")
         .when(F.col("mapping").isNull(), "UNSUPPORTED_RECORD")
         .when(F.size("mapping") > S.MAX_NODES, "RESOURCE_LIMIT")
     )
-    return parsed.withColumn("reason", reason).drop("record")
+    return parsed.withColumn("reason", reason).drop("too_large")
 
 
 def project_records(records: DataFrame) -> DataFrame:
@@ -129,25 +143,20 @@ def project_records(records: DataFrame) -> DataFrame:
     """
     doc = F.col("doc")
     base = parse_records(records)
-    read = (
-        base.withColumn("usable", F.when(F.col("reason").isNull(), F.map_entries("mapping")))
-        .withColumn("all_nodes", F.transform("usable", _read_node))
-        .withColumn(
-            "conversation_key",
-            keys.conversation_key(
-                F.col("shard_name"),
-                F.col("shard_ordinal"),
-                V.first_string(doc, "$", ("id", "conversation_id"), S.MAX_ID_BYTES),
-            ),
-        )
-        .withColumn("raw_current", text.byte_truncate(V.string_at(doc, "$.current_node"), S.MAX_ID_BYTES))
-        .withColumn("header_title", text.clean_title(V.string_at(doc, "$.title")))
-        .withColumn("created_at", V.number_at(doc, "$.create_time"))
-        .withColumn("updated_at", V.number_at(doc, "$.update_time"))
-        .withColumn("archived", V.first_bool(doc, "$", ("is_archived", "archived")))
-        .withColumn("starred", V.first_bool(doc, "$", ("is_starred", "starred")))
-        .drop("doc", "mapping", "usable")
-    )
+    source_id = V.first_string(doc, "$", ("id", "conversation_id"), S.MAX_ID_BYTES)
+    usable = F.when(F.col("reason").isNull(), F.map_entries("mapping"))
+    read = base.withColumns(
+        {
+            "all_nodes": F.transform(usable, _read_node),
+            "conversation_key": keys.conversation_key(F.col("shard_name"), F.col("shard_ordinal"), source_id),
+            "raw_current": text.byte_truncate(V.string_at(doc, "$.current_node"), S.MAX_ID_BYTES),
+            "header_title": text.clean_title(V.string_at(doc, "$.title")),
+            "created_at": V.number_at(doc, "$.create_time"),
+            "updated_at": V.number_at(doc, "$.update_time"),
+            "archived": V.first_bool(doc, "$", ("is_archived", "archived")),
+            "starred": V.first_bool(doc, "$", ("is_starred", "starred")),
+        }
+    ).drop("doc", "mapping")
     return _resolve(read)
 
 

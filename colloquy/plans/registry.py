@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.plans import archive_oracle, archive_queries
+from colloquy.plans import archive_oracle, archive_queries, table_oracle, table_queries
 
-_QUERIES = (archive_queries,)
-_ORACLES = (archive_oracle,)
+_QUERIES = (archive_queries, table_queries)
+_ORACLES = (archive_oracle, table_oracle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
