@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import byte_truncate, let
 
 
+NUMERIC = "^(?:BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+
 def strict_json(c: Column) -> Column:
     """Parsed value of a text that is exactly one JSON value, else null.
 
@@ -39,17 +42,6 @@ def string_at(v: Column, path: str) -> Column:
     return let(sub(v, path), lambda x: F.when(kind(x) == "STRING", x.cast("string")))
 
 
-def bool_at(v: Column, path: str) -> Column:
-    return let(sub(v, path), lambda x: F.when(kind(x) == "BOOLEAN", x.cast("boolean")))
-
-
-def number_at(v: Column, path: str) -> Column:
-    """A finite JSON number as a double."""
-    numeric = "^(?:BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
-    value = let(sub(v, path), lambda x: F.when(kind(x).rlike(numeric), x.cast("double")))
-    return let(value, lambda x: F.when(F.abs(x) < float("inf"), x))
-
-
 def object_at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "map<string,variant>")
 
@@ -58,13 +50,29 @@ def array_at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "array<variant>")
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
+def shaped(v: Column, shape: str) -> Column:
+    """The named fields of an object in one pass; null when ``v`` is not an object.
+
+    A field that is absent, or whose value does not fit its type, is null by itself.
+    """
+    return F.try_variant_get(v, "$", shape)
+
+
+def text_of(v: Column) -> Column:
+    """The text of a string value."""
+    return F.when(kind(v) == "STRING", v.cast("string"))
 
 
-def first_string(v: Column, base: str, keys: tuple[str, ...], max_bytes: int) -> Column:
-    return byte_truncate(F.coalesce(*[string_at(v, f"{base}.{key}") for key in keys]), max_bytes)
+def first_text(values: list[Column], max_bytes: int) -> Column:
+    """The first value that is a string, cut to a number of bytes."""
+    return byte_truncate(F.coalesce(*[text_of(v) for v in values]), max_bytes)
 
 
-def first_bool(v: Column, base: str, keys: tuple[str, ...]) -> Column:
-    return F.coalesce(*[bool_at(v, f"{base}.{key}") for key in keys])
+def first_flag(values: list[Column]) -> Column:
+    return F.coalesce(*[F.when(kind(v) == "BOOLEAN", v.cast("boolean")) for v in values])
+
+
+def number_of(v: Column) -> Column:
+    """A finite JSON number as a double."""
+    value = F.when(kind(v).rlike(NUMERIC), v.cast("double"))
+    return let(value, lambda x: F.when(F.abs(x) < float("inf"), x))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from colloquy import schemas as S
 from colloquy.functions import keys, text
 from colloquy.functions import variants as V
+from colloquy.functions.text import let
 from colloquy.session import sql_conf
 
 
@@ -27,82 +28,120 @@ def renderable(message_id: Column, body: Column, has_attachments: Column, has_br
     return ~text.is_blank(body) | has_attachments | (message_id.isNotNull() & has_branches)
 
 
+# The fields that are read, by the shape they must have.  Scalars stay variants, because
+# their type decides whether they count.
+CONTENT = "struct<content_type: variant, parts: array<variant>, text: variant, content: variant>"
+PART = "struct<text: variant, content: variant>"
+FILE = (
+    "struct<file_id: variant, asset_pointer: variant, file_name: variant, filename: variant, id: variant, "
+    "name: variant, title: variant, mime_type: variant, content_type: variant>"
+)
+MESSAGE = (
+    "struct<id: variant, create_time: variant, author: struct<role: variant>, content: variant, "
+    "metadata: struct<attachments: array<variant>>>"
+)
+NODE = f"struct<id: variant, parent: variant, children: array<variant>, message: {MESSAGE}>"
+RECORD = (
+    "struct<id: variant, conversation_id: variant, title: variant, create_time: variant, update_time: variant, "
+    "is_archived: variant, archived: variant, is_starred: variant, starred: variant, current_node: variant, "
+    f"mapping: map<string, {NODE}>>"
+)
+
+
 def _part_text(part: Column) -> Column:
-    return F.coalesce(
-        V.string_at(part, "$"), V.first_string(part, "$", ("text", "content"), S.MAX_TEXT_BYTES)
-    )
+    def of_object(v: Column) -> Column:
+        shape = V.shaped(v, PART)
+        return let(shape, lambda o: V.first_text([o["text"], o["content"]], S.MAX_TEXT_BYTES))
 
+    return F.coalesce(V.text_of(part), of_object(part))
 
-def message_parts(node: Column) -> Column:
-    """The non-null text pieces of a message, in order."""
-    parts = V.array_at(node, "$.message.content.parts")
-    from_parts = F.filter(F.transform(parts, _part_text), lambda t: t.isNotNull())
-    whole = F.coalesce(
-        V.string_at(node, "$.message.content"),
-        V.first_string(node, "$.message.content", ("text", "content"), S.MAX_TEXT_BYTES),
+
+def message_parts(content: Column, shape: Column) -> Column:
+    """The non-null text pieces of a message, in order.
+
+    ``shape`` is the content read as an object, null when it is a plain string.
+    """
+    from_parts = F.filter(F.transform(shape["parts"], _part_text), lambda t: t.isNotNull())
+    whole = F.when(shape.isNull(), V.text_of(content)).otherwise(
+        V.first_text([shape["text"], shape["content"]], S.MAX_TEXT_BYTES)
     )
-    single = F.when(whole.isNotNull(), F.array(whole)).otherwise(F.array().cast("array<string>"))
-    return F.when(parts.isNotNull(), from_parts).otherwise(single)
+    return F.when(shape["parts"].isNotNull(), from_parts).otherwise(F.array_compact(F.array(whole)))
 
 
 def join_parts(parts: Column) -> Column:
     """Join with line feeds; a separator is added only after non-empty output."""
-    return F.aggregate(
+    joined = F.aggregate(
         parts, F.lit(""), lambda acc, t: F.when(acc == "", t).otherwise(F.concat(acc, F.lit("\n"), t))
     )
+    return F.when(F.size(parts) == 1, F.get(parts, F.lit(0))).otherwise(joined)
 
 
 def _candidate(item: Column, from_metadata: bool) -> Column:
-    explicit = V.first_string(item, "$", ("file_id", "asset_pointer", "file_name", "filename"), S.MAX_ID_BYTES)
-    listed = V.first_string(item, "$", ("id", "name", "title"), S.MAX_ID_BYTES)
-    name = V.first_string(item, "$", ("name", "file_name", "filename", "title"), S.MAX_FILENAME_BYTES)
-    mime = V.first_string(item, "$", ("mime_type",), S.MAX_MIME_BYTES)
-    named = name.isNotNull() & (F.lit(from_metadata) | mime.isNotNull())
-    reference = F.coalesce(explicit, listed) if from_metadata else explicit
-    return F.when(
-        explicit.isNotNull() | named,
-        F.struct(
-            reference.alias("reference"),
-            text.clean_display_name(F.coalesce(name, F.lit("Attachment"))).alias("display_name"),
-            text.clean_mime(
-                F.coalesce(mime, V.first_string(item, "$", ("content_type",), S.MAX_MIME_BYTES))
-            ).alias("claimed_mime"),
-        ),
-    )
+    def read(o: Column) -> Column:
+        explicit = V.first_text(
+            [o["file_id"], o["asset_pointer"], o["file_name"], o["filename"]], S.MAX_ID_BYTES
+        )
+        name = V.first_text([o["name"], o["file_name"], o["filename"], o["title"]], S.MAX_FILENAME_BYTES)
+        listed = V.first_text([o["id"], o["name"], o["title"]], S.MAX_ID_BYTES)
+        mime = V.first_text([o["mime_type"]], S.MAX_MIME_BYTES)
+        other = V.first_text([o["content_type"]], S.MAX_MIME_BYTES)
+        return F.struct(
+            explicit.alias("explicit"),
+            (F.coalesce(explicit, listed) if from_metadata else explicit).alias("reference"),
+            name.alias("name"),
+            mime.alias("mime"),
+            F.coalesce(mime, other).alias("claimed"),
+        )
+
+    def accept(c: Column) -> Column:
+        named = c["name"].isNotNull() & (F.lit(from_metadata) | c["mime"].isNotNull())
+        return F.when(
+            c["explicit"].isNotNull() | named,
+            F.struct(
+                c["reference"].alias("reference"),
+                text.clean_display_name(F.coalesce(c["name"], F.lit("Attachment"))).alias("display_name"),
+                text.clean_mime(c["claimed"]).alias("claimed_mime"),
+            ),
+        )
+
+    return let(V.shaped(item, FILE), lambda o: F.when(o.isNotNull(), let(read(o), accept)))
 
 
-def attachment_candidates(node: Column) -> Column:
+def attachment_candidates(listed: Column, parts: Column) -> Column:
     """References from the metadata list, then from the content parts."""
 
-    def pick(path: str, from_metadata: bool) -> Column:
-        items = F.coalesce(V.array_at(node, path), F.array().cast("array<variant>"))
-        found = F.transform(items, lambda item: _candidate(item, from_metadata))
+    def pick(items: Column, from_metadata: bool) -> Column:
+        known = F.coalesce(items, F.array().cast("array<variant>"))
+        found = F.transform(known, lambda item: _candidate(item, from_metadata))
         return F.filter(found, lambda item: item.isNotNull())
 
-    return F.concat(
-        pick("$.message.metadata.attachments", True), pick("$.message.content.parts", False)
-    )
+    return F.concat(pick(listed, True), pick(parts, False))
 
 
 def _read_node(entry: Column) -> Column:
-    key, node = entry["key"], entry["value"]
-    cut_key = text.byte_truncate(key, S.MAX_ID_BYTES)
-    return F.struct(
-        cut_key.alias("map_key"),
-        V.is_object(node).alias("is_object"),
-        F.coalesce(V.first_string(node, "$", ("id",), S.MAX_ID_BYTES), cut_key).alias("raw_id"),
-        V.first_string(node, "$", ("parent",), S.MAX_ID_BYTES).alias("parent"),
-        F.coalesce(V.array_at(node, "$.children"), F.array().cast("array<variant>")).alias("children"),
-        V.first_string(node, "$.message", ("id",), S.MAX_ID_BYTES).alias("message"),
-        text.normalize_role(V.string_at(node, "$.message.author.role")).alias("role"),
-        V.number_at(node, "$.message.create_time").alias("created_at"),
-        F.coalesce(
-            text.byte_truncate(V.string_at(node, "$.message.content.content_type"), S.MAX_CONTENT_TYPE_BYTES),
-            F.lit("text"),
-        ).alias("content_type"),
-        join_parts(message_parts(node)).alias("joined"),
-        attachment_candidates(node).alias("candidates"),
-    )
+    node = entry["value"]
+    message = node["message"]
+    cut_key = text.byte_truncate(entry["key"], S.MAX_ID_BYTES)
+
+    def with_content(shape: Column) -> Column:
+        kind = text.byte_truncate(V.text_of(shape["content_type"]), S.MAX_CONTENT_TYPE_BYTES)
+        return F.struct(
+            cut_key.alias("map_key"),
+            node.isNotNull().alias("is_object"),
+            F.coalesce(V.first_text([node["id"]], S.MAX_ID_BYTES), cut_key).alias("raw_id"),
+            V.first_text([node["parent"]], S.MAX_ID_BYTES).alias("parent"),
+            F.transform(
+                F.coalesce(node["children"], F.array().cast("array<variant>")), V.text_of
+            ).alias("children"),
+            V.first_text([message["id"]], S.MAX_ID_BYTES).alias("message"),
+            text.normalize_role(V.text_of(message["author"]["role"])).alias("role"),
+            V.number_of(message["create_time"]).alias("created_at"),
+            F.coalesce(kind, F.lit("text")).alias("content_type"),
+            let(message_parts(message["content"], shape), join_parts).alias("joined"),
+            attachment_candidates(message["metadata"]["attachments"], shape["parts"]).alias("candidates"),
+        )
+
+    return let(V.shaped(message["content"], CONTENT), with_content)
 
 
 def with_doc(records: DataFrame) -> DataFrame:
@@ -126,14 +165,17 @@ def with_doc(records: DataFrame) -> DataFrame:
 
 def parse_records(records: DataFrame) -> DataFrame:
     """Parsed records with a reason for each refused one."""
-    parsed = with_doc(records).withColumn("mapping", V.object_at(F.col("doc"), "$.mapping"))
+    parsed = with_doc(records)
+    parsed = parsed.withColumns(
+        {"malformed": F.col("doc").isNull(), "r": V.shaped(F.col("doc"), RECORD)}
+    ).drop("doc")
     reason = (
         F.when(F.col("too_large"), "RECORD_TOO_LARGE")
-        .when(F.col("doc").isNull(), "MALFORMED_RECORD")
-        .when(F.col("mapping").isNull(), "UNSUPPORTED_RECORD")
-        .when(F.size("mapping") > S.MAX_NODES, "RESOURCE_LIMIT")
+        .when(F.col("malformed"), "MALFORMED_RECORD")
+        .when(F.col("r.mapping").isNull(), "UNSUPPORTED_RECORD")
+        .when(F.size("r.mapping") > S.MAX_NODES, "RESOURCE_LIMIT")
     )
-    return parsed.withColumn("reason", reason).drop("too_large")
+    return parsed.withColumn("reason", reason).drop("too_large", "malformed")
 
 
 def project_records(records: DataFrame) -> DataFrame:
@@ -141,46 +183,38 @@ def project_records(records: DataFrame) -> DataFrame:
 
     A refused record keeps its row with ``reason`` set and no nodes.
     """
-    doc = F.col("doc")
-    base = parse_records(records)
-    source_id = V.first_string(doc, "$", ("id", "conversation_id"), S.MAX_ID_BYTES)
-    usable = F.when(F.col("reason").isNull(), F.map_entries("mapping"))
+    base, r = parse_records(records), F.col("r")
+    source_id = V.first_text([r["id"], r["conversation_id"]], S.MAX_ID_BYTES)
+    usable = F.when(F.col("reason").isNull(), F.map_entries(r["mapping"]))
     read = base.withColumns(
         {
             "all_nodes": F.transform(usable, _read_node),
             "conversation_key": keys.conversation_key(F.col("shard_name"), F.col("shard_ordinal"), source_id),
-            "raw_current": text.byte_truncate(V.string_at(doc, "$.current_node"), S.MAX_ID_BYTES),
-            "header_title": text.clean_title(V.string_at(doc, "$.title")),
-            "created_at": V.number_at(doc, "$.create_time"),
-            "updated_at": V.number_at(doc, "$.update_time"),
-            "archived": V.first_bool(doc, "$", ("is_archived", "archived")),
-            "starred": V.first_bool(doc, "$", ("is_starred", "starred")),
+            "raw_current": V.first_text([r["current_node"]], S.MAX_ID_BYTES),
+            "header_title": text.clean_title(V.text_of(r["title"])),
+            "created_at": V.number_of(r["create_time"]),
+            "updated_at": V.number_of(r["update_time"]),
+            "archived": V.first_flag([r["is_archived"], r["archived"]]),
+            "starred": V.first_flag([r["is_starred"], r["starred"]]),
         }
-    ).drop("doc", "mapping")
+    ).drop("r")
     return _resolve(read)
 
 
 def _resolve(read: DataFrame) -> DataFrame:
     """Resolve parent, child and current references inside the record."""
-    raw_child = lambda ch: V.string_at(ch, "$")
     staged = (
         read.withColumn("nodes0", F.filter("all_nodes", lambda n: n["is_object"]))
-        .withColumn("ids", F.transform("nodes0", lambda n: n["raw_id"]))
-        .withColumn("map_keys", F.transform("all_nodes", lambda n: n["map_key"]))
-        .withColumn(
-            "child_refs",
-            F.transform("nodes0", lambda n: F.transform(n["children"], raw_child)),
-        )
-        .withColumn("known", F.array_union("ids", "map_keys"))
+        .withColumns({"ids": F.col("nodes0.raw_id"), "map_keys": F.col("all_nodes.map_key")})
         .withColumn(
             "unknown",
             F.array_compact(
                 F.array_except(
                     F.array_union(
-                        F.transform("nodes0", lambda n: n["parent"]),
-                        F.array_append(F.flatten("child_refs"), F.col("raw_current")),
+                        F.col("nodes0.parent"),
+                        F.array_append(F.flatten("nodes0.children"), F.col("raw_current")),
                     ),
-                    F.col("known"),
+                    F.array_union("ids", "map_keys"),
                 )
             ),
         )
@@ -221,7 +255,7 @@ def _resolve(read: DataFrame) -> DataFrame:
     def finish(n: Column, position: Column) -> Column:
         attachments = F.array_distinct(n["candidates"])
         message_id = keys.message_key(F.col("conversation_key"), n["message"])
-        refs = F.element_at(F.col("child_refs"), position + 1)
+        refs = n["children"]
         lost = F.size(F.filter(refs, lambda r: F.array_contains(F.col("unknown"), r)))
         invalid = F.size(F.filter(refs, lambda r: r.isNull()))
         return F.struct(
