@@ -8,12 +8,14 @@ and decides almost every text.
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import ascii_lower
+from colloquy.functions.text import ascii_lower, let
 
 _W = "A-Za-z0-9_"
 START = f"(?<![{_W}])(?=[{_W}])"
@@ -22,9 +24,11 @@ EDGE = f"(?:{START}|{END})"
 SPACE = r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _S_SET = SPACE[1:-1]
 
-# Fixed values: (rule, literals of which one must occur, pattern, ignore case).
-SECRET_RULES = (
-    ("SECRET_PRIVATE_KEY", ("PRIVATE KEY-----",), "-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----", False),
+# Fixed values: (rule, literals of which one must occur, pattern, ignore case).  A match of
+# a token rule is one run of at least fifteen token characters.
+# Single characters instead of ranges make a lookup table in the regex engine.
+TOKEN_RUN = f"[{string.ascii_letters}{string.digits}_.-]{{15,}}"
+TOKEN_RULES = (
     ("SECRET_AWS_ACCESS_KEY", ("AKIA",), f"{EDGE}AKIA[0-9A-Z]{{16}}{EDGE}", False),
     ("SECRET_GITHUB_TOKEN", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), f"{EDGE}gh[pousr]_[A-Za-z0-9]{{30,255}}{EDGE}", False),
     ("SECRET_GITHUB_FINE_GRAINED_TOKEN", ("github_pat_",), f"{EDGE}github_pat_[A-Za-z0-9_]{{40,255}}{EDGE}", False),
@@ -37,6 +41,9 @@ SECRET_RULES = (
     ("SECRET_SLACK_TOKEN", ("xox",), f"{EDGE}xox[baprs]-[A-Za-z0-9-]{{10,255}}{EDGE}", False),
     ("SECRET_STRIPE_LIVE_KEY", ("sk_live_",), f"{EDGE}sk_live_[A-Za-z0-9]{{16,255}}{EDGE}", False),
     ("SECRET_JWT", ("eyJ",), rf"{EDGE}eyJ[A-Za-z0-9_-]{{5,}}\.[A-Za-z0-9_-]{{5,}}\.[A-Za-z0-9_-]{{5,}}{EDGE}", False),
+)
+SECRET_RULES = (
+    ("SECRET_PRIVATE_KEY", ("PRIVATE KEY-----",), "-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----", False),
     ("SECRET_BEARER_TOKEN", ("bearer",), f"{EDGE}Bearer{SPACE}+[A-Za-z0-9._~+/=-]{{20,255}}{EDGE}", True),
     (
         "SECRET_ASSIGNED_CREDENTIAL",
@@ -66,9 +73,8 @@ PHONE = (
     rf"[{_S_SET}.-][0-9]{{3}}[{_S_SET}.-][0-9]{{4}}{EDGE}"
 )
 GOVERNMENT_ID = f"{EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{EDGE}"
-# What every match of the two contains; without look-around these run much faster.
-PHONE_CORE = rf"[0-9]{{3}}[{_S_SET}.-][0-9]{{4}}"
-GOVERNMENT_ID_CORE = "[0-9]{3}-[0-9]{2}-[0-9]{4}"
+# What every match of the two contains; without look-around it runs much faster.
+NUMBER_CORE = rf"[0-9]{{3}}[{_S_SET}.-][0-9]{{2}}"
 # Mail domains and addresses that stand for nobody.
 RESERVED_DOMAINS = ("example.com", "example.org", "example.net", "example", "test", "invalid", "localhost")
 RESERVED_HOSTS = ("users.noreply.github.com",)
@@ -76,10 +82,10 @@ RESERVED_ADDRESSES = ("noreply@github.com", "support@github.com")
 
 _NAME = rf"[^/{_S_SET}\"'<>]+"
 HOME_PATHS = (
-    ("/Users/", f"/Users/{_NAME}/"),
-    ("/home/", f"/home/{_NAME}/"),
-    ("/root/", "/root/"),
-    ("Users", rf"(?i)[A-Za-z]:[\\/]+Users[\\/]+[^\\/{_S_SET}\"'<>]+[\\/]"),
+    (("/Users/",), f"/Users/{_NAME}/"),
+    (("/home/",), f"/home/{_NAME}/"),
+    (("/root/",), "/root/"),
+    ((":\\", ":/"), rf"(?i)[A-Za-z]:[\\/]+Users[\\/]+[^\\/{_S_SET}\"'<>]+[\\/]"),
 )
 
 
@@ -96,20 +102,40 @@ def _reserved(email: Column) -> Column:
     return ends | domain.isin(*RESERVED_HOSTS) | low.isin(*RESERVED_ADDRESSES)
 
 
-def content_tests(c: Column) -> list[tuple[str, Column]]:
-    """(rule, test) pairs of the content rules."""
-    tests = []
-    home = [(c.contains(literal) if literal != "Users" else c.rlike("(?i)users")) & c.rlike(p) for literal, p in HOME_PATHS]
-    tests.append(("PII_ABSOLUTE_HOME_PATH", reduce(lambda a, b: a | b, home)))
+def _shared(c: Column) -> Column:
+    """What several tests need: the text, in lower case, its token runs, and whether it
+    holds the core of a phone-like number.
+
+    The characters around a run are no word characters, and neither is the blank that
+    joins the runs, so the token rules find the same in the few runs as in the text.
+    """
+    return F.struct(
+        c.alias("text"),
+        F.lower(c).alias("low"),
+        F.array_join(F.regexp_extract_all(c, F.lit(TOKEN_RUN), F.lit(0)), " ").alias("runs"),
+        c.rlike(NUMBER_CORE).alias("numbers"),
+    )
+
+
+def content_tests(s: Column) -> list[tuple[str, Column]]:
+    """(rule, test) pairs of the content rules over a struct of ``_shared``."""
+    c, low, runs = s["text"], s["low"], s["runs"]
+    home = [_any_of(c, literals) & c.rlike(p) for literals, p in HOME_PATHS]
     found = F.regexp_extract_all(c, F.lit(EMAIL), F.lit(0))
     open_mail = F.exists(found, lambda m: ~_reserved(m) & ~m.rlike(DENSITY_ASSET))
-    tests.append(("PII_NON_RESERVED_EMAIL", c.contains("@") & open_mail))
-    tests.append(("PII_PHONE_LIKE", c.rlike(PHONE_CORE) & c.rlike(PHONE)))
-    tests.append(("PII_GOVERNMENT_ID_LIKE", c.rlike(GOVERNMENT_ID_CORE) & c.rlike(GOVERNMENT_ID)))
-    low = F.lower(c)
+    tests = [
+        ("PII_ABSOLUTE_HOME_PATH", (c.contains("/") | c.contains("\\")) & reduce(lambda a, b: a | b, home)),
+        ("PII_NON_RESERVED_EMAIL", c.contains("@") & open_mail),
+        ("PII_PHONE_LIKE", s["numbers"] & c.rlike(PHONE)),
+        ("PII_GOVERNMENT_ID_LIKE", s["numbers"] & c.rlike(GOVERNMENT_ID)),
+    ]
+    for rule, literals, pattern, _ in TOKEN_RULES:
+        tests.append((rule, _any_of(runs, literals) & runs.rlike(pattern)))
     for rule, literals, pattern, ignore_case in SECRET_RULES:
-        text = low if ignore_case else c
-        tests.append((rule, _any_of(text, literals) & c.rlike(("(?i)" if ignore_case else "") + pattern)))
+        test = _any_of(low if ignore_case else c, literals) & c.rlike(("(?i)" if ignore_case else "") + pattern)
+        if rule == "SECRET_ASSIGNED_CREDENTIAL":
+            test = (c.contains('"') | c.contains("'")) & test
+        tests.append((rule, test))
     return tests
 
 
@@ -117,9 +143,9 @@ def rules_hit(tests: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in tests]))
 
 
-def content_rules(c: Column) -> Column:
+def content_rules(c: Column, only: Callable[[str], bool] = lambda rule: True) -> Column:
     """Rules that a text breaks, as an array."""
-    return rules_hit(content_tests(c))
+    return let(_shared(c), lambda s: rules_hit([t for t in content_tests(s) if only(t[0])]))
 
 
 # Patterns of file and directory names that must not be published.
@@ -153,5 +179,5 @@ def path_rules(path: Column, context: Column, is_directory: Column) -> Column:
         ("PROHIBITED_PRIVATE_DATA_DIRECTORY", F.exists(folders, lambda s: s.rlike(PRIVATE_DIRECTORY))),
         ("PRODUCTION_SOURCE_MAP", (context == "build") & low.endswith(".map")),
     ]
-    content = [(f"PATH_{rule}", test) for rule, test in content_tests(path)]
-    return rules_hit(content + own)
+    in_path = F.transform(content_rules(path), lambda rule: F.concat(F.lit("PATH_"), rule))
+    return F.concat(in_path, rules_hit(own))

@@ -14,6 +14,8 @@ from reading message text.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,51 +185,50 @@ def project_records(records: DataFrame) -> DataFrame:
 
     A refused record keeps its row with ``reason`` set and no nodes.
     """
-    base, r = parse_records(records), F.col("r")
+    steps, columns = _projection(records.sparkSession.sparkContext.applicationId)
+    table = parse_records(records)
+    for step in steps:
+        table = table.withColumns(step)
+    return table.select(*columns)
+
+
+@cache
+def _projection(application: str) -> tuple[list[dict[str, Column]], list[Column]]:
+    """The steps of the projection, each by name, and the final columns.
+
+    They only name columns, so an application makes them once and uses them on any
+    records.
+    """
+    r = F.col("r")
     source_id = V.first_text([r["id"], r["conversation_id"]], S.MAX_ID_BYTES)
     usable = F.when(F.col("reason").isNull(), F.map_entries(r["mapping"]))
-    read = base.withColumns(
-        {
-            "all_nodes": F.transform(usable, _read_node),
-            "conversation_key": keys.conversation_key(F.col("shard_name"), F.col("shard_ordinal"), source_id),
-            "raw_current": V.first_text([r["current_node"]], S.MAX_ID_BYTES),
-            "header_title": text.clean_title(V.text_of(r["title"])),
-            "created_at": V.number_of(r["create_time"]),
-            "updated_at": V.number_of(r["update_time"]),
-            "archived": V.first_flag([r["is_archived"], r["archived"]]),
-            "starred": V.first_flag([r["is_starred"], r["starred"]]),
-        }
-    ).drop("r")
-    return _resolve(read)
-
-
-def _resolve(read: DataFrame) -> DataFrame:
-    """Resolve parent, child and current references inside the record."""
-    staged = (
-        read.withColumn("nodes0", F.filter("all_nodes", lambda n: n["is_object"]))
-        .withColumns({"ids": F.col("nodes0.raw_id"), "map_keys": F.col("all_nodes.map_key")})
-        .withColumn(
-            "unknown",
-            F.array_compact(
-                F.array_except(
-                    F.array_union(
-                        F.col("nodes0.parent"),
-                        F.array_append(F.flatten("nodes0.children"), F.col("raw_current")),
-                    ),
-                    F.array_union("ids", "map_keys"),
-                )
-            ),
-        )
+    read = {
+        "all_nodes": F.transform(usable, _read_node),
+        "conversation_key": keys.conversation_key(F.col("shard_name"), F.col("shard_ordinal"), source_id),
+        "raw_current": V.first_text([r["current_node"]], S.MAX_ID_BYTES),
+        "header_title": text.clean_title(V.text_of(r["title"])),
+        "created_at": V.number_of(r["create_time"]),
+        "updated_at": V.number_of(r["update_time"]),
+        "archived": V.first_flag([r["is_archived"], r["archived"]]),
+        "starred": V.first_flag([r["is_starred"], r["starred"]]),
+    }
+    lists = {
+        "nodes0": F.filter("all_nodes", lambda n: n["is_object"]),
+        "map_keys": F.col("all_nodes.map_key"),
+    }
+    refs = F.array_union(
+        F.col("nodes0.parent"), F.array_append(F.flatten("nodes0.children"), F.col("raw_current"))
+    )
+    references = {
+        "ids": F.col("nodes0.raw_id"),
+        "unknown": F.array_compact(F.array_except(refs, F.array_union(F.col("nodes0.raw_id"), F.col("map_keys")))),
         # A map key that differs from the node's own id is an alias of that id.
-        .withColumn("alias_only", F.array_except("map_keys", "ids"))
-        .withColumn(
-            "alias",
-            F.map_from_entries(
-                F.transform(
-                    F.filter("nodes0", lambda n: F.array_contains(F.col("alias_only"), n["map_key"])),
-                    lambda n: F.struct(n["map_key"], n["raw_id"]),
-                )
-            ),
+        "alias_only": F.array_except(F.col("map_keys"), F.col("nodes0.raw_id")),
+    }
+    alias = F.map_from_entries(
+        F.transform(
+            F.filter("nodes0", lambda n: F.array_contains(F.col("alias_only"), n["map_key"])),
+            lambda n: F.struct(n["map_key"], n["raw_id"]),
         )
     )
 
@@ -244,13 +245,13 @@ def _resolve(read: DataFrame) -> DataFrame:
         )
     )
     duplicate = F.size(F.array_distinct("ids")) < F.size("ids")
-    staged = staged.withColumn(
-        "reason",
-        F.coalesce(
+    judged = {
+        "alias": alias,
+        "reason": F.coalesce(
             F.col("reason"),
             F.when(limited, F.lit("RESOURCE_LIMIT")).when(duplicate, F.lit("DUPLICATE_NODE_ID")),
         ),
-    ).withColumn("nodes0", F.when(F.col("reason").isNull(), F.col("nodes0")))
+    }
 
     def finish(n: Column, position: Column) -> Column:
         attachments = F.array_distinct(n["candidates"])
@@ -288,23 +289,16 @@ def _resolve(read: DataFrame) -> DataFrame:
         ),
         lambda n: F.struct(n["created_at"].alias("created_at"), n["node_id"].alias("node_id")),
     )
-    resolved = (
-        staged.withColumn("nodes1", F.transform("nodes0", finish))
-        .withColumn("nodes", F.transform("nodes1", mark))
-        .withColumn("resolved_current", current)
-        .withColumn(
-            "leaf_ids",
-            F.when(
-                F.col("resolved_current").isNull(),
-                F.array_except(
-                    F.transform("nodes", lambda n: n["node_id"]),
-                    F.transform("nodes", lambda n: n["parent_node_id"]),
-                ),
-            ),
-        )
-        # Null times sort lowest, then the larger key wins.
-        .withColumn("fallback", F.array_max(ranked)["node_id"])
-    )
+    shaped = {
+        "nodes1": F.transform(F.when(F.col("reason").isNull(), F.col("nodes0")), finish),
+        "resolved_current": current,
+    }
+    marked = {"nodes": F.transform("nodes1", mark)}
+    # A node that no parent reference names; needed only without a current node.
+    leaves = F.array_except(F.col("nodes.node_id"), F.col("nodes.parent_node_id"))
+    leaf_ids = {"leaf_ids": F.when(F.col("resolved_current").isNull(), leaves)}
+    # Null times sort lowest, then the larger key wins.
+    fallback = {"fallback": F.array_max(ranked)["node_id"]}
 
     def total(field: str) -> Column:
         return F.aggregate("nodes", F.lit(0).cast("bigint"), lambda acc, n: acc + n[field].cast("bigint"))
@@ -328,11 +322,11 @@ def _resolve(read: DataFrame) -> DataFrame:
         lambda d: d["occurrence_count"] > 0,
     )
     ok = F.col("reason").isNull()
-    return resolved.select(
-        "shard_name",
+    columns = [
+        F.col("shard_name"),
         F.col("shard_ordinal").cast("bigint").alias("shard_ordinal"),
-        "record_bytes",
-        "reason",
+        F.col("record_bytes"),
+        F.col("reason"),
         F.when(ok, F.col("conversation_key")).alias("conversation_key"),
         F.when(ok, F.col("header_title")).alias("title"),
         F.when(ok, F.col("created_at")).alias("created_at"),
@@ -348,7 +342,8 @@ def _resolve(read: DataFrame) -> DataFrame:
             "nodes",
             lambda n: n.dropFields("missing_parent", "invalid_children", "missing_children", "n_children"),
         ).alias("nodes"),
-    )
+    ]
+    return [read, lists, references, judged, shaped, marked, leaf_ids, fallback], columns
 
 
 # ---------------------------------------------------------------- table views
@@ -408,7 +403,8 @@ def search_documents(archive: DataFrame) -> DataFrame:
 
 
 def quarantine(archive: DataFrame) -> DataFrame:
-    return archive.where(F.col("reason").isNotNull()).select(
+    refused = F.col("reason").isNotNull() & F.col("shard_ordinal").isNotNull()
+    return archive.where(refused).select(
         "shard_name", "shard_ordinal", "reason", F.col("record_bytes").alias("bytes")
     )
 

@@ -136,6 +136,58 @@ def phrase_filter(index: DataFrame, words: list[str]) -> DataFrame:
     return index.where(test)
 
 
+def one_search(index: DataFrame, terms: list[list[str]]) -> DataFrame:
+    """Conversations that one search hits, its terms being known as lists of words.
+
+    Terms of one word need no positions: a single pass over the pushed-down prefixes
+    marks the terms that each row satisfies.
+    """
+    if any(not words for words in terms):
+        return index.select("conversation_key").where(F.lit(False))
+    rows = phrase_filter(index, sorted({w for words in terms for w in words}))
+    if all(len(words) == 1 for words in terms):
+        bits = [F.when(F.col("token").startswith(w[0]), 1 << i).otherwise(0) for i, w in enumerate(terms)]
+        mask = bits[0]
+        for bit in bits[1:]:
+            mask = mask.bitwiseOR(bit)
+        found = rows.select("conversation_key", mask.alias("mask"))
+        return found.groupBy("conversation_key").agg(F.bit_or("mask").alias("mask")).where(
+            F.col("mask") == (1 << len(terms)) - 1
+        ).select("conversation_key")
+    asked = index.sparkSession.createDataFrame(
+        [("q", i, words) for i, words in enumerate(terms)], "query_id string, term_no int, words array<string>"
+    )
+    return matches(asked, rows).select("conversation_key")
+
+
+def term_starts(words: Column, terms: list[list[str]]) -> Column:
+    """``(start, term_no)`` of every place where a term is found in a list of words."""
+
+    def at(i: Column) -> Column:
+        hits = []
+        for number, term in enumerate(terms):
+            test = F.coalesce(F.get(words, i + (len(term) - 1)).startswith(term[-1]), F.lit(False))
+            for k, word in enumerate(term[:-1]):
+                test = test & F.coalesce(F.get(words, i + k) == word, F.lit(False))
+            hits.append(F.when(test, F.struct(i.alias("start"), F.lit(number).alias("term_no"))))
+        return F.array_compact(F.array(*hits))
+
+    return F.flatten(F.transform(words, lambda w, i: at(i)))
+
+
+def with_preview(page: DataFrame, documents: DataFrame, terms: list[list[str]]) -> DataFrame:
+    """Adds the preview to the rows of one page.
+
+    A page has at most a hundred rows, which makes it safe to broadcast; the hits are
+    found again in those few bodies.
+    """
+    bodies = documents.select("conversation_key", "body").join(F.broadcast(page), "conversation_key")
+    preview = let(
+        term_starts(fold.tokens(F.col("body")), terms), lambda starts: snippet(F.col("body"), starts)
+    )
+    return bodies.withColumn("match_preview", preview).drop("body")
+
+
 def snippet(body: Column, starts: Column) -> Column:
     """Eighteen words of the body around the hits.
 

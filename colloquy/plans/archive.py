@@ -71,34 +71,21 @@ class Archive:
     def detail(self) -> DataFrame:
         return graph.conversation_detail(self.table, self.links, self.attachments)
 
-    def find(self, text: str) -> tuple[DataFrame, DataFrame] | None:
-        """Hits and hit positions of one search; nothing when the text is blank.
-
-        The few words of a search are known here, so their prefixes are pushed into
-        the index scan.
-        """
+    def search_words(self, text: str) -> list[list[str]]:
+        """The words of each term of a search; sixteen terms at most."""
         asked = self.spark.createDataFrame([("q", text)], "query_id string, search string")
-        terms = search.search_terms(asked)
-        rows = terms.select("term_no", "term", "words").collect()  # sixteen rows at most
-        if not rows:
-            return None
-        words = sorted({w for row in rows for w in row.words})
-        index = search.phrase_filter(self.postings, words)
-        return search.matches(terms, index), search.term_hits(search.term_words(terms), index)
+        return [r.words for r in search.search_terms(asked).orderBy("term_no").collect()]
 
     def list_conversations(self, query: browse.ConversationQuery) -> tuple[DataFrame, DataFrame]:
         """The page with its preview column, and the totals."""
-        found = self.find(query.search) if query.search else None
+        terms = self.search_words(query.search) if query.search else []
         rows = browse.filtered(
             query, self.conversations, self.attachments if query.attachment_kind else None,
-            self.roles if query.role else None, found[0] if found else None,
+            self.roles if query.role else None, search.one_search(self.postings, terms) if terms else None,
         )
         page = browse.page_of(rows, query)
-        if found:
-            hits, starts = found
-            on_page = hits.join(page.select("conversation_key"), "conversation_key", "left_semi")
-            previews = search.snippets(on_page, starts, self.search_documents).drop("query_id")
-            page = page.join(previews, "conversation_key", "left").orderBy(*browse.list_order())
+        if terms:
+            page = search.with_preview(page, self.search_documents, terms).orderBy(*browse.list_order())
         else:
             page = page.withColumn("match_preview", F.lit(None).cast("string"))
         return page, browse.page_summary(rows, query)

@@ -309,7 +309,6 @@ _PRESENT = {
     "isStarred": f"{_FULL} AND c % 7 <> 1", "starred": "false",
 }
 _HAS = ", ".join(f'count(*) FILTER ({test}) AS "has_{name}"' for name, test in _PRESENT.items())
-_JSON_HAS = ", ".join(f"{name} := count(*) FILTER ({test})" for name, test in _PRESENT.items())
 _REPORT = f"""
   count(DISTINCT shard_name) AS "shardCount",
   count(DISTINCT shard_name) - count(DISTINCT CASE WHEN malformed THEN shard_name END) AS "parsedShardCount",
@@ -464,6 +463,19 @@ def oracle_sql() -> dict[str, str]:
               FROM (SELECT * FROM md UNION ALL SELECT * FROM txt) GROUP BY 1"""
         ),
     }
+    presence = " || ',' || ".join(f"""'"{f}":' || "has_{f}" """ for f in _PRESENT)
+    first = " || ',' || ".join(
+        f"""'"{f}":' || "{f}" """
+        for f in ("shardCount", "parsedShardCount", "malformedShardCount", "conversationRecordCount", "objectRecordCount", "nonObjectRecordCount")
+    )
+    rest = " || ',' || ".join(
+        f"""'"{f}":' || "{f}" """
+        for f in ("mappingNodeCount", "missingReferenceCount", "cycleCount", "oversizedRecordCount", "unknownKeyCount", "sourceUnchanged")
+    )
+    out["i10_structure_report_json"] = _base(
+        f""", {_PROFILE} SELECT '{{' || {first} || ',"knownFieldPresence":{{' || {presence} || '}},' || {rest} || '}}' AS report
+          FROM (SELECT {_REPORT}, {_HAS} FROM seen)"""
+    )
     for fmt, name in (("md", "e1_markdown_documents"), ("txt", "e2_plain_documents")):
         out[name] = _base(f", {_document(fmt)} SELECT *, strlen(document) AS byte_size FROM docs")
     return out

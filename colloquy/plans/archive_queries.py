@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy import schemas as S
@@ -137,8 +137,6 @@ def _shard_stats(ar: Archive) -> DataFrame:
 
 def _progress(ar: Archive) -> DataFrame:
     """Share of the records done after each shard, in shard order."""
-    from pyspark.sql import Window
-
     # One row per shard, so one partition is enough for the running sum.
     per_shard = project.shard_stats(ar.table).select(
         "shard_name", (F.col("conversations_indexed") + F.col("conversations_skipped")).alias("records")

@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from colloquy import schemas as S
 from colloquy.operators import attachments as A
 from colloquy.operators import inventory, project
+from colloquy.plans import ingest
 from colloquy.plans.archive import Archive
 from colloquy.session import materialize
-from colloquy.sources import listing, shards
+from colloquy.sources import listing
 
 MANIFEST = (
     "name string, byte_size bigint, modified timestamp, content_hash string, conversation_count bigint, "
@@ -72,15 +73,16 @@ def read_archive(spark: SparkSession, target: str) -> DataFrame:
     return rows.join(F.broadcast(live), ["shard_name", "run"], "left_semi").drop("run")
 
 
-def store_run(records: DataFrame, target: str, run: str) -> DataFrame:
-    """Write the rows of one run; returns them as written."""
+def store_run(spark: SparkSession, listed: DataFrame, target: str, run: str) -> tuple[DataFrame, DataFrame]:
+    """Read listed shards and write the rows of one run.
+
+    Returns the rows as written and the shards refused as a whole.
+    """
     path = f"{target}/archive/run={run}"
-    spark = records.sparkSession
-    projected = project.project_records(records)
-    projected.write.mode("overwrite").partitionBy("shard_name").parquet(path)
-    rows = spark.read.schema(projected.schema).parquet(path)
-    project.quarantine(rows).write.mode("overwrite").parquet(f"{target}/quarantine/run={run}")
-    return rows
+    rows, refused = ingest.ingest_shards(spark, listed, path)
+    bad = project.quarantine(rows).unionByName(refused, allowMissingColumns=True)
+    bad.write.mode("overwrite").parquet(f"{target}/quarantine/run={run}")
+    return rows, refused
 
 
 def new_entries(read: DataFrame, hashes: DataFrame, rows: DataFrame, refused: DataFrame, run: str, fingerprint: str) -> DataFrame:
@@ -120,13 +122,7 @@ def refresh(spark: SparkSession, source: str, target: str) -> dict:
         )
         n_refused = n_records = 0
         if paths:
-            records, refused = shards.read_records(spark, to_read)
-            refused = refused.cache()
-            rows = store_run(records, target, run)
-            refused.select("shard_name", F.lit(None).cast("bigint").alias("shard_ordinal"), "reason",
-                           F.lit(None).cast("bigint").alias("bytes")).write.mode("append").parquet(
-                f"{target}/quarantine/run={run}"
-            )
+            rows, refused = store_run(spark, to_read, target, run)
             fresh = new_entries(to_read, content_hashes(spark, paths), rows, refused, run, fingerprint)
             kept = kept.join(fresh.select("name"), "name", "left_anti").unionByName(fresh)
             n_refused, n_records = refused.count(), rows.count()
@@ -143,6 +139,5 @@ def refresh(spark: SparkSession, source: str, target: str) -> dict:
 
 def open_archive(spark: SparkSession, source: str, target: str) -> Archive:
     """The stored archive together with the attachment files of its source."""
-    files = spark.read.format("binaryFile").load(f"{source.rstrip('/')}/*")
-    names = files.where(listing.is_attachment_name(F.regexp_extract("path", r"([^/]*)\z", 1)))
+    names = listing.attachments_in(listing.binary_files(spark, source))
     return Archive(read_archive(spark, target), materialize(A.classify_files(names), "files"))

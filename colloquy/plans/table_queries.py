@@ -11,7 +11,7 @@ from colloquy.functions import keys, rules, text
 from colloquy.functions.markdown import markdown_text
 from colloquy.operators import attachments as A
 from colloquy.operators import browse, inventory, privacy
-from colloquy.session import scratch_path
+from colloquy.session import scratch_path, spread
 from colloquy.sources import listing, shards, tables
 from colloquy.streaming import scan
 
@@ -79,7 +79,8 @@ SIZE_LIMIT = 8_000
 
 def planted(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, each with a planted text at its end."""
-    return tables.table(spark, folder, "documents").select(
+    docs = spread(tables.table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select(
         "doc_id",
         F.expr("'docs/' || doc_id || '.txt'").alias("path"),
         F.expr(f"text || {PLANT}").alias("text"),
@@ -98,8 +99,8 @@ def page_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 def _text_rules(prefix: str, *names: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        tests = [(r, t) for r, t in rules.content_tests(F.col("text")) if r.startswith(prefix) or r in names]
-        return privacy.findings(planted(spark, folder), rules.rules_hit(tests), keys.path_digest(F.col("path")))
+        found = rules.content_rules(F.col("text"), lambda rule: rule.startswith(prefix) or rule in names)
+        return privacy.findings(planted(spark, folder), found, keys.path_digest(F.col("path")))
 
     return run
 

@@ -61,6 +61,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
         held.unpersist()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a costly narrow job over an input of few partitions.
+
+    A large input has more partitions than the cluster has cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write an intermediate table to the scratch folder and read it back."""
     path = scratch_path(df.sparkSession, label)

@@ -27,14 +27,28 @@ def shard_order(name: Column) -> Column:
     return F.struct(rank.alias("rank"), name.alias("name"))
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """The folder as the file sources spell it in their paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def binary_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files directly in a folder, with their name; content is read only if selected.
+
+    The folder is listed once, as a whole: a glob would be listed path by path.
+    """
+    prefix = qualified(spark, root) + "/"
+    files = spark.read.format("binaryFile").load(root)
+    return files.where(
+        F.col("path").startswith(prefix) & ~F.substring("path", len(prefix) + 1, 2**30).contains("/")
+    ).withColumn("name", F.substring("path", len(prefix) + 1, 2**30))
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``(path, name, byte_size, modified)`` of the files directly in a folder."""
-    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*")
-    return files.select(
-        "path",
-        F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"),
-        F.col("length").alias("byte_size"),
-        F.col("modificationTime").alias("modified"),
+    return binary_files(spark, root).select(
+        "path", "name", F.col("length").alias("byte_size"), F.col("modificationTime").alias("modified")
     )
 
 

@@ -37,8 +37,8 @@ def whole_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
 def array_elements(texts: DataFrame) -> DataFrame:
     """``(shard_name, shard_ordinal, doc)``.
 
-    A shard that does not parse as one array keeps a single row without an ordinal, so
-    that the caller can send it the other way.
+    A shard that does not parse as one array keeps a single row without an ordinal: the
+    mark that it has to be read in pieces.
     """
     with sql_conf(texts.sparkSession, spark__sql__variant__allowDuplicateKeys="true"):
         elements = V.array_at(V.strict_json(F.col("text")), "$")
@@ -228,27 +228,3 @@ def _elements(lumps: DataFrame, huge: DataFrame, grouped: DataFrame) -> DataFram
     return joined.select(
         "shard_name", "base", F.posexplode("parts").alias("index", "record")
     ).select("shard_name", (F.col("base") + F.col("index")).alias("shard_ordinal"), "record")
-
-
-# ---------------------------------------------------------------------- both
-
-
-def read_records(spark: SparkSession, shards: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records of listed shards, and the shards refused as a whole.
-
-    ``shards`` is a listing, at most 10 000 rows, so the paths fit the driver.
-    """
-    rows = shards.select("path", "byte_size").collect()
-    small = [r.path for r in rows if r.byte_size <= S.MAX_RECORD_BYTES]
-    large = [r.path for r in rows if r.byte_size > S.MAX_RECORD_BYTES]
-    records = spark.createDataFrame([], "shard_name string, shard_ordinal bigint, doc variant, record string")
-    refused = spark.createDataFrame([], "shard_name string, reason string")
-    if small:
-        whole = array_elements(whole_texts(spark, small))
-        records = whole.where(F.col("shard_ordinal").isNotNull()).withColumn("record", F.lit(None).cast("string"))
-        odd = {r.shard_name for r in whole.where(F.col("shard_ordinal").isNull()).collect()}
-        large += [p for p in small if p.rsplit("/", 1)[-1] in odd]
-    if large:
-        cut, refused = cut_records(file_pieces(spark, large))
-        records = records.unionByName(cut.withColumn("doc", F.lit(None).cast("variant")))
-    return records, refused

@@ -11,10 +11,13 @@ turn and ``d`` the document.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import schemas as S
+from colloquy.session import spread
 
 OPEN, CLOSE, SEP = "\ue200", "\ue201", "\ue202"
 
@@ -128,8 +131,6 @@ def archive_records(spark: SparkSession, folder: str) -> DataFrame:
 
     def lift(expr: str) -> str:
         # Bind the fragment's names to the fields of the lambda variable ``x``.
-        import re
-
         out = re.sub(r"(?<![\w'.])t(?![\w'])", "x.turn", expr)
         out = re.sub(r"(?<![\w'_.])role(?![\w'])", "x.role", out)
         return re.sub(r"(?<![\w'_.])text(?![\w'])(?= \|\|)", "x.text", out)
@@ -151,7 +152,7 @@ def archive_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def attachment_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, length, content)`` rows in the shape of the binary-file source."""
-    docs = table(spark, folder, "documents").where("doc_id % 5 <> 0").selectExpr("doc_id AS d", "text")
+    docs = spread(table(spark, folder, "documents").where("doc_id % 5 <> 0").selectExpr("doc_id AS d", "text"))
     magic = """CASE (d div 3) % 6
       WHEN 0 THEN '89504E470D0A1A0A0000000D49484452' || lpad(hex((d * 37) % 9000), 8, '0') || lpad(hex((d * 11) % 5000), 8, '0')
       WHEN 1 THEN 'FFD8FFE000104A46494600010100000100010000FFC0001108'

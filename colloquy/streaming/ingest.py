@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from colloquy.plans import refresh
-from colloquy.sources import listing, shards
+from colloquy.sources import listing
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -43,8 +43,7 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
             if not paths:
                 return
             run = f"batch-{batch_id}"
-            records, refused = shards.read_records(session, listed)
-            rows = refresh.store_run(records, target, run)
+            rows, refused = refresh.store_run(session, listed, target, run)
             fresh = refresh.new_entries(
                 listed, refresh.content_hashes(session, paths), rows, refused, run, ""
             )

@@ -58,7 +58,7 @@ def test_a_changing_source_is_not_committed(spark, tmp_path, monkeypatch):
     (source / "conversations.json").write_text(shard("a"))
     kept = refresh.store_run
 
-    def touch(*args):
+    def touch(*args):  # a shard appears while the others are read
         (source / "conversations-1.json").write_text("[]")
         return kept(*args)
 

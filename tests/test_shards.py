@@ -5,6 +5,7 @@ import json
 import pytest
 
 from colloquy import schemas
+from colloquy.plans import ingest
 from colloquy.sources import listing, shards
 
 GOOD = {
@@ -53,12 +54,24 @@ def test_pieces_of_split_files(spark, export):
     assert broken == {("conversations-002.json", i): t for i, t in enumerate(['{"a":1}', '{"b":tru}', '{"c":2}'])}
 
 
-def test_read_records(spark, export):
-    records, bad = shards.read_records(spark, listing.shards_in(listing.list_files(spark, export)))
-    rows = records.selectExpr("shard_name", "shard_ordinal", "coalesce(record, to_json(doc)) AS record")
-    got = elements(rows)
-    assert {k: json.loads(v) for k, v in got.items() if k[0] != "conversations-002.json"} == expected()
-    assert sum(k[0] == "conversations-002.json" for k in got) == 3
+def test_whole_texts(spark, export):
+    rows = shards.array_elements(shards.whole_texts(spark, [f"{export}/{n}" for n in {**GOOD, **BAD}]))
+    got = elements(rows.selectExpr("shard_name", "shard_ordinal", "to_json(doc) AS record"))
+    marked = {name for name, ordinal in got if ordinal is None}
+    assert marked == {*BAD, "conversations-002.json"}
+    assert {k: json.loads(v) for k, v in got.items() if k[1] is not None} == expected()
+
+
+def test_ingest_takes_both_ways(spark, export, tmp_path):
+    found = listing.shards_in(listing.list_files(spark, export))
+    rows, bad = ingest.ingest_shards(spark, found, str(tmp_path / "rows"))
+    counts = {}
+    for r in rows.collect():
+        counts.setdefault(r.shard_name, {}).setdefault(r.reason, []).append(r.shard_ordinal)
+    assert {n: {k: len(v) for k, v in c.items()} for n, c in counts.items()} == {
+        "conversations.json": {"UNSUPPORTED_RECORD": 7}, "conversations-10.json": {"UNSUPPORTED_RECORD": 60},
+        "conversations-002.json": {"UNSUPPORTED_RECORD": 2, "MALFORMED_RECORD": 1},
+    }
     assert {r.shard_name for r in bad.collect()} == set(BAD)
 
 
