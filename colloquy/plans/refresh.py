@@ -69,7 +69,10 @@ def read_archive(spark: SparkSession, target: str) -> DataFrame:
     live = read_manifest(spark, target).select(F.col("name").alias("shard_name"), "run")
     # At most 10 000 manifest rows.  Naming the runs prunes the folders of dead ones.
     runs = [r.run for r in live.select("run").distinct().collect()]
-    rows = spark.read.parquet(f"{target}/archive").where(F.col("run").isin(runs))
+    # Rows without an ordinal are marks of the ingest, not records.
+    rows = spark.read.parquet(f"{target}/archive").where(
+        F.col("run").isin(runs) & F.col("shard_ordinal").isNotNull()
+    )
     return rows.join(F.broadcast(live), ["shard_name", "run"], "left_semi").drop("run")
 
 

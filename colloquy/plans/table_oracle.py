@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from colloquy.operators.privacy import ENTRY_KINDS
 from colloquy.plans import table_queries as Q
+from colloquy.plans.archive_oracle import BASE
 
 # The rules in the pattern dialect of the checking engine.
 SECRETS = {
@@ -160,6 +161,10 @@ def oracle_sql() -> dict[str, str]:
     candidates = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {v}" for k, v in reference.items()) + " END"
     shown_name = "trim(regexp_replace(left(text, 40) || '_a_b_' || text, '[\\x00-\\x1F\\x7F]', '', 'g'))"
     stem = "regexp_replace(regexp_replace(title, '[^\\p{L}\\p{N}]+', '-', 'g'), '^-|-$', '', 'g')"
+    size = Q.tables.EXPORT_SHARD_SIZE
+    place = f"'conversations-' || (c // {size}) || '.json' AS shard_name, c % {size} AS shard_ordinal"
+    stored = f"""WITH RECURSIVE {BASE} SELECT {place}, NULL AS reason, title, message_count, hd.n AS n_nodes FROM headers JOIN hd USING (c)
+      UNION ALL SELECT {place}, reason, NULL, NULL, NULL FROM bad"""
     return {
         "x1_secret_rules": _text({k: v for k, v in text_tests.items() if k.startswith("SECRET_")}),
         "x2_open_emails": _text(_only("PII_NON_RESERVED_EMAIL")),
@@ -206,6 +211,11 @@ def oracle_sql() -> dict[str, str]:
         "i4_stale_shards": SNAPSHOTS + " SELECT name FROM m WHERE name NOT IN (SELECT name FROM n)",
         "u4_snapshot_changes": SNAPSHOTS + """ SELECT name, byte_size, modified, 'before' AS side FROM (SELECT name, byte_size, modified FROM s0 EXCEPT ALL SELECT name, byte_size, modified FROM s1)
             UNION ALL SELECT name, byte_size, modified, 'after' FROM (SELECT name, byte_size, modified FROM s1 EXCEPT ALL SELECT name, byte_size, modified FROM s0)""",
+        "s1_shard_listing": f"SELECT DISTINCT 'conversations-' || (conv_id // {size}) || '.json' AS name, true AS has_records FROM conversations",
+        "i3_manifest": f"""WITH RECURSIVE {BASE} SELECT 'conversations-' || (h0.c // {size}) || '.json' AS name, count(hd.c) AS conversation_count,
+            '1' AS projection_version FROM h0 LEFT JOIN hd USING (c) GROUP BY 1""",
+        "i6_refresh_twice": stored,
+        "i8_stream_ingest": stored,
         "f2_day_bounds": """SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(epoch(min(date_trunc('day', ts))) AS DOUBLE) AS first_second,
             (CAST(epoch(min(date_trunc('day', ts))) AS BIGINT) * 1000 + 86399999) / 1000.0 AS last_second, count(*) AS events FROM events GROUP BY 1""",
         "p9_marker_removal": f"SELECT doc_id, sha256(text || {kept}) AS stripped FROM documents",

@@ -11,9 +11,10 @@ from colloquy.functions import keys, rules, text
 from colloquy.functions.markdown import markdown_text
 from colloquy.operators import attachments as A
 from colloquy.operators import browse, inventory, privacy
+from colloquy.plans import refresh
 from colloquy.session import scratch_path, spread
 from colloquy.sources import listing, shards, tables
-from colloquy.streaming import scan
+from colloquy.streaming import ingest, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -349,6 +350,53 @@ def _malformed(spark: SparkSession, folder: str) -> DataFrame:
     return shards.cut_records(shards.text_pieces(_texts(spark, folder)))[1]
 
 
+# --------------------------------------------------------------- export folders
+
+_EXPORTS: dict[tuple[str, str], str] = {}
+
+
+def export_folder(spark: SparkSession, folder: str) -> str:
+    """The tables written as an export folder, once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _EXPORTS:
+        _EXPORTS[key] = scratch_path(spark, "export")
+        tables.write_export(spark, folder, _EXPORTS[key])
+    return _EXPORTS[key]
+
+
+def _stored(spark: SparkSession, target: str) -> DataFrame:
+    rows = refresh.read_archive(spark, target)
+    return rows.select("shard_name", "shard_ordinal", "reason", "title", "message_count", "n_nodes")
+
+
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    files = listing.list_files(spark, export_folder(spark, folder))
+    return listing.shards_in(files).select("name", (F.col("byte_size") > 2).alias("has_records"))
+
+
+def _refreshed(spark: SparkSession, folder: str) -> DataFrame:
+    """Two refreshes: the second one finds everything current."""
+    source, target = export_folder(spark, folder), scratch_path(spark, "refreshed")
+    refresh.refresh(spark, source, target)
+    again = refresh.refresh(spark, source, target)
+    if again["read"] or again["pruned"]:
+        raise RuntimeError(f"the second refresh was not empty: {again}")
+    return _stored(spark, target)
+
+
+def _streamed(spark: SparkSession, folder: str) -> DataFrame:
+    target = scratch_path(spark, "streamed")
+    source = export_folder(spark, folder)
+    ingest.ingest_stream(spark, source, target, scratch_path(spark, "stream-state")).awaitTermination()
+    return _stored(spark, target)
+
+
+def _manifest_rows(spark: SparkSession, folder: str) -> DataFrame:
+    source, target = export_folder(spark, folder), scratch_path(spark, "manifest")
+    refresh.refresh(spark, source, target)
+    return refresh.read_manifest(spark, target).select("name", "conversation_count", "projection_version")
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "x1_secret_rules": _text_rules("SECRET_"),
@@ -380,6 +428,10 @@ def queries() -> dict[str, Query]:
         "i2_inventory_fingerprint": _fingerprint,
         "i4_stale_shards": _stale,
         "u4_snapshot_changes": _changes,
+        "s1_shard_listing": _listed,
+        "i3_manifest": _manifest_rows,
+        "i6_refresh_twice": _refreshed,
+        "i8_stream_ingest": _streamed,
         "f2_day_bounds": _day_bounds,
         "p9_marker_removal": _over("documents", "doc_id", stripped=_hashed(text.strip_markers(F.expr(f"text || {MARKER_SQL}")))),
         "p13_display_names": _over(

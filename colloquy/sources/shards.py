@@ -97,17 +97,30 @@ def _count(c: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(c, f"[^{pattern}]", ""))
 
 
+def _lowest(brackets: Column) -> Column:
+    """The lowest depth inside a piece, relative to its start; a piece has few brackets."""
+
+    def step(acc: Column, ch: Column) -> Column:
+        depth = acc["depth"] + F.when(ch == "]", -1).when(ch == "", 0).otherwise(1)
+        return F.struct(depth.alias("depth"), F.least(acc["low"], depth).alias("low"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"))
+    return F.aggregate(F.split(brackets, ""), start, step, lambda acc: acc["low"])
+
+
 def cut_records(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records of the pieces, and the shards that are not one JSON array.
 
     Records are ``(shard_name, shard_ordinal, record)``; an element beyond the size
     limit has a null ``record``.
     """
-    ends = pieces.groupBy("shard_name").agg(F.max(F.struct("block", "seq")).alias("end"))
+    place = F.struct("block", "seq")
+    ends = pieces.groupBy("shard_name").agg(F.min(place).alias("start"), F.max(place).alias("end"))
     plain = F.regexp_replace("piece", r"(?s)\\.", "")
     marked = pieces.join(ends, "shard_name").select(
         "shard_name", "block", "seq", "piece",
-        (F.struct("block", "seq") == F.col("end")).alias("is_last"),
+        (place == F.col("start")).alias("is_first"),
+        (place == F.col("end")).alias("is_last"),
         plain.alias("plain"),
         (F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))).cast("bigint").alias("quotes"),
     )
@@ -123,7 +136,10 @@ def cut_records(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("closes", closes)
         .withColumn("delta", (opened - closed - F.col("closes").cast("int")).cast("bigint"))
         .withColumn("size", (F.octet_length("piece") + 1).cast("bigint"))
-        .select("shard_name", "block", "seq", "piece", "is_last", "outside", "closes", "delta", "size", "quotes_before", "quotes")
+        .select(
+            "shard_name", "block", "seq", "piece", "is_first", "is_last", "outside", "closes", "delta", "size",
+            "quotes_before", "quotes",
+        )
     )
     deep = materialize(_running(counted, "delta", "depth_before"), "pieces")
     depth_after = F.col("depth_before") + F.col("delta")
@@ -132,14 +148,17 @@ def cut_records(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouped = materialize(_running(flagged, "is_end", "group"), "piece-groups")
 
     # The array must open first, close last, and never close earlier.
-    lowest = F.col("depth_before") - _count(F.col("outside"), r"\]")
+    brackets = F.regexp_replace("outside", r"[^\[\]{]", "")
+    inner = F.when(F.col("is_first"), F.substring(brackets, 2, 2**30)).otherwise(brackets)
+    inner = F.when(F.col("is_last"), F.regexp_replace(inner, r".\z", "")).otherwise(inner)
+    lowest = F.col("depth_before") + F.col("is_first").cast("int") + _lowest(inner)
     first = F.min(F.struct("block", "seq", "piece"))["piece"]
     shape = grouped.groupBy("shard_name").agg(
         first.rlike(rf"^{JSON_SPACE}*\[").alias("opens"),
-        F.max_by(F.struct(depth_after.alias("depth"), "outside"), F.struct("block", "seq")).alias("final"),
+        F.max_by(F.struct(depth_after.alias("depth"), "outside"), place).alias("final"),
         (F.sum("quotes") % 2 == 1).alias("open_string"),
         F.bool_or(~F.col("is_last") & (depth_after < 1)).alias("early"),
-        F.bool_or((lowest < 0) & ~F.col("is_last")).alias("unbalanced"),
+        F.bool_or(lowest < 1).alias("unbalanced"),
         F.max(F.col("depth_before") + _count(F.col("outside"), r"\[\{")).alias("deepest"),
     )
     tail_ok = F.col("final.outside").rlike(rf"\]{JSON_SPACE}*\z")

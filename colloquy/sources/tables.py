@@ -176,3 +176,39 @@ def attachment_files(spark: SparkSession, folder: str) -> DataFrame:
         F.octet_length("content").cast("bigint").alias("length"),
         "content",
     )
+
+
+EXPORT_SHARD_SIZE = 50
+
+
+def write_export(spark: SparkSession, folder: str, target: str) -> None:
+    """The records as an export folder: JSON array shards of fifty conversations each.
+
+    A shard is one sorted partition written line by line, so nothing is put together in
+    memory.  The writer chooses file names of its own, so the files are renamed after it.
+    A record that does not parse is replaced by one that is broken inside, since a cut-off
+    one would break its whole shard.
+    """
+    records = archive_records(spark, folder)
+    number = F.col("shard_ordinal") * 10 + F.regexp_extract("shard_name", "([0-9]+)", 1).cast("bigint")
+    shard = F.expr(f"n div {EXPORT_SHARD_SIZE}")
+    text = F.when(F.try_parse_json("record").isNull(), F.lit('{"broken": tru}')).otherwise(F.col("record"))
+    rows = records.select(number.alias("n"), text.alias("record")).select(
+        shard.alias("shard"), (F.col("n") % EXPORT_SHARD_SIZE).alias("ordinal"), "record"
+    )
+    comma = F.when(F.col("ordinal") > 0, F.lit(",")).otherwise(F.lit("["))
+    lines = rows.select("shard", "ordinal", F.concat(comma, "record").alias("value"))
+    ends = rows.select("shard").distinct().select(
+        "shard", F.lit(EXPORT_SHARD_SIZE).cast("bigint").alias("ordinal"), F.lit("]").alias("value")
+    )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.unionByName(ends).repartition(parts, "shard").sortWithinPartitions("shard", "ordinal").select(
+        "shard", "value"
+    ).write.partitionBy("shard").text(f"{target}-parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(f"{target}-parts")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.Path(target))
+    for status in files.globStatus(hadoop.Path(f"{target}-parts/shard=*/part-*")):
+        number = status.getPath().getParent().getName().split("=")[1]
+        files.rename(status.getPath(), hadoop.Path(f"{target}/conversations-{number}.json"))

@@ -12,12 +12,15 @@ GOOD = {
     "conversations.json": '[{"a":"x,]}"},{"b":[{"c":1},{"d":"}{"}]}, 5 , "s}", {"e":"q\\"}"},[1,{"z":2}], null]',
     "conversations-001.json": " [ ] ",
     "conversations-002.json": '[{"a":1},{"b":tru},{"c":2}]',
+    "conversations-11.json": '[{"a":[[],{"b":[1,[2]]},[{}]]}, [[{"c":[]}]], {"d":{"e":[]}}]',
+    "conversations-12.json": "[1,[2,[]],3]",
     "conversations-10.json": json.dumps([{"i": i, "t": 'é}"{[,\\' * (i % 7)} for i in range(60)], ensure_ascii=False),
 }
 BAD = {
     "conversations-003.json": '[{"a":1},{"b":2}] x', "conversations-004.json": '{"a":1}',
     "conversations-005.json": '[{"a":1},{"b":2}', "conversations-007.json": '[{"a":1}, {"b": ] }, {"c":1}]',
     "conversations-008.json": '["unterminated]', "conversations-009.json": '[{"a":1}]]',
+    "conversations-013.json": "[1]][", "conversations-014.json": '[{"a":1}],[{"b":2}]', "conversations-015.json": "[1],[2]",
 }
 
 
@@ -35,7 +38,7 @@ def elements(rows):
 
 def expected():
     want = {}
-    for name in ("conversations.json", "conversations-10.json"):
+    for name in ("conversations.json", "conversations-10.json", "conversations-11.json", "conversations-12.json"):
         want |= {(name, i): e for i, e in enumerate(json.loads(GOOD[name]))}
     return want
 
@@ -71,6 +74,7 @@ def test_ingest_takes_both_ways(spark, export, tmp_path):
     assert {n: {k: len(v) for k, v in c.items()} for n, c in counts.items()} == {
         "conversations.json": {"UNSUPPORTED_RECORD": 7}, "conversations-10.json": {"UNSUPPORTED_RECORD": 60},
         "conversations-002.json": {"UNSUPPORTED_RECORD": 2, "MALFORMED_RECORD": 1},
+        "conversations-11.json": {"UNSUPPORTED_RECORD": 3}, "conversations-12.json": {"UNSUPPORTED_RECORD": 3},
     }
     assert {r.shard_name for r in bad.collect()} == set(BAD)
 
@@ -97,7 +101,7 @@ def test_listing(spark, export):
     assert (row.shard_count, row.attachment_file_count, row.supported) == (len(GOOD) + len(BAD), 2, True)
     order = listing.shards_in(files).orderBy(listing.shard_order(files["name"])).select("name")
     names = [r.name for r in order.collect()]
-    assert names[0] == "conversations.json" and names[-1] == "conversations-10.json"
+    assert names[0] == "conversations.json" and names[-1] == "conversations-015.json"
     plan = files._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1]
 
