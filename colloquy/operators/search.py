@@ -182,9 +182,9 @@ def with_preview(page: DataFrame, documents: DataFrame, terms: list[list[str]])
     found again in those few bodies.
     """
     bodies = documents.select("conversation_key", "body").join(F.broadcast(page), "conversation_key")
-    preview = let(
-        term_starts(fold.tokens(F.col("body")), terms), lambda starts: snippet(F.col("body"), starts)
-    )
+    # Bound once: a position looks into the words, and must not make them anew.
+    starts = let(fold.tokens(F.col("body")), lambda words: term_starts(words, terms))
+    preview = let(starts, lambda found: snippet(F.col("body"), found))
     return bodies.withColumn("match_preview", preview).drop("body")
 
 
