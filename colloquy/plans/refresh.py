@@ -107,37 +107,36 @@ def new_entries(read: DataFrame, hashes: DataFrame, rows: DataFrame, refused: Da
 
 def refresh(spark: SparkSession, source: str, target: str) -> dict:
     """Read new and changed shards, drop removed ones; returns the counters of the run."""
-    files = listing.list_files(spark, source).cache()
-    try:
-        listing.require_supported(files)
-        found = listing.shards_in(files)
-        fingerprint = inventory.fingerprint(listing.attachments_in(files)).first().fingerprint
-        manifest = read_manifest(spark, target)
-        same = inventory.unchanged_metadata(found, manifest).join(found.select("name", "path"), "name")
-        hashes = content_hashes(spark, [r.path for r in same.select("path").collect()])
-        current = inventory.current_shards(found, manifest, hashes).cache()
-        to_read = inventory.shards_to_read(found, current)
-        paths = [r.path for r in to_read.select("path").collect()]
-        run = uuid.uuid4().hex[:12]
-        gone = inventory.stale_shards(manifest, found).count()
-        kept = manifest.join(found.select("name"), "name", "left_semi").withColumn(
-            "attachment_fingerprint", F.lit(fingerprint)
-        )
-        n_refused = n_records = 0
-        if paths:
-            rows, refused = store_run(spark, to_read, target, run)
-            fresh = new_entries(to_read, content_hashes(spark, paths), rows, refused, run, fingerprint)
-            kept = kept.join(fresh.select("name"), "name", "left_anti").unionByName(fresh)
-            n_refused, n_records = refused.count(), rows.count()
-        if not inventory.unchanged(files, listing.list_files(spark, source)):
-            raise RuntimeError("the source changed while it was read; nothing was committed")
-        if paths or gone:
-            write_manifest(kept, target)
-        return {
-            "skipped": current.count(), "read": len(paths), "refused": n_refused, "records": n_records, "pruned": gone,
-        }
-    finally:
-        files.unpersist()
+    # Written down, not cached: the check at the end has to list the folder again, and a
+    # cached plan would answer for it.
+    files = materialize(listing.list_files(spark, source), "listing")
+    listing.require_supported(files)
+    found = listing.shards_in(files)
+    fingerprint = inventory.fingerprint(listing.attachments_in(files)).first().fingerprint
+    manifest = read_manifest(spark, target)
+    same = inventory.unchanged_metadata(found, manifest).join(found.select("name", "path"), "name")
+    hashes = content_hashes(spark, [r.path for r in same.select("path").collect()])
+    current = inventory.current_shards(found, manifest, hashes).cache()
+    to_read = inventory.shards_to_read(found, current)
+    paths = [r.path for r in to_read.select("path").collect()]
+    run = uuid.uuid4().hex[:12]
+    gone = inventory.stale_shards(manifest, found).count()
+    kept = manifest.join(found.select("name"), "name", "left_semi").withColumn(
+        "attachment_fingerprint", F.lit(fingerprint)
+    )
+    n_refused = n_records = 0
+    if paths:
+        rows, refused = store_run(spark, to_read, target, run)
+        fresh = new_entries(to_read, content_hashes(spark, paths), rows, refused, run, fingerprint)
+        kept = kept.join(fresh.select("name"), "name", "left_anti").unionByName(fresh)
+        n_refused, n_records = refused.count(), rows.count()
+    if not inventory.unchanged(files, listing.list_files(spark, source)):
+        raise RuntimeError("the source changed while it was read; nothing was committed")
+    if paths or gone:
+        write_manifest(kept, target)
+    return {
+        "skipped": current.count(), "read": len(paths), "refused": n_refused, "records": n_records, "pruned": gone,
+    }
 
 
 def open_archive(spark: SparkSession, source: str, target: str) -> Archive:
