@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe, exact_dedup, simhash
+from colloquy.llm import bpe, exact_dedup, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_repeated_windows": suffix_dedup.op1_repeated_windows,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op6_simhash": simhash.op6_simhash,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
