@@ -1,14 +1,16 @@
 """Quality by the votes of the nearest labelled documents in a latent-semantic space.
 
-Documents are weighted counts of hashed character trigrams.  Trigram weights come from
-all documents; the latent space is a truncated decomposition of a bounded, documented
-sample of labelled rows.  The sample's vectors are small enough to broadcast, and every
+Documents are weighted counts of hashed character trigrams, and four shares that describe
+their shape: repeated words, repeated lines, capitals and punctuation.  Trigram weights
+come from all documents; the latent space is a truncated decomposition of a bounded,
+documented sample of labelled rows.  The sample's vectors are small enough to broadcast, and every
 document is compared with all of them in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import crc_remainder, stored, table
 
 FEATURES = 4096
+SHAPES = 4
+SHAPE_WEIGHT = 1.5
 DIMENSIONS = 48
 LABELLED_PER_CLASS = 2000
 NEIGHBOURS = 15
@@ -25,14 +29,29 @@ BLOCK = 512
 SHARPNESS = 8.0
 
 
-def trigrams(text: str | None) -> np.ndarray:
-    """Counts of hashed trigrams of the text's bytes; a text of less than three bytes has none."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    counts = np.zeros(FEATURES, np.int64)
+_LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
+_CAPITAL = np.array([65 <= b <= 90 for b in range(256)])
+_BLANK = np.array([b in b" \t\n\x0b\x0c\r" for b in range(256)])
+
+
+def features(text: str | None) -> np.ndarray:
+    """Counts of hashed trigrams of the text's bytes, then the shape in thousandths; an empty text has none."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    data = np.frombuffer(raw, np.uint8)
+    counts = np.zeros(FEATURES + SHAPES, np.int64)
     for at in range(0, max(0, len(data) - 2), 1 << 20):
         part = data[at:at + (1 << 20) + 2].astype(np.uint32)
         mixed = ((part[:-2] << 16 | part[1:-1] << 8 | part[2:]) * np.uint32(2654435761)) >> np.uint32(20)
-        counts += np.bincount(mixed, minlength=FEATURES)
+        counts[:FEATURES] += np.bincount(mixed, minlength=FEATURES)
+    bytes_of = np.bincount(data, minlength=256)
+    letters, blanks = int(bytes_of[_LETTER].sum()), int(bytes_of[_BLANK].sum())
+    words, lines = raw.split(), raw.split(b"\n")
+    counts[FEATURES:] = [
+        1000 * sum(map(eq, words, words[1:])) // max(1, len(words)),
+        1000 * (len(lines) - len(set(lines))) // len(lines),
+        1000 * int(bytes_of[_CAPITAL].sum()) // max(1, letters),
+        1000 * (len(raw) - letters - blanks) // max(1, len(raw)),
+    ]
     return counts
 
 
@@ -43,7 +62,7 @@ def document_frequencies(docs: DataFrame, text_column: str = "text") -> tuple[np
         seen, rows = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                seen += trigrams(text.as_py()) > 0
+                seen += features(text.as_py())[:FEATURES] > 0
             rows += batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(-1, FEATURES)), pa.array(np.concatenate(([rows], seen)))], names=["feature", "n"]
@@ -70,7 +89,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [trigrams(t.as_py()) for t in batch.column(1)]
+            counts = [features(t.as_py()) for t in batch.column(1)]
             where = [np.flatnonzero(c).astype(np.int32) for c in counts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(where, pa.list_(pa.int32())),
@@ -91,7 +110,7 @@ class Voters:
         self.weight = np.log((1 + rows) / (1 + seen)).astype(np.float32) + np.float32(1)
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        weighted = self.weighted(counts)
+        weighted = self.weighted(counts[:, :FEATURES])
         rank = min(DIMENSIONS, *weighted.shape) if len(weighted) else 0
         if rank:
             # Randomised subspace iteration; the seed is fixed, so the space is the same each time.
@@ -102,33 +121,37 @@ class Voters:
             self.axes = np.ascontiguousarray((basis @ turn.T)[:, :rank])
         else:
             self.axes = np.zeros((FEATURES, 1), np.float32)
-        self.vectors = self.project(weighted)
+        self.vectors = self.project(counts)
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
         rows = np.log1p(counts).astype(np.float32) * self.weight
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
-    def project(self, weighted: np.ndarray) -> np.ndarray:
-        rows = weighted @ self.axes
+    def project(self, counts: np.ndarray) -> np.ndarray:
+        """Unit vectors: the latent coordinates and the weighted shape."""
+        latent = self.weighted(counts[:, :FEATURES]) @ self.axes
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        shape = np.sqrt(counts[:, FEATURES:].astype(np.float32) / 1000) * np.float32(SHAPE_WEIGHT)
+        rows = np.concatenate((latent, shape), axis=1)
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """Labels of the nearest vectors, weighted by similarity; rows without trigrams get the sample's mean label."""
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        near = self.project(self.weighted(counts)) @ self.vectors.T
+        near = self.project(counts) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
         best = np.argpartition(-near, k - 1, axis=1)[:, :k]
         weight = np.exp(SHARPNESS * np.take_along_axis(near, best, axis=1).astype(np.float64))
         out = (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
-        return np.where(counts.any(axis=1), np.clip(out, 0, 1), self.prior)
+        return np.where(counts[:, :FEATURES].any(axis=1), np.clip(out, 0, 1), self.prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS) -> Voters:
     """The classifier of rows whose id's crc32 isn't 1 modulo 3; at most ``per_class`` of each label are kept."""
     seen, rows = document_frequencies(docs)
     sample = labelled_sample(docs, labels, per_class).orderBy("doc_id", "quality").collect()
-    counts = np.zeros((len(sample), FEATURES), np.int32)
+    counts = np.zeros((len(sample), FEATURES + SHAPES), np.int32)
     for at, row in enumerate(sample):
         counts[at, row.feature] = row.n
     return Voters(counts, np.array([r.quality for r in sample], np.int64), seen, rows)
@@ -145,7 +168,7 @@ def score(docs: DataFrame, voters: Voters, id_column: str = "doc_id", text_colum
     def measured(column: pa.Array) -> np.ndarray:
         out = [np.zeros(0)]
         for at in range(0, len(column), BLOCK):
-            counts = np.stack([trigrams(t.as_py()) for t in column.slice(at, BLOCK)])
+            counts = np.stack([features(t.as_py()) for t in column.slice(at, BLOCK)])
             out.append(voters.scores(counts))
         return np.concatenate(out)
 
