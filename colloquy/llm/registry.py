@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe, exact_dedup, packing, quality, simhash, suffix_dedup
+from colloquy.llm import bpe, exact_dedup, language, lm_score, packing, quality, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeated_windows": suffix_dedup.op1_repeated_windows,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_language": language.op4_language,
         "op5_quality": quality.op5_quality,
         "op6_simhash": simhash.op6_simhash,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
+        "op10_cross_entropy_difference": lm_score.op10_cross_entropy_difference,
     }
 
 
