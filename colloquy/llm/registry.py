@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe, exact_dedup, language, lm_score, packing, quality, simhash, suffix_dedup
+from colloquy.llm import bpe, exact_dedup, html_text, language, lm_score, packing, quality, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": quality.op5_quality,
         "op6_simhash": simhash.op6_simhash,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_main_text": html_text.op8_main_text,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
         "op10_cross_entropy_difference": lm_score.op10_cross_entropy_difference,
     }

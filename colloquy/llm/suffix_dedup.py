@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import stored, table, unused
+from colloquy.llm.common import stored, table
 from colloquy.llm.windows import BUFFER, Rolling, mixed, window_samples
 from colloquy.session import scratch_path
 
@@ -43,21 +43,20 @@ STORE = "kind int, chunk long, entries long, data binary"
 MESSAGE = "bucket long, chunk long, data binary"
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns as compressed byte planes; ascending numbers as differences."""
-    out = [len(columns[0]).to_bytes(8, "little")]
-    for column in columns:
-        wide = column.astype(np.uint64)
-        steps = np.diff(wide, prepend=np.uint64(0))
-        out.append(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
-    return zstandard.compress(b"".join(out), 1)
+def pack(ascending: np.ndarray, *others: np.ndarray) -> bytes:
+    """Columns as compressed byte planes; the first, which ascends, as differences."""
+    wide = ascending.astype(np.uint64)
+    columns = [np.diff(wide, prepend=np.uint64(0)), *(c.astype(np.uint64) for c in others)]
+    planes = [c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    return zstandard.compress(b"".join([len(wide).to_bytes(8, "little"), *planes]), 1)
 
 
 def unpack(data: bytes, columns: int) -> list[np.ndarray]:
     raw = zstandard.decompress(data)
     n = int.from_bytes(raw[:8], "little")
     planes = np.frombuffer(raw, np.uint8, offset=8).reshape(columns, 8, n)
-    return [np.cumsum(np.ascontiguousarray(p.T).view(np.uint64).ravel(), dtype=np.uint64) for p in planes]
+    first, *others = (np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes)
+    return [np.cumsum(first, dtype=np.uint64), *others]
 
 
 def to_ipc(batches: list[pa.RecordBatch]) -> bytes:
@@ -360,7 +359,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", t
     if size < KEY + 1:
         raise ValueError(f"windows must be longer than {KEY} bytes")
     spark = docs.sparkSession
-    schema, columns = docs.schema, docs.columns
+    columns = docs.columns
     inner_id, inner_text = f"c{columns.index(id_column)}", f"c{columns.index(text_column)}"
     plain = docs.select(id_column, text_column).toDF("c0", "c1") if digests else docs.toDF(*[f"c{i}" for i in range(len(columns))])
     if digests:
