@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe, exact_dedup, html_text, language, lm_score, packing, quality, simhash, suffix_dedup
+from colloquy.llm import bpe, exact_dedup, html_text, language, lm_score, packing, quality, simhash, suffix_dedup, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeated_windows": suffix_dedup.op1_repeated_windows,
+        "op2_near_vectors": vectors.op2_near_vectors,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_language": language.op4_language,
         "op5_quality": quality.op5_quality,
