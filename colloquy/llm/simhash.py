@@ -136,14 +136,3 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_column:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by five-word shingles: the smallest id stays.
-
-    Documents without an id stay, and so do all rows of an id that stays.
-    """
-    found = near_duplicates(docs, size=5).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["kept_id"], "left").where(
-        F.col("kept_id").isNotNull() | docs["doc_id"].isNull()
-    ).select(docs["*"])
