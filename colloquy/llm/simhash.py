@@ -1,8 +1,9 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-Every bit position gets one of 2^(radius+1) labels.  A table per non-zero vector v
-keeps the bits whose label is orthogonal to v (mod 2).  Any ``radius`` differing bits
-have a common orthogonal v, so every pair within the radius meets in some table.
+Every bit position has a label, a non-zero vector of radius + 1 bits.  A table per
+non-zero vector v leaves out the bits whose label is orthogonal to v (mod 2).  Any
+``radius`` labels have a common orthogonal v, so every pair within the radius meets in
+the table that leaves its differing bits out.
 """
 
 from __future__ import annotations
@@ -69,10 +70,9 @@ def fingerprints(docs: DataFrame, size: int, id_column: str = "doc_id", text_col
 
 def covering_masks(radius: int) -> list[int]:
     """The structured masks; bits are dealt to the labels evenly."""
-    labels = 1 << (radius + 1)
-    return [
-        sum(1 << bit for bit in range(BITS) if ((bit % labels) & v).bit_count() % 2 == 0) for v in range(1, labels)
-    ]
+    vectors = range(1, 1 << (radius + 1))
+    label = [1 + bit % len(vectors) for bit in range(BITS)]
+    return [sum(1 << bit for bit in range(BITS) if (label[bit] & v).bit_count() % 2) for v in vectors]
 
 
 def _signed(x: int) -> int:
