@@ -133,6 +133,7 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(
         F.col("doc_id").alias("good_id")).distinct()
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("good_id"), "left").select(
+    # Both sides grow with the corpus, so the marks always come by a shuffle.
+    marked = docs.select("doc_id", "text").join(good.hint("shuffle_merge"), F.col("doc_id") == F.col("good_id"), "left").select(
         "text", F.col("good_id").isNotNull().alias("is_target"))
     return score(docs, fit(marked))
