@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from struct import unpack_from
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,31 +14,32 @@ from pyspark.sql import types as T
 # JPEG markers without a length, and the start-of-frame markers.
 BARE_MARKERS = frozenset([0x01, 0xD8, 0xD9, *range(0xD0, 0xD8)])
 FRAME_MARKERS = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
+# Bytes before a marker's code: at least one 0xFF in a well-formed file, none are missed in others.
+MARKER = re.compile(rb"\xff*([^\xff])", re.S)
+
+
+def jpeg_segments(data: bytes) -> Iterator[tuple[int, memoryview]]:
+    """Marker and payload of each whole segment after the start-of-image marker."""
+    view, at = memoryview(data), 2
+    while (found := MARKER.match(view, at)) is not None:
+        code, at = found.group(1)[0], found.end()
+        if code in BARE_MARKERS:
+            continue
+        if at + 2 > len(view) or (size := unpack_from(">H", view, at)[0]) < 2 or at + size > len(view):
+            return
+        yield code, view[at + 2:at + size]
+        at += size
 
 
 def jpeg_size(data: bytes | None) -> tuple[int, int] | None:
     """Width and height from the first frame header, or nothing."""
-    if data is None or data[:2] != b"\xff\xd8":
+    if not data or not data.startswith(b"\xff\xd8"):
         return None
-    at = 2
-    while at + 4 <= len(data):
-        while at < len(data) and data[at] == 0xFF:
-            at += 1
-        if at >= len(data):
-            return None
-        marker, at = data[at], at + 1
-        if marker in BARE_MARKERS:
-            continue
-        segment = data[at:]
-        length = int.from_bytes(segment[:2], "big")
-        if len(segment) < 2 or not 2 <= length <= len(segment):
-            return None
-        if marker in FRAME_MARKERS:
-            if length < 7:
-                return None
-            return int.from_bytes(segment[5:7], "big"), int.from_bytes(segment[3:5], "big")
-        at += length
-    return None
+    frame = next((payload for code, payload in jpeg_segments(data) if code in FRAME_MARKERS), None)
+    if frame is None or len(frame) < 5:
+        return None
+    height, width = unpack_from(">HH", frame, 1)
+    return width, height
 
 
 @F.pandas_udf(T.StructType().add("width", T.LongType()).add("height", T.LongType()))

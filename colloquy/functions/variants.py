@@ -63,9 +63,10 @@ def text_of(v: Column) -> Column:
     return F.when(kind(v) == "STRING", v.cast("string"))
 
 
-def first_text(values: list[Column], max_bytes: int) -> Column:
-    """The first value that is a string, cut to a number of bytes."""
-    return byte_truncate(F.coalesce(*[text_of(v) for v in values]), max_bytes)
+def first_text(values: list[Column], max_bytes: int | None = None) -> Column:
+    """The first value that is a string; a shown one may be cut to a number of bytes."""
+    found = F.coalesce(*[text_of(v) for v in values])
+    return found if max_bytes is None else byte_truncate(found, max_bytes)
 
 
 def first_flag(values: list[Column]) -> Column:

@@ -92,6 +92,14 @@ MAX_PDF_PREVIEW_BYTES = 20 * 1024 * 1024
 # ------------------------------------------------------------ classification
 
 
+def whole_characters(prefix: Column) -> Column:
+    """The bytes without a last character that the end of the prefix cuts."""
+    last = F.hex(F.substring(prefix, -3, 3))
+    # A lead byte of 2, 3 or 4 with fewer bytes after it than it asks for.
+    cut = F.length(F.regexp_extract(last, r"(?:[CDEF].|[EF].[89AB].|F.[89AB].[89AB].)$", 0)) / 2
+    return F.substring(prefix, F.lit(1), (F.octet_length(prefix) - cut).cast("int"))
+
+
 def looks_like_text(prefix: Column) -> Column:
     """Valid UTF-8, no NUL, control bytes at most one in twenty."""
     as_text = prefix.cast("string")
@@ -127,7 +135,8 @@ def classify_files(files: DataFrame) -> DataFrame:
         )
         .withColumn("mime", _signature(F.col("prefix"), 0))
         .withColumn("ext", _signature(F.col("prefix"), 1))
-        .withColumn("is_text", F.when(F.col("mime").isNull(), looks_like_text(F.col("prefix"))))
+        .withColumn("is_text", F.when(F.col("mime").isNull(), looks_like_text(
+            F.when(F.col("byte_size") > S.SIGNATURE_BYTES, whole_characters(F.col("prefix"))).otherwise(F.col("prefix")))))
         # Python sees the bytes of JPEG files only.
         .withColumn("jpeg", images.jpeg_dimensions(F.when(F.col("mime") == "image/jpeg", F.col("prefix"))))
         .withColumn("png", F.when(F.col("mime") == "image/png", images.png_dimensions(F.col("prefix"))))
@@ -164,9 +173,8 @@ def bounded_kind(kind: Column, size: Column) -> Column:
 
 
 def read_text_files(files: DataFrame) -> DataFrame:
-    """Whole text of files of at most 2 MiB that look like text."""
-    small = files.where(F.col("length") <= S.MAX_TEXT_PREVIEW_BYTES)
-    return small.where(looks_like_text(F.col("content"))).select(
+    """Whole text of files that look like text."""
+    return files.where(looks_like_text(F.col("content"))).select(
         F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"),
         F.decode("content", "utf-8").alias("text"),
     )
@@ -200,7 +208,7 @@ def candidate_names(value: Column) -> Column:
 
     without_query = trim_ws(F.regexp_extract(value, r"^([^?#]*)", 1))
     base = F.regexp_extract(without_query, r"([^/\\:]*)\z", 1)
-    base = F.left(F.regexp_replace(base, f"[{CONTROL}]", ""), F.lit(512))
+    base = F.regexp_replace(base, f"[{CONTROL}]", "")
     return let(base, lambda b: F.when(b.isNotNull(), variants(b)).otherwise(F.array().cast("array<string>")))
 
 

@@ -33,8 +33,8 @@ class ConversationQuery:
     @property
     def offset_and_limit(self) -> tuple[int, int]:
         size = S.DEFAULT_PAGE_SIZE if self.page_size is None else self.page_size
-        size = min(max(size, 1), S.MAX_PAGE_SIZE)
-        return min(self.page or 0, S.MAX_PAGE_NUMBER) * size, size
+        size = max(size, 1)
+        return (self.page or 0) * size, size
 
 
 def effective_time() -> Column:
@@ -163,7 +163,7 @@ def numbered_pages(rows: DataFrame, page_size: int) -> DataFrame:
         "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")
     )
     rank = F.row_number().over(Window.partitionBy("part").orderBy(*list_order()))
-    size = min(max(page_size, 1), S.MAX_PAGE_SIZE)
+    size = max(page_size, 1)
     return (
         ordered.withColumn("rank", rank)
         .join(F.broadcast(before), "part")  # one row per shuffle partition

@@ -184,10 +184,10 @@ def all_paths(archive: DataFrame, links: DataFrame) -> DataFrame:
         )
 
 
-def branch_lists(archive: DataFrame, links: DataFrame) -> DataFrame:
+def branch_lists(archive: DataFrame, links: DataFrame, limit: int | None = None) -> DataFrame:
     """Alternate branches of each active-path node, in order.
 
-    The first hundred children by time count; the active child is removed after that.
+    With a limit the first children by time count; the active child is removed after that.
     """
     key = "conversation_key"
     on_path = links.where(F.col("position").isNotNull()).select(
@@ -206,7 +206,7 @@ def branch_lists(archive: DataFrame, links: DataFrame) -> DataFrame:
         children.where(F.col("parent_node_id").isNotNull())
         .join(on_path, [key, "parent_node_id"])
         .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= S.MAX_BRANCHES)
+        .where(F.lit(True) if limit is None else F.col("rank") <= limit)
     )
     own = links.select(key, "node_id", "terminal_leaf", "position")
     active = F.coalesce(F.col("position") == F.col("parent_position") + 1, F.lit(False))
@@ -238,7 +238,6 @@ def conversation_detail(archive: DataFrame, links: DataFrame, attachments: DataF
     """One nested row per conversation: header, shown messages, files, branches.
 
     Every conversation at once; a filter on ``conversation_key`` reaches the scans.
-    The arrays of a conversation are bounded by the record limits.
     """
     key = "conversation_key"
     branches = (
@@ -262,7 +261,6 @@ def conversation_detail(archive: DataFrame, links: DataFrame, attachments: DataF
                 )
             ).alias("attachments")
         )
-        .withColumn("attachments", F.slice("attachments", 1, S.MAX_ATTACHMENTS))
     )
     no_files = F.array().cast(files.schema["attachments"].dataType)
     no_branches = F.array().cast(branches.schema["alternate_branches"].dataType)

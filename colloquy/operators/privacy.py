@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from colloquy.functions.keys import path_digest
 from colloquy.functions.rules import EXPORT_DIRECTORY, PRIVATE_DIRECTORY, content_rules, path_rules
 
-# Size limits and directory names of the audit.
+# Sizes that the audit reports, and directory names.
 MAX_FILE_BYTES = 5 * 1024 * 1024
-MAX_PACKAGE_FILE_BYTES = 512 * 1024 * 1024
 BUILD_DIRECTORIES = ("dist", "build", "out", ".next", ".output")
 DEPENDENCY_DIRECTORIES = ("node_modules", ".pnpm-store", ".yarn", ".npm")
 GENERATED_DIRECTORIES = ("dist", "target")
@@ -51,10 +50,14 @@ def scan_entries(rows: DataFrame) -> DataFrame:
     return findings(rows, kind_rules(F.col("kind"), ENTRY_KINDS), path_digest(F.col("path")))
 
 
+def size_rule(column: str, limit: int, rule: str) -> Column:
+    return F.array_compact(F.array(F.when(F.col(column) > limit, F.lit(rule))))
+
+
 def scan_files(rows: DataFrame, limit: int = MAX_FILE_BYTES, domain: str = "repository-path-v1",
                refused: str = "FILE_TOO_LARGE") -> DataFrame:
-    """``(path, length, text)`` rows; a file beyond the limit is a finding, not scanned."""
-    rules = F.when(F.col("length") > limit, F.array(F.lit(refused))).otherwise(content_rules(F.col("text")))
+    """``(path, length, text)`` rows; a file beyond the limit is a finding of its own, and is scanned as well."""
+    rules = F.concat(size_rule("length", limit, refused), content_rules(F.col("text")))
     return findings(rows, rules, path_digest(F.col("path"), domain))
 
 
@@ -66,9 +69,7 @@ def scan_contents_once(entries: DataFrame, contents: DataFrame) -> DataFrame:
     """
     plain = entries.where(~F.col("mode").isin(*OBJECT_MODES)).select("oid", "path")
     wanted = plain.select("oid").distinct()
-    rules = F.when(F.col("size") > MAX_FILE_BYTES, F.array(F.lit("FILE_TOO_LARGE"))).otherwise(
-        content_rules(F.col("text"))
-    )
+    rules = F.concat(size_rule("size", MAX_FILE_BYTES, "FILE_TOO_LARGE"), content_rules(F.col("text")))
     # Only the rules travel on, so a content shared by a third of all paths costs its
     # few rule names per path, and a clean content nothing at all.
     hit = (
@@ -92,10 +93,9 @@ def scan_objects(objects: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     tree = F.concat(path_rules(text, F.lit("source"), F.col("is_directory")), content_rules(text))
-    rules = (
-        F.when(F.col("size") > MAX_FILE_BYTES, F.array(F.lit("GIT_OBJECT_TOO_LARGE")))
-        .when(F.col("type") == "tree", tree)
-        .otherwise(content_rules(text))
+    rules = F.concat(
+        size_rule("size", MAX_FILE_BYTES, "GIT_OBJECT_TOO_LARGE"),
+        F.when(F.col("type") == "tree", tree).otherwise(content_rules(text)),
     )
     return findings(objects, rules, F.col("oid"))
 
@@ -150,9 +150,9 @@ def verdict(found: DataFrame) -> DataFrame:
     )
 
 
-def package_totals(files: DataFrame) -> DataFrame:
-    """Files and bytes that a package audit has scanned, and the files it refused."""
-    ok = F.col("length") <= MAX_PACKAGE_FILE_BYTES
+def package_totals(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files and bytes of a package, and the files beyond the size that the caller allows, if any."""
+    ok = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     return files.agg(
         F.count_if(ok).alias("files"),
         F.coalesce(F.sum(F.when(ok, F.col("length"))), F.lit(0)).cast("bigint").alias("bytes"),

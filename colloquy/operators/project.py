@@ -1,9 +1,9 @@
 """Records to archive rows.
 
-One JSON record is one conversation, and a record is bounded (32 MiB, 50 000
-nodes).  So the whole projection is a narrow, row-local job: header, nodes, text,
-attachment references, reference resolution and diagnostics are computed inside
-the row with higher-order functions, and ingest moves no text through a shuffle.
+One JSON record is one conversation.  The whole projection is a narrow, row-local
+job: header, nodes, text, attachment references, reference resolution and diagnostics
+are computed inside the row with higher-order functions, and ingest moves no text
+through a shuffle.  No record is refused for its size; what is read stays whole.
 Reference checks use hash-based array set operations, so they stay linear in the
 number of nodes.
 
@@ -53,7 +53,7 @@ RECORD = (
 def _part_text(part: Column) -> Column:
     def of_object(v: Column) -> Column:
         shape = V.shaped(v, PART)
-        return let(shape, lambda o: V.first_text([o["text"], o["content"]], S.MAX_TEXT_BYTES))
+        return let(shape, lambda o: V.first_text([o["text"], o["content"]]))
 
     return F.coalesce(V.text_of(part), of_object(part))
 
@@ -65,7 +65,7 @@ def message_parts(content: Column, shape: Column) -> Column:
     """
     from_parts = F.filter(F.transform(shape["parts"], _part_text), lambda t: t.isNotNull())
     whole = F.when(shape.isNull(), V.text_of(content)).otherwise(
-        V.first_text([shape["text"], shape["content"]], S.MAX_TEXT_BYTES)
+        V.first_text([shape["text"], shape["content"]])
     )
     return F.when(shape["parts"].isNotNull(), from_parts).otherwise(F.array_compact(F.array(whole)))
 
@@ -80,11 +80,9 @@ def join_parts(parts: Column) -> Column:
 
 def _candidate(item: Column, from_metadata: bool) -> Column:
     def read(o: Column) -> Column:
-        explicit = V.first_text(
-            [o["file_id"], o["asset_pointer"], o["file_name"], o["filename"]], S.MAX_ID_BYTES
-        )
+        explicit = V.first_text([o["file_id"], o["asset_pointer"], o["file_name"], o["filename"]])
         name = V.first_text([o["name"], o["file_name"], o["filename"], o["title"]], S.MAX_FILENAME_BYTES)
-        listed = V.first_text([o["id"], o["name"], o["title"]], S.MAX_ID_BYTES)
+        listed = V.first_text([o["id"], o["name"], o["title"]])
         mime = V.first_text([o["mime_type"]], S.MAX_MIME_BYTES)
         other = V.first_text([o["content_type"]], S.MAX_MIME_BYTES)
         return F.struct(
@@ -123,19 +121,18 @@ def attachment_candidates(listed: Column, parts: Column) -> Column:
 def _read_node(entry: Column) -> Column:
     node = entry["value"]
     message = node["message"]
-    cut_key = text.byte_truncate(entry["key"], S.MAX_ID_BYTES)
 
     def with_content(shape: Column) -> Column:
         kind = text.byte_truncate(V.text_of(shape["content_type"]), S.MAX_CONTENT_TYPE_BYTES)
         return F.struct(
-            cut_key.alias("map_key"),
+            entry["key"].alias("map_key"),
             node.isNotNull().alias("is_object"),
-            F.coalesce(V.first_text([node["id"]], S.MAX_ID_BYTES), cut_key).alias("raw_id"),
-            V.first_text([node["parent"]], S.MAX_ID_BYTES).alias("parent"),
+            F.coalesce(V.first_text([node["id"]]), entry["key"]).alias("raw_id"),
+            V.first_text([node["parent"]]).alias("parent"),
             F.transform(
                 F.coalesce(node["children"], F.array().cast("array<variant>")), V.text_of
             ).alias("children"),
-            V.first_text([message["id"]], S.MAX_ID_BYTES).alias("message"),
+            V.first_text([message["id"]]).alias("message"),
             text.normalize_role(V.text_of(message["author"]["role"])).alias("role"),
             V.number_of(message["create_time"]).alias("created_at"),
             F.coalesce(kind, F.lit("text")).alias("content_type"),
@@ -149,19 +146,16 @@ def _read_node(entry: Column) -> Column:
 def with_doc(records: DataFrame) -> DataFrame:
     """Adds the parsed ``doc`` and the record's size; drops the text.
 
-    A source that has parsed a record already passes ``doc``; one that found it too
-    large passes neither text nor value.  Of a repeated key the last value counts.
+    A source that has parsed a record already passes ``doc``.  Of a repeated key the
+    last value counts.
     """
     # The parser takes its rule for repeated keys when the plan is made.
     with sql_conf(records.sparkSession, spark__sql__variant__allowDuplicateKeys="true"):
         size = F.octet_length("record").cast("bigint")
-        parsed = F.when(size <= S.MAX_RECORD_BYTES, V.strict_json(F.col("record")))
+        parsed = V.strict_json(F.col("record"))
         if "doc" in records.columns:
             parsed = F.coalesce("doc", parsed)
-        too_large = parsed.isNull() & F.coalesce(size > S.MAX_RECORD_BYTES, F.lit(True))
-        if "doc" not in records.columns:
-            too_large = F.coalesce(size > S.MAX_RECORD_BYTES, F.lit(True))
-        staged = records.withColumns({"record_bytes": size, "too_large": too_large, "doc": parsed})
+        staged = records.withColumns({"record_bytes": size, "doc": parsed})
         return staged.drop("record")
 
 
@@ -172,12 +166,10 @@ def parse_records(records: DataFrame) -> DataFrame:
         {"malformed": F.col("doc").isNull(), "r": V.shaped(F.col("doc"), RECORD)}
     ).drop("doc")
     reason = (
-        F.when(F.col("too_large"), "RECORD_TOO_LARGE")
-        .when(F.col("malformed"), "MALFORMED_RECORD")
+        F.when(F.col("malformed"), "MALFORMED_RECORD")
         .when(F.col("r.mapping").isNull(), "UNSUPPORTED_RECORD")
-        .when(F.size("r.mapping") > S.MAX_NODES, "RESOURCE_LIMIT")
     )
-    return parsed.withColumn("reason", reason).drop("too_large", "malformed")
+    return parsed.withColumn("reason", reason).drop("malformed")
 
 
 def project_records(records: DataFrame) -> DataFrame:
@@ -200,12 +192,12 @@ def _projection(application: str) -> tuple[list[dict[str, Column]], list[Column]
     records.
     """
     r = F.col("r")
-    source_id = V.first_text([r["id"], r["conversation_id"]], S.MAX_ID_BYTES)
+    source_id = V.first_text([r["id"], r["conversation_id"]])
     usable = F.when(F.col("reason").isNull(), F.map_entries(r["mapping"]))
     read = {
         "all_nodes": F.transform(usable, _read_node),
         "conversation_key": keys.conversation_key(F.col("shard_name"), F.col("shard_ordinal"), source_id),
-        "raw_current": V.first_text([r["current_node"]], S.MAX_ID_BYTES),
+        "raw_current": V.first_text([r["current_node"]]),
         "header_title": text.clean_title(V.text_of(r["title"])),
         "created_at": V.number_of(r["create_time"]),
         "updated_at": V.number_of(r["update_time"]),
@@ -213,9 +205,15 @@ def _projection(application: str) -> tuple[list[dict[str, Column]], list[Column]
         "starred": V.first_flag([r["is_starred"], r["starred"]]),
     }
     lists = {
-        "nodes0": F.filter("all_nodes", lambda n: n["is_object"]),
+        "objects": F.filter("all_nodes", lambda n: n["is_object"]),
         "map_keys": F.col("all_nodes.map_key"),
     }
+    # Of nodes that repeat an id the first one counts.  Ids hardly ever repeat, so the
+    # places are looked up only then.
+    seen = F.col("objects.raw_id")
+    repeats = F.size(F.array_distinct(seen)) < F.size(seen)
+    firsts = F.filter("objects", lambda n, i: F.array_position(seen, n["raw_id"]) == i + 1)
+    unique = {"nodes0": F.when(repeats, firsts).otherwise(F.col("objects"))}
     refs = F.array_union(
         F.col("nodes0.parent"), F.array_append(F.flatten("nodes0.children"), F.col("raw_current"))
     )
@@ -236,22 +234,7 @@ def _projection(application: str) -> tuple[list[dict[str, Column]], list[Column]
         found = ~F.array_contains(F.col("unknown"), ref)
         return F.when(found, F.coalesce(F.try_element_at(F.col("alias"), ref), ref))
 
-    limited = (
-        F.exists("nodes0", lambda n: F.size(n["children"]) > S.MAX_CHILDREN)
-        | F.exists("nodes0", lambda n: F.octet_length(n["joined"]) > S.MAX_TEXT_BYTES)
-        | (
-            F.aggregate("nodes0", F.lit(0), lambda acc, n: acc + F.size(n["candidates"]))
-            > S.MAX_ATTACHMENTS
-        )
-    )
-    duplicate = F.size(F.array_distinct("ids")) < F.size("ids")
-    judged = {
-        "alias": alias,
-        "reason": F.coalesce(
-            F.col("reason"),
-            F.when(limited, F.lit("RESOURCE_LIMIT")).when(duplicate, F.lit("DUPLICATE_NODE_ID")),
-        ),
-    }
+    judged = {"alias": alias}
 
     def finish(n: Column, position: Column) -> Column:
         attachments = F.array_distinct(n["candidates"])
@@ -304,7 +287,8 @@ def _projection(application: str) -> tuple[list[dict[str, Column]], list[Column]
         return F.aggregate("nodes", F.lit(0).cast("bigint"), lambda acc, n: acc + n[field].cast("bigint"))
 
     counts = [
-        ("INVALID_NODE", (F.size("all_nodes") - F.size("nodes")).cast("bigint")),
+        ("INVALID_NODE", (F.size("all_nodes") - F.size("objects")).cast("bigint")),
+        ("DUPLICATE_NODE_ID", (F.size("objects") - F.size("nodes")).cast("bigint")),
         ("MISSING_PARENT", total("missing_parent")),
         ("INVALID_CHILD_REFERENCE", total("invalid_children")),
         ("MISSING_CHILD", total("missing_children")),
@@ -343,7 +327,7 @@ def _projection(application: str) -> tuple[list[dict[str, Column]], list[Column]
             lambda n: n.dropFields("missing_parent", "invalid_children", "missing_children", "n_children"),
         ).alias("nodes"),
     ]
-    return [read, lists, references, judged, shaped, marked, leaf_ids, fallback], columns
+    return [read, lists, unique, references, judged, shaped, marked, leaf_ids, fallback], columns
 
 
 # ---------------------------------------------------------------- table views

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy import schemas as S
 from colloquy.functions.markdown import markdown_text
 from colloquy.functions.text import (
     display_role, display_title, encode_controls, export_file_name, is_blank, let, markdown_inline,
@@ -80,10 +79,10 @@ def _heading(fmt: str, title: Column, n: Column) -> Column:
     )
 
 
-def documents(detail: DataFrame, fmt: str) -> DataFrame:
-    """One document per conversation.  Those beyond 128 MiB get ``reason`` and no text.
+def documents(detail: DataFrame, fmt: str, max_bytes: int | None = None) -> DataFrame:
+    """One document per conversation.
 
-    A conversation comes from one record of at most 32 MiB, which bounds its blocks.
+    With a size limit, documents beyond it get a ``reason`` and no text.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
@@ -113,7 +112,7 @@ def documents(detail: DataFrame, fmt: str) -> DataFrame:
         n.cast("bigint").alias("attachment_count"),
         text.alias("document"),
     ).withColumn("byte_size", F.octet_length("document").cast("bigint"))
-    too_big = F.col("byte_size") > S.MAX_EXPORT_BYTES
+    too_big = F.lit(False) if max_bytes is None else F.col("byte_size") > max_bytes
     return built.withColumn("reason", F.when(too_big, "RESOURCE_LIMIT")).withColumn(
         "document", F.when(~too_big, F.col("document"))
     )

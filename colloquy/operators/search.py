@@ -1,6 +1,6 @@
 """Full-text search on an inverted-index table.
 
-A search is up to 16 terms split at white space.  A term is a phrase of adjacent
+A search is a list of terms split at white space.  A term is a phrase of adjacent
 words whose last word is a prefix; all terms must hit the title or the body.  The
 index has one row per (token, column, conversation) with the word positions; it is
 range-partitioned and sorted by token, so a prefix read touches few row groups and
@@ -43,14 +43,10 @@ def write_postings(index: DataFrame, path: str) -> None:
 def search_terms(searches: DataFrame) -> DataFrame:
     """``(query_id, search)`` to one row per term: its number, its words, the term count.
 
-    An empty search has no terms and so no row; one of more than 512 bytes is refused.
+    An empty search has no terms and so no row; every term counts.
     """
     trimmed = trim_ws(F.col("search"))
-    checked = F.when(
-        F.octet_length(trimmed) > S.MAX_SEARCH_BYTES,
-        F.raise_error(F.lit(f"search text is longer than {S.MAX_SEARCH_BYTES} bytes")).cast("string"),
-    ).otherwise(trimmed)
-    terms = F.slice(F.split(checked, f"[{WS}]+"), 1, S.MAX_SEARCH_TERMS)
+    terms = F.split(trimmed, f"[{WS}]+")
     rows = searches.where(trimmed != "").select("query_id", F.posexplode(terms).alias("term_no", "term"))
     return rows.select("query_id", "term_no", "term", fold.tokens(F.col("term")).alias("words"))
 
@@ -72,7 +68,7 @@ def word_hits(words: DataFrame, index: DataFrame) -> DataFrame:
     wanted = words.select("word", "is_prefix").distinct()
     exact = wanted.where(~F.col("is_prefix")).select("word", "is_prefix", F.col("word").alias("token"))
     lengths = wanted.where("is_prefix").select(F.length("word").alias("len")).distinct()
-    # The lengths in use: at most 512, the byte bound of a search.
+    # The lengths of words in use: a few numbers for each search.
     used = [row.len for row in lengths.collect()]
     cuts = F.array(*[F.when(F.length("token") >= n, F.left("token", F.lit(n))) for n in sorted(used)])
     vocabulary = index.select("token").distinct()
@@ -119,7 +115,7 @@ def matches(terms: DataFrame, index: DataFrame) -> DataFrame:
     found = (
         term_hits(term_words(terms), index)
         .groupBy("query_id", "conversation_key")
-        .agg(F.expr("bit_count(bit_or(shiftleft(1, term_no)))").alias("found"))
+        .agg(F.count_distinct("term_no").alias("found"))
     )
     return (
         found.join(needed, "query_id")
@@ -146,14 +142,12 @@ def one_search(index: DataFrame, terms: list[list[str]]) -> DataFrame:
         return index.select("conversation_key").where(F.lit(False))
     rows = phrase_filter(index, sorted({w for words in terms for w in words}))
     if all(len(words) == 1 for words in terms):
-        bits = [F.when(F.col("token").startswith(w[0]), 1 << i).otherwise(0) for i, w in enumerate(terms)]
-        mask = bits[0]
-        for bit in bits[1:]:
-            mask = mask.bitwiseOR(bit)
-        found = rows.select("conversation_key", mask.alias("mask"))
-        return found.groupBy("conversation_key").agg(F.bit_or("mask").alias("mask")).where(
-            F.col("mask") == (1 << len(terms)) - 1
-        ).select("conversation_key")
+        asked = sorted({words[0] for words in terms})
+        flags = [F.bool_or(F.col("token").startswith(word)).alias(f"f{i}") for i, word in enumerate(asked)]
+        found = rows.groupBy("conversation_key").agg(*flags)
+        for i in range(len(asked)):
+            found = found.where(F.col(f"f{i}"))
+        return found.select("conversation_key")
     asked = index.sparkSession.createDataFrame(
         [("q", i, words) for i, words in enumerate(terms)], "query_id string, term_no int, words array<string>"
     )
@@ -178,10 +172,10 @@ def term_starts(words: Column, terms: list[list[str]]) -> Column:
 def with_preview(page: DataFrame, documents: DataFrame, terms: list[list[str]]) -> DataFrame:
     """Adds the preview to the rows of one page.
 
-    A page has at most a hundred rows, which makes it safe to broadcast; the hits are
-    found again in those few bodies.
+    The hits are found again in the bodies of the page; adaptive execution broadcasts a
+    page that is small.
     """
-    bodies = documents.select("conversation_key", "body").join(F.broadcast(page), "conversation_key")
+    bodies = documents.select("conversation_key", "body").join(page, "conversation_key")
     # Bound once: a position looks into the words, and must not make them anew.
     starts = let(fold.tokens(F.col("body")), lambda words: term_starts(words, terms))
     preview = let(starts, lambda found: snippet(F.col("body"), found))
@@ -193,11 +187,11 @@ def snippet(body: Column, starts: Column) -> Column:
 
     ``starts`` holds ``(start, term_no)`` structs of the body hits, in order.  The window
     that covers the most different terms wins, the earliest one on a tie; without a body
-    hit it is the first words.  A window holds at most 18 words and 16 terms, so each
-    start looks at a bounded slice of the hits after it.
+    hit it is the first words.  A window holds at most 18 words, each with a hit of
+    every term at most, so each start looks at so many hits after it.
     """
     width = S.SNIPPET_TOKENS
-    reach = width * S.MAX_SEARCH_TERMS
+    reach = F.size(F.array_distinct(F.transform(starts, lambda h: h["term_no"]))) * width
 
     def terms_in(hits: Column) -> Column:
         return F.size(F.array_distinct(F.transform(hits, lambda h: h["term_no"])))
@@ -207,7 +201,7 @@ def snippet(body: Column, starts: Column) -> Column:
         last = F.greatest(n - width, F.lit(0))
 
         def score(hit: Column, i: Column) -> Column:
-            near = F.slice(starts, i + 1, F.lit(reach))
+            near = F.slice(starts, i + 1, reach)
             inside = F.filter(near, lambda h: h["start"] < hit["start"] + width)
             return F.struct(terms_in(inside).alias("terms"), (-hit["start"]).alias("back"))
 

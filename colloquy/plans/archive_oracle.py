@@ -87,7 +87,7 @@ best AS (
   FROM down d JOIN nx x ON x.c = d.c AND x.t = d.t WHERE x.n_children = 0 GROUP BY 1, 2),
 headers AS (
   SELECT cur.c, conversation_key, shard_name, shard_ordinal,
-    CASE WHEN c % 9 = 0 OR c % 10 = 7 THEN 'Untitled conversation' ELSE left(k.text, 60) END AS title,
+    CASE WHEN c % 9 = 0 OR c % 10 = 7 THEN 'Untitled conversation' ELSE k.text END AS title,
     c * 1000e0 AS created_at, CASE WHEN c % 6 <> 0 THEN c * 1000e0 + mt END AS updated_at,
     CASE WHEN c % 5 <> 1 THEN c % 5 = 0 END AS archived,
     CASE WHEN c % 7 <> 1 THEN c % 7 = 0 END AS starred,
@@ -171,7 +171,7 @@ SEARCH = f"""
 asked AS (SELECT * FROM (VALUES {_VALUES}) v(query_id, search)),
 terms AS (
   SELECT query_id, i - 1 AS term_no, parts[i] AS term, regexp_extract_all(strip_accents(lower(parts[i])), '[\\p{{L}}\\p{{N}}]+') AS w
-  FROM (SELECT query_id, string_split_regex(trim(search), '\\s+') AS parts, unnest(generate_series(1, least(16, len(parts)))) AS i
+  FROM (SELECT query_id, string_split_regex(trim(search), '\\s+') AS parts, unnest(generate_series(1, len(parts))) AS i
         FROM asked WHERE trim(search) <> '')),
 cols AS (
   SELECT conversation_key, 'title' AS "column", regexp_extract_all(strip_accents(lower(title)), '[\\p{{L}}\\p{{N}}]+') AS toks FROM bodies
@@ -242,10 +242,17 @@ def _summary(offset: int, size: int) -> str:
       {offset} + least(greatest(total - {offset}, 0), {size}) < total AS has_more FROM (SELECT count(*) AS total FROM page)"""
 
 
+def cut(expr: str, n: int) -> str:
+    """Longest prefix of n bytes that is whole characters."""
+    tries = ", ".join(f"try(decode(encode({expr})[1:{n - i}]))" for i in range(4))
+    return f"CASE WHEN strlen({expr}) <= {n} THEN {expr} ELSE coalesce({tries}) END"
+
+
 def _document(fmt: str) -> str:
     escape = r"regexp_replace(x, '([\\`*_{}\[\]<>#|!])', '\\\1', 'g')"
     title = "trim(regexp_replace(title, '\\s+', ' ', 'g'))"
-    name = """regexp_replace(regexp_replace(title, '[^\\p{L}\\p{N}]+', '-', 'g'), '^-|-$', '', 'g')"""
+    stem = """regexp_replace(regexp_replace(title, '[^\\p{L}\\p{N}]+', '-', 'g'), '^-|-$', '', 'g')"""
+    name = f"regexp_replace({cut(stem, 96)}, '-$', '')"
     notice = """CASE coalesce(n_files, 0) WHEN 0 THEN '' WHEN 1 THEN ' (1 attachment omitted.)'
       ELSE ' (' || n_files || ' attachments omitted.)' END"""
     role = "upper(left(role, 1)) || substr(role, 2)"

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy import schemas as S
 from colloquy.operators import project
 from colloquy.session import materialize
 from colloquy.sources import shards
 
+# Larger shards are read by many tasks.
+WHOLE_SHARD_BYTES = 32 * 1024 * 1024
+
 
 def ingest_shards(spark: SparkSession, listed: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Write the projected rows of listed shards below ``path``, by shard.
@@ -20,8 +22,8 @@ def ingest_shards(spark: SparkSession, listed: DataFrame, path: str) -> tuple[Da
     10 000 rows, so its paths fit the driver.
     """
     paths = {r.name: (r.path, r.byte_size) for r in listed.select("name", "path", "byte_size").collect()}
-    small = [p for p, size in paths.values() if size <= S.MAX_RECORD_BYTES]
-    pieces = [p for p, size in paths.values() if size > S.MAX_RECORD_BYTES]
+    small = [p for p, size in paths.values() if size <= WHOLE_SHARD_BYTES]
+    pieces = [p for p, size in paths.values() if size > WHOLE_SHARD_BYTES]
     refused = spark.createDataFrame([], "shard_name string, reason string")
     schema, mode = None, "overwrite"
     if small:

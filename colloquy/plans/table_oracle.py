@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from colloquy.operators.privacy import ENTRY_KINDS
 from colloquy.plans import table_queries as Q
-from colloquy.plans.archive_oracle import BASE
+from colloquy.plans.archive_oracle import BASE, cut
 
-# The rules in the pattern dialect of the checking engine.
+# The rules in the pattern dialect of the checking engine.
 SECRETS = {
     "SECRET_PRIVATE_KEY": "-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
     "SECRET_AWS_ACCESS_KEY": r"\bAKIA[0-9A-Z]{16}\b",
@@ -25,6 +25,7 @@ SECRETS = {
     "SECRET_ASSIGNED_CREDENTIAL": r"(?i)\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|password|passwd)\b\s*[:=]\s*[\"''][^\"''\r\n]{12,}[\"'']",
     "SECRET_CREDENTIAL_URL": r"(?i)\b[a-z][a-z0-9+.-]*://[^/\s:@]{1,128}:[^/\s@]{8,128}@",
 }
+# Patterns of personal data, reserved addresses and image names.
 HOME = r"/Users/[^/\s\"''<>]+/|/home/[^/\s\"''<>]+/|/root/|(?i:[A-Z]:[\\/]+Users[\\/]+[^\\/\s\"''<>]+[\\/])"
 PHONE = r"\b(?:\+[1-9]\d{0,2}[\s.-]?)?(?:\(\d{3}\)|\d{3})[\s.-]\d{3}[\s.-]\d{4}\b"
 GOVERNMENT_ID = r"\b\d{3}-\d{2}-\d{4}\b"
@@ -98,8 +99,8 @@ def _snapshot(later: bool) -> str:
     grown = "CASE WHEN doc_id % 29 = 0 THEN 1 ELSE 0 END" if later else "0"
     moved = "CASE WHEN doc_id % 31 = 0 THEN 60 ELSE 0 END" if later else "0"
     mark = "CASE WHEN doc_id % 41 = 0 THEN 'new' ELSE '' END ||" if later else ""
-    return f"""SELECT doc_id, {Q.ENTRY_NAME_SQL} AS name, n_chars + {grown} AS byte_size, 1700000000 + doc_id * 10 + {moved} AS modified,
-      sha256({mark} text) AS hash FROM documents WHERE doc_id % {23 if later else 37} <> 0"""
+    return f"""SELECT doc_id, {Q.entry_name(later)} AS name, n_chars + {grown} AS byte_size, 1700000000 + doc_id * 10 + {moved} AS modified,
+      sha256({mark} text) AS hash FROM documents"""
 
 
 SNAPSHOTS = f"""WITH s0 AS ({_snapshot(False)}), s1 AS ({_snapshot(True)}),
@@ -127,12 +128,6 @@ def _md_safe() -> str:
     return f"{html} || {code}"
 
 
-def _cut(expr: str, n: int) -> str:
-    """Longest prefix of n bytes that is whole characters."""
-    tries = ", ".join(f"try(decode(encode({expr})[1:{n - i}]))" for i in range(4))
-    return f"CASE WHEN strlen({expr}) <= {n} THEN {expr} ELSE coalesce({tries}) END"
-
-
 def oracle_sql() -> dict[str, str]:
     text_tests = content("text")
     marker = Q.MARKER_SQL
@@ -159,7 +154,7 @@ def oracle_sql() -> dict[str, str]:
         7: "'end' || doc_id || '..dat|file-end' || doc_id || '..dat|file_end' || doc_id || '..dat'",
     }
     candidates = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {v}" for k, v in reference.items()) + " END"
-    shown_name = "trim(regexp_replace(left(text, 40) || '_a_b_' || text, '[\\x00-\\x1F\\x7F]', '', 'g'))"
+    shown_name = "trim(regexp_replace(text || '_a_b_' || text, '[\\x00-\\x1F\\x7F]', '', 'g'))"
     stem = "regexp_replace(regexp_replace(title, '[^\\p{L}\\p{N}]+', '-', 'g'), '^-|-$', '', 'g')"
     size = Q.tables.EXPORT_SHARD_SIZE
     place = f"'conversations-' || (c // {size}) || '.json' AS shard_name, c % {size} AS shard_ordinal"
@@ -172,8 +167,7 @@ def oracle_sql() -> dict[str, str]:
         "x4_home_paths": _text(_only("PII_ABSOLUTE_HOME_PATH")),
         "x5_path_rules": f"WITH {PAGES} SELECT DISTINCT {_hits(paths('path', 'context', 'is_directory'))} AS rule_id, {_digest('path')} AS digest FROM pp",
         "x6_opaque_digests": f"SELECT page_id, {_digest('url')} AS digest, {_digest('url', 'package-path-v1')} AS package_digest FROM pages",
-        "x7_size_gate": f"""WITH {PLANTED} SELECT DISTINCT {_hits({'FILE_TOO_LARGE': f'strlen(text) > {Q.SIZE_LIMIT}'} |
-            {k: f'strlen(text) <= {Q.SIZE_LIMIT} AND {v}' for k, v in text_tests.items()})} AS rule_id, {_digest('path')} AS digest FROM pl""",
+        "x7_size_gate": f"""WITH {PLANTED} SELECT DISTINCT {_hits({'FILE_TOO_LARGE': f'strlen(text) > {Q.SIZE_LIMIT}'} | text_tests)} AS rule_id, {_digest('path')} AS digest FROM pl""",
         "x8_contents_once": f"""WITH {PLANTED}, e AS (SELECT *, {Q.MODE_SQL} AS mode FROM pl)
             SELECT DISTINCT * FROM (
               SELECT {_hits(text_tests)} AS rule_id, {_digest('path')} AS digest FROM e WHERE mode = '100644'
@@ -198,7 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "s2_shard_order": SNAPSHOTS + " SELECT name, CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT) + 1 AS rank FROM m ORDER BY rank, name",
         "s3_attachment_names": SNAPSHOTS + " SELECT name, byte_size FROM s0 WHERE doc_id % 7 IN (0, 1)",
         "s4_validation": SNAPSHOTS + """ SELECT count(*) FILTER (doc_id % 7 IN (2, 6)) AS shard_count, count(*) FILTER (doc_id % 7 IN (0, 1)) AS attachment_file_count,
-            CAST(sum(byte_size) FILTER (doc_id % 7 IN (2, 6)) AS BIGINT) AS total_json_bytes, count(*) FILTER (doc_id % 7 IN (2, 6)) <= 10000 AS supported FROM s0""",
+            CAST(sum(byte_size) FILTER (doc_id % 7 IN (2, 6)) AS BIGINT) AS total_json_bytes, count(*) FILTER (doc_id % 7 IN (2, 6)) > 0 AS supported FROM s0""",
         "s5_array_scan": _elements("0", ""),
         "s6_salvaged_records": _elements("0, 1", "UNION ALL SELECT 'conversations-' || b || '.json', n, NULL, NULL FROM blk WHERE b % 6 = 1"),
         "s7_malformed_shards": f"WITH {BLOCKS} SELECT 'conversations-' || b || '.json' AS shard_name, 'MALFORMED_JSON' AS reason FROM blk WHERE b % 6 IN (2, 3, 4)",
@@ -219,17 +213,17 @@ def oracle_sql() -> dict[str, str]:
         "f2_day_bounds": """SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(epoch(min(date_trunc('day', ts))) AS DOUBLE) AS first_second,
             (CAST(epoch(min(date_trunc('day', ts))) AS BIGINT) * 1000 + 86399999) / 1000.0 AS last_second, count(*) AS events FROM events GROUP BY 1""",
         "p9_marker_removal": f"SELECT doc_id, sha256(text || {kept}) AS stripped FROM documents",
-        "p13_display_names": f"SELECT doc_id, {_cut(shown_name, 240)} AS name FROM documents",
-        "p14_mime_types": """SELECT doc_id, left(regexp_replace(lang || '/' || source || '; q=' || left(text, 40), '[^A-Za-z0-9/+.-]', '', 'g'), 256) AS mime FROM documents""",
-        "p15_byte_truncation": f"SELECT doc_id, {_cut('text', 101)} AS cut FROM documents",
+        "p13_display_names": f"SELECT doc_id, {cut(shown_name, 240)} AS name FROM documents",
+        "p14_mime_types": """SELECT doc_id, left(regexp_replace(lang || '/' || source || '; q=' || text, '[^A-Za-z0-9/+.-]', '', 'g'), 256) AS mime FROM documents""",
+        "p15_byte_truncation": f"SELECT doc_id, {cut('text', 101)} AS cut FROM documents",
         "j5_candidate_names": f"SELECT doc_id, {candidates} AS names FROM documents",
         "e3_control_characters": """SELECT page_id, sha256(html || '[U+0007]' || 'a' || chr(10) || '[U+001B]' || 'b' || chr(10) || chr(9) || '[U+007F]') AS encoded FROM pages""",
         "e4_markdown_text": f"SELECT page_id, sha256({_md_safe()}) AS safe FROM pages",
-        "e5_inline_escape": r"""SELECT page_id, regexp_replace('a*b_c`' || left(html, 300), '([\\`*_{}\[\]<>#|!])', '\\\1', 'g') AS escaped FROM pages""",
+        "e5_inline_escape": r"""SELECT page_id, regexp_replace('a*b_c`' || html, '([\\`*_{}\[\]<>#|!])', '\\\1', 'g') AS escaped FROM pages""",
         "e6_display_titles": r"""SELECT doc_id, CASE WHEN doc_id % 10 IN (3, 4) THEN 'Untitled conversation'
-            ELSE trim(regexp_replace(left(text, 80), '\s+', ' ', 'g')) END AS title FROM documents""",
+            ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS title FROM documents""",
         "e7_opaque_identifiers": "SELECT doc_id, doc_id % 6 < 4 AS opaque FROM documents",
         "e8_file_names": f"""WITH t AS (SELECT doc_id, trim({Q.TITLE_SQL}) AS title FROM documents), s AS (SELECT doc_id, {stem} AS stem FROM t),
-            c AS (SELECT doc_id, regexp_replace({_cut('stem', 96)}, '-$', '') AS stem FROM s)
+            c AS (SELECT doc_id, regexp_replace({cut('stem', 96)}, '-$', '') AS stem FROM s)
             SELECT doc_id, CASE WHEN doc_id % 10 IN (2, 3) THEN 'Untitled-conversation' WHEN doc_id % 10 = 1 THEN 'Conversation-' || stem ELSE stem END || '.md' AS name FROM c""",
     }

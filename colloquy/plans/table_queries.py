@@ -220,9 +220,9 @@ REFERENCE_SQL = """CASE doc_id % 8
   WHEN 2 THEN '../' || doc_id WHEN 3 THEN 'https://h/' WHEN 4 THEN 'con.' || doc_id WHEN 5 THEN 'file_' || doc_id
   WHEN 6 THEN ' img ' || doc_id || ' ' ELSE 'end' || doc_id || '.' END"""
 TITLE_SQL = """CASE doc_id % 10 WHEN 1 THEN 'com' || (1 + doc_id % 9) WHEN 2 THEN ' ** ' WHEN 3 THEN md5(text)
-  ELSE ' ../' || left(text, 150) END"""
+  ELSE ' ../' || text END"""
 HEADING_SQL = """CASE doc_id % 10 WHEN 3 THEN md5(text) WHEN 4 THEN chr(9) || chr(10)
-  ELSE '  ' || replace(left(text, 80), ' ', chr(9) || ' ') || chr(7) END"""
+  ELSE '  ' || replace(text, ' ', chr(9) || ' ') || chr(7) END"""
 CONTROL_SQL = "html || chr(7) || 'a' || chr(13) || chr(10) || chr(27) || 'b' || chr(13) || chr(9) || chr(127)"
 CODE_SQL = (
     "html || chr(10) || '```x' || chr(10) || '<b>&' || chr(10) || '~~~' || chr(10) || '````  ' || chr(10)"
@@ -243,19 +243,23 @@ def _day_bounds(spark: SparkSession, folder: str) -> DataFrame:
 
 # ----------------------------------------------------------------- inventories
 
-ENTRY_NAME_SQL = """CASE doc_id % 7 WHEN 0 THEN 'file-' || doc_id || '.dat' WHEN 1 THEN 'FILE_' || doc_id || '.DAT'
-  WHEN 2 THEN 'conversations-' || doc_id || '.json' WHEN 3 THEN 'conversations-x' || doc_id || '.json'
-  WHEN 4 THEN 'file' || doc_id || '.dat' WHEN 5 THEN 'file-' || doc_id || '.data' ELSE 'conversations-0' || doc_id || '.json' END"""
+ENTRY_NAME_SQL = """CASE doc_id % 7 WHEN 0 THEN 'file-' || {n} || '.dat' WHEN 1 THEN 'FILE_' || {n} || '.DAT'
+  WHEN 2 THEN 'conversations-' || {n} || '.json' WHEN 3 THEN 'conversations-x' || {n} || '.json'
+  WHEN 4 THEN 'file' || {n} || '.dat' WHEN 5 THEN 'file-' || {n} || '.data' ELSE 'conversations-0' || {n} || '.json' END"""
+
+
+def entry_name(later: bool) -> str:
+    """Names of a snapshot.  Some files have a name that only one of the snapshots knows."""
+    number = "CASE WHEN doc_id % 23 = 0 THEN '8' ELSE '' END" if later else "CASE WHEN doc_id % 37 = 0 THEN '7' ELSE '' END"
+    return ENTRY_NAME_SQL.format(n=f"({number} || doc_id)")
 
 
 def snapshot(spark: SparkSession, folder: str, later: bool = False) -> DataFrame:
-    """Files named after the documents; the later snapshot lost, gained and changed some."""
+    """A file for each document; the later snapshot lost, gained and changed some."""
     grown = "CASE WHEN doc_id % 29 = 0 THEN 1 ELSE 0 END" if later else "0"
     moved = "CASE WHEN doc_id % 31 = 0 THEN 60 ELSE 0 END" if later else "0"
-    docs = tables.table(spark, folder, "documents")
-    docs = docs.where("doc_id % 23 <> 0") if later else docs.where("doc_id % 37 <> 0")
-    return docs.select(
-        F.expr(ENTRY_NAME_SQL).alias("name"),
+    return tables.table(spark, folder, "documents").select(
+        F.expr(entry_name(later)).alias("name"),
         F.expr(f"n_chars + {grown}").alias("byte_size"),
         F.timestamp_seconds(F.expr(f"1700000000 + doc_id * 10 + {moved}")).alias("modified"),
         F.sha2(F.concat(F.expr("CASE WHEN doc_id % 41 = 0 THEN 'new' ELSE '' END") if later else F.lit(""), "text"), 256).alias("hash"),
@@ -435,16 +439,16 @@ def queries() -> dict[str, Query]:
         "f2_day_bounds": _day_bounds,
         "p9_marker_removal": _over("documents", "doc_id", stripped=_hashed(text.strip_markers(F.expr(f"text || {MARKER_SQL}")))),
         "p13_display_names": _over(
-            "documents", "doc_id", name=text.clean_display_name(F.expr("left(text, 40) || '/a:b' || chr(92) || chr(7) || text"))
+            "documents", "doc_id", name=text.clean_display_name(F.expr("text || '/a:b' || chr(92) || chr(7) || text"))
         ),
-        "p14_mime_types": _over("documents", "doc_id", mime=text.clean_mime(F.expr("lang || '/' || source || '; q=' || left(text, 40)"))),
+        "p14_mime_types": _over("documents", "doc_id", mime=text.clean_mime(F.expr("lang || '/' || source || '; q=' || text"))),
         "p15_byte_truncation": _over("documents", "doc_id", cut=text.byte_truncate(F.col("text"), 101)),
         "j5_candidate_names": _over(
             "documents", "doc_id", names=F.array_join(A.candidate_names(F.expr(REFERENCE_SQL)), "|")
         ),
         "e3_control_characters": _over("pages", "page_id", encoded=_hashed(text.encode_controls(F.expr(CONTROL_SQL)))),
         "e4_markdown_text": _over("pages", "page_id", safe=_hashed(markdown_text(F.expr(CODE_SQL)))),
-        "e5_inline_escape": _over("pages", "page_id", escaped=text.markdown_inline(F.expr("'a*b_c`' || left(html, 300)"))),
+        "e5_inline_escape": _over("pages", "page_id", escaped=text.markdown_inline(F.expr("'a*b_c`' || html"))),
         "e6_display_titles": _over("documents", "doc_id", title=text.display_title(F.expr(HEADING_SQL))),
         "e7_opaque_identifiers": _over(
             "documents", "doc_id", opaque=text.is_opaque_identifier(F.expr(IDENTIFIER_SQL.replace("sha256(text)", "sha2(text, 256)")))

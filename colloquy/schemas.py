@@ -1,31 +1,17 @@
-"""Limits, domains and table columns of the archive."""
+"""Sizes of what is shown, domains and table columns of the archive."""
 
 from __future__ import annotations
 
-# Limits of the archive format.
-MAX_RECORD_BYTES = 32 * 1024 * 1024
+# The nesting that is read, and sizes of what is shown.
 MAX_NESTING_DEPTH = 256
-MAX_SHARDS = 10_000
-MAX_ATTACHMENT_FILES = 1_000_000
-MAX_TOTAL_JSON_BYTES = 64 * 1024 * 1024 * 1024
-MAX_NODES = 50_000
-MAX_CHILDREN = 10_000
-MAX_ATTACHMENTS = 2_000
-MAX_TEXT_BYTES = 4 * 1024 * 1024
 MAX_TITLE_BYTES = 8 * 1024
-MAX_ID_BYTES = 8 * 1024
 MAX_FILENAME_BYTES = 1_024
 MAX_MIME_BYTES = 256
 MAX_CONTENT_TYPE_BYTES = 128
 MAX_MARKER_BYTES = 16 * 1024
 MAX_NAME_BYTES = 240
-MAX_BRANCHES = 100
 BRANCH_PREVIEW_CHARS = 180
-MAX_PAGE_SIZE = 100
 DEFAULT_PAGE_SIZE = 50
-MAX_PAGE_NUMBER = 100_000
-MAX_SEARCH_BYTES = 512
-MAX_SEARCH_TERMS = 16
 SNIPPET_TOKENS = 18
 SIGNATURE_BYTES = 64 * 1024
 MAX_TEXT_PREVIEW_BYTES = 2 * 1024 * 1024
@@ -33,7 +19,6 @@ MAX_INLINE_MEDIA_BYTES = 64 * 1024 * 1024
 MAX_DOWNLOAD_BYTES = 16 * 1024 * 1024 * 1024
 MAX_IMAGE_SIDE = 8_192
 MAX_IMAGE_PIXELS = 16_777_216
-MAX_EXPORT_BYTES = 128 * 1024 * 1024
 MAX_STEM_BYTES = 96
 
 # Domains.

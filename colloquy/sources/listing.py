@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy import schemas as S
 from colloquy.functions.text import ascii_lower
 
 
@@ -60,19 +59,20 @@ def attachments_in(files: DataFrame) -> DataFrame:
     return files.where(is_attachment_name(F.col("name")))
 
 
-def validation(files: DataFrame) -> DataFrame:
-    """Counts and sizes of an export, and whether it is within the limits."""
+def validation(files: DataFrame, max_shards: int | None = None, max_attachments: int | None = None,
+               max_json_bytes: int | None = None) -> DataFrame:
+    """Counts and sizes of an export, and whether it has shards and is within the limits that the caller sets."""
     shard, attached = is_shard_name(F.col("name")), is_attachment_name(F.col("name"))
     counts = files.agg(
         F.count_if(shard).alias("shard_count"),
         F.count_if(attached).alias("attachment_file_count"),
         F.coalesce(F.sum(F.when(shard, F.col("byte_size"))), F.lit(0)).cast("bigint").alias("total_json_bytes"),
     )
-    supported = (
-        F.col("shard_count").between(1, S.MAX_SHARDS)
-        & (F.col("attachment_file_count") <= S.MAX_ATTACHMENT_FILES)
-        & (F.col("total_json_bytes") <= S.MAX_TOTAL_JSON_BYTES)
-    )
+    supported = F.col("shard_count") >= 1
+    limits = {"shard_count": max_shards, "attachment_file_count": max_attachments, "total_json_bytes": max_json_bytes}
+    for name, limit in limits.items():
+        if limit is not None:
+            supported = supported & (F.col(name) <= limit)
     return counts.withColumn("supported", supported)
 
 

@@ -111,8 +111,7 @@ def _lowest(brackets: Column) -> Column:
 def cut_records(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records of the pieces, and the shards that are not one JSON array.
 
-    Records are ``(shard_name, shard_ordinal, record)``; an element beyond the size
-    limit has a null ``record``.
+    Records are ``(shard_name, shard_ordinal, record)``.
     """
     place = F.struct("block", "seq")
     ends = pieces.groupBy("shard_name").agg(F.min(place).alias("start"), F.max(place).alias("end"))
@@ -170,12 +169,7 @@ def cut_records(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = shape.select("shard_name", good.alias("good"), reason.alias("reason"))
     malformed = judged.where(~F.col("good")).select("shard_name", "reason")
 
-    sizes = grouped.groupBy("shard_name", "group").agg(F.sum("size").alias("bytes"))
-    huge = sizes.where(F.col("bytes") > S.MAX_RECORD_BYTES + 1024).select("shard_name", "group")
-    # Each huge group stands for more than 32 MiB of input, which bounds their number.
-    kept = grouped.join(F.broadcast(huge), ["shard_name", "group"], "left_anti").join(
-        malformed.select("shard_name"), "shard_name", "left_anti"
-    )
+    kept = grouped.join(malformed.select("shard_name"), "shard_name", "left_anti")
     piece = F.when(F.col("is_last"), F.col("piece")).otherwise(F.concat("piece", F.lit("}")))
     lumps = kept.groupBy("shard_name", "group").agg(
         F.array_join(
@@ -187,7 +181,7 @@ def cut_records(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("block").alias("block"),
         F.bool_or("is_last").alias("is_last"),
     )
-    return _elements(lumps, huge.join(malformed, "shard_name", "left_anti"), grouped), malformed
+    return _elements(lumps), malformed
 
 
 def split_elements(lump: str) -> list[str]:
@@ -217,7 +211,7 @@ def _split(lumps: pd.Series) -> pd.Series:
     return lumps.map(lambda t: None if t is None else split_elements(t))
 
 
-def _elements(lumps: DataFrame, huge: DataFrame, grouped: DataFrame) -> DataFrame:
+def _elements(lumps: DataFrame) -> DataFrame:
     """Lumps to elements with their place in the array.
 
     A lump is nearly always one element.  Scalars and arrays between two objects share
@@ -233,14 +227,7 @@ def _elements(lumps: DataFrame, huge: DataFrame, grouped: DataFrame) -> DataFram
     one = V.strict_json(F.col("body")).isNotNull()
     many = _split(F.when(~one, F.col("body")))
     parts = rows.select("shard_name", "group", "block", F.coalesce(many, F.array("body")).alias("parts"))
-    where_huge = grouped.join(F.broadcast(huge), ["shard_name", "group"], "left_semi").groupBy("shard_name", "group").agg(
-        F.min("block").alias("block")
-    )
-    null_part = F.array(F.lit(None).cast("string"))
-    everything = materialize(
-        parts.unionByName(where_huge.withColumn("parts", null_part)).withColumn("n", F.size("parts").cast("bigint")),
-        "elements",
-    )
+    everything = materialize(parts.withColumn("n", F.size("parts").cast("bigint")), "elements")
     counts = everything.select("shard_name", "block", F.col("group").alias("seq"), "n")
     placed = _running(counts, "n", "base").select("shard_name", F.col("seq").alias("group"), "base")
     joined = everything.join(placed, ["shard_name", "group"])

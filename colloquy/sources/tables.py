@@ -16,7 +16,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy import schemas as S
 from colloquy.session import spread
 
 OPEN, CLOSE, SEP = "\ue200", "\ue201", "\ue202"
@@ -46,21 +45,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def split_oversized(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Conversations within the record limits, and the keys of those beyond them.
-
-    The limits bound every later per-conversation array.  Each refused key stands
-    for more than 50 000 rows or 32 MiB of text, so even 100 TB has at most about
-    three million of them: that bound is what makes the broadcast safe.
-    """
-    sizes = turns.groupBy("conv_id").agg(
-        F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")
-    )
-    beyond = sizes.where((F.col("rows") > S.MAX_NODES) | (F.col("bytes") > S.MAX_RECORD_BYTES))
-    kept = turns.join(F.broadcast(beyond.select("conv_id")), "conv_id", "left_anti")
-    return kept, beyond
-
-
 _ATTACHMENTS = f"""transform(docs, d -> named_struct(
   'id', if(d % 2 = 0, 'file-' || d, null),
   'asset_pointer', if(d % 2 = 1, 'file-service://file-' || d, null),
@@ -98,7 +82,7 @@ _NODE = f"""named_struct(
 
 _HEADER = f"""named_struct(
   'id', if(c % 8 = 3, null, 'c' || c), 'conversation_id', if(c % 8 = 3, 'c' || c, null),
-  'title', CASE WHEN c % 9 = 0 THEN null WHEN c % 10 = 7 THEN '   ' ELSE left(title_text, 60) END,
+  'title', CASE WHEN c % 9 = 0 THEN null WHEN c % 10 = 7 THEN '   ' ELSE title_text END,
   'create_time', c * 1000e0, 'update_time', if(c % 6 = 0, null, c * 1000e0 + mt),
   'is_archived', if(c % 5 = 1 OR c % 4 = 2, null, c % 5 = 0),
   'archived', if(c % 5 <> 1 AND c % 4 = 2, c % 5 = 0, null),
@@ -109,7 +93,7 @@ _HEADER = f"""named_struct(
 
 def archive_records(spark: SparkSession, folder: str) -> DataFrame:
     """``(shard_name, shard_ordinal, record)`` built from the given tables."""
-    turns, _ = split_oversized(table(spark, folder, "conversations"))
+    turns = table(spark, folder, "conversations")
     docs = (
         table(spark, folder, "documents")
         .select(F.col("doc_id").alias("d"), F.expr("doc_id div 10").alias("conv_id"))

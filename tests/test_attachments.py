@@ -48,7 +48,7 @@ def test_classification(spark):
     got = {r.name: (r.detected_mime, r.detected_extension, r.preview_kind) for r in A.classify_files(frame).collect()}
     assert got == {n: want for n, (_, _, want) in FILES.items()}
     texts = {r.name: r.text for r in A.read_text_files(frame).collect()}
-    assert texts["text"] == "héllo\n" and "nul" not in texts and "text_big" not in texts
+    assert texts["text"] == "héllo\n" and "nul" not in texts and texts["text_big"] == "plain"
 
 
 def test_jpeg_walk():
@@ -121,3 +121,15 @@ def test_status(spark, size, status, source):
     row = A.resolve_attachments(refs(spark, [("file-a", "Big one")]), files).first()
     assert (row.status, row.source_name, row.byte_size) == (status, source, size)
     assert row.display_name == ("Big one.mp4" if source else "Big one.bin")
+
+
+def test_text_whose_prefix_ends_inside_a_character(spark):
+    rows = []
+    for i, (char, shift) in enumerate([("é", 1), ("日", 1), ("日", 2), ("😀", 1), ("😀", 2), ("😀", 3)]):
+        text = "a" * (65_536 - shift) + char + " end"
+        rows.append((f"e/file-{i}.dat", len(text.encode()), bytearray(text.encode())))
+    rows.append(("e/file-9.dat", 70_000, bytearray(b"a" * 65_530 + b"\xff\xfe" + b"a" * 4_468)))
+    files = spark.createDataFrame(rows, "path string, length bigint, content binary")
+    kinds = {r.name: r.preview_kind for r in A.classify_files(files).collect()}
+    assert kinds == {**{f"file-{i}.dat": "text" for i in range(6)}, "file-9.dat": "unsupported"}
+    assert A.read_text_files(files).count() == 6

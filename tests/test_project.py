@@ -75,12 +75,27 @@ def by_id(row):
 def test_rejections(rows):
     reasons = {name: row.reason for name, row in rows.items() if row.reason}
     assert reasons == {
-        "too_many_children": "RESOURCE_LIMIT", "duplicate_ids": "DUPLICATE_NODE_ID", "not_object": "UNSUPPORTED_RECORD",
+        "not_object": "UNSUPPORTED_RECORD",
         "no_mapping": "UNSUPPORTED_RECORD", "array_mapping": "UNSUPPORTED_RECORD", "broken": "MALFORMED_RECORD",
-        "trailing": "MALFORMED_RECORD", "long_text": "RESOURCE_LIMIT",
+        "trailing": "MALFORMED_RECORD",
     }
 
 
+def test_nothing_is_refused_for_its_size(rows):
+    assert len(rows["long_text"].nodes[0].message_text) == 4 * 1024 * 1024 + 1
+    assert rows["too_many_children"].reason is None
+    assert codes(rows["duplicate_ids"])["DUPLICATE_NODE_ID"] >= 1
+    ids = [n.raw_id for n in rows["duplicate_ids"].nodes]
+    assert len(ids) == len(set(ids)) >= 1
+
+
+def test_long_conversation(spark):
+    n = 3_000
+    chain = {f"n{i}": node(f"n{i}", f"n{i - 1}" if i else None, [f"n{i + 1}"] if i + 1 < n else [], message("t", mid=f"m{i}")) for i in range(n)}
+    row = project.project_records(records_frame(spark, [record(chain, f"n{n - 1}")])).select("reason", "n_nodes", "message_count").first()
+    assert (row.reason, row.n_nodes, row.message_count) == (None, n, n)
+
+
 def test_renderable_messages(rows):
     row = rows["renderable"]
     assert row.message_count == 2

@@ -4,7 +4,6 @@ import json
 
 import pytest
 
-from colloquy import schemas
 from colloquy.plans import ingest
 from colloquy.sources import listing, shards
 
@@ -79,12 +78,11 @@ def test_ingest_takes_both_ways(spark, export, tmp_path):
     assert {r.shard_name for r in bad.collect()} == set(BAD)
 
 
-def test_oversized_record_is_refused_alone(spark, monkeypatch):
-    monkeypatch.setattr(schemas, "MAX_RECORD_BYTES", 2_000)
-    text = json.dumps([{"a": 1}, {"b": "x" * 5_000}, {"c": 2}])
-    texts = spark.createDataFrame([("s", text)], "shard_name string, text string")
+def test_large_record_stays_whole(spark):
+    large = json.dumps({"b": "x" * 300_000})
+    texts = spark.createDataFrame([("s", f'[{{"a": 1}},{large},{{"c": 2}}]')], "shard_name string, text string")
     records, bad = shards.cut_records(shards.text_pieces(texts))
-    assert elements(records) == {("s", 0): '{"a": 1}', ("s", 1): None, ("s", 2): '{"c": 2}'}
+    assert elements(records) == {("s", 0): '{"a": 1}', ("s", 1): large, ("s", 2): '{"c": 2}'}
     assert bad.count() == 0
 
 
