@@ -77,6 +77,19 @@ def with_role(conversations: DataFrame, roles: DataFrame, role: str) -> DataFram
     return conversations.join(keys, "conversation_key", "left_semi")
 
 
+def every_kind(conversations: DataFrame, attachments: DataFrame) -> DataFrame:
+    """``(kind, conversation_key)`` of all kinds in one pass over the attachments."""
+    kinds = F.array_compact(F.array(*[F.when(kind_condition(kind), F.lit(kind)) for kind in S.ATTACHMENT_KINDS]))
+    found = attachments.select("conversation_key", F.explode(kinds).alias("kind")).distinct()
+    return found.join(conversations.select("conversation_key"), "conversation_key", "left_semi").select("kind", "conversation_key")
+
+
+def every_role(conversations: DataFrame, roles: DataFrame) -> DataFrame:
+    """``(role, conversation_key)`` of all roles in one pass over the nodes."""
+    found = roles.where(F.col("role").isin(*S.ROLES)).select("role", "conversation_key").distinct()
+    return found.join(conversations.select("conversation_key"), "conversation_key", "left_semi").select("role", "conversation_key")
+
+
 def conditions(query: ConversationQuery) -> list[Column]:
     found = []
     if query.date_from is not None and math.isfinite(query.date_from):

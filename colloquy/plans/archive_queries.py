@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy import schemas as S
 from colloquy.functions.text import is_opaque_key
 from colloquy.operators import attachments as A
 from colloquy.operators import browse, graph, profile, project, render, search
 from colloquy.operators.browse import ConversationQuery
 from colloquy.plans.archive import Archive, build_archive
-from colloquy.sources import tables
+from colloquy.sources import listing, tables
 
 _ARCHIVES: dict[tuple[str, str], Archive] = {}
 
@@ -54,26 +54,11 @@ def _listed(query: ConversationQuery) -> Callable[[Archive], DataFrame]:
 
 
 def _kinds(ar: Archive) -> DataFrame:
-    parts = [
-        browse.with_kind(ar.conversations, ar.attachments, kind).select(F.lit(kind).alias("kind"), "conversation_key")
-        for kind in S.ATTACHMENT_KINDS
-    ]
-    return _union(parts)
+    return browse.every_kind(ar.conversations, ar.attachments)
 
 
 def _roles(ar: Archive) -> DataFrame:
-    parts = [
-        browse.with_role(ar.conversations, ar.roles, role).select(F.lit(role).alias("role"), "conversation_key")
-        for role in S.ROLES
-    ]
-    return _union(parts)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return browse.every_role(ar.conversations, ar.roles)
 
 
 def _asked(ar: Archive) -> DataFrame:
@@ -141,7 +126,7 @@ def _progress(ar: Archive) -> DataFrame:
     per_shard = project.shard_stats(ar.table).select(
         "shard_name", (F.col("conversations_indexed") + F.col("conversations_skipped")).alias("records")
     )
-    order = Window.orderBy("shard_name")
+    order = Window.orderBy(listing.shard_order(F.col("shard_name")))
     done = F.sum("records").over(order.rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("records").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return per_shard.select(
@@ -171,7 +156,8 @@ def _documents(fmt: str) -> Callable[[Archive], DataFrame]:
 
 def _estimate(ar: Archive) -> DataFrame:
     detail = ar.detail()
-    return _union([render.estimate(render.documents(detail, fmt)) for fmt in render.FORMATS])
+    totals = [render.estimate(render.documents(detail, fmt)) for fmt in render.FORMATS]
+    return reduce(DataFrame.unionByName, totals)
 
 
 def _report(spark: SparkSession, folder: str) -> DataFrame:

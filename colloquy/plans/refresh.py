@@ -34,11 +34,12 @@ MANIFEST = (
 )
 
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    """Complete manifest versions, oldest first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/manifest/v=*/_SUCCESS")
+def _versions(spark: SparkSession, target: str, complete: bool = True) -> list[int]:
+    """Manifest versions, oldest first; the incomplete ones are those of writers that died or still write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/manifest/v=*" + "/_SUCCESS" * complete)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(int(f.getPath().getParent().getName()[2:]) for f in found)
+    folders = [f.getPath().getParent() if complete else f.getPath() for f in found]
+    return sorted(int(f.getName()[2:]) for f in folders)
 
 
 def read_manifest(spark: SparkSession, target: str) -> DataFrame:
@@ -49,10 +50,10 @@ def read_manifest(spark: SparkSession, target: str) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, target: str) -> None:
+    """Commit a new version.  Of two writers that pick the same number one fails; no commit is overwritten."""
     spark = manifest.sparkSession
-    version = (_versions(spark, target) or [0])[-1] + 1
-    # At most 10 000 rows: one small file.
-    manifest.coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest/v={version}")
+    version = (_versions(spark, target, complete=False) or [0])[-1] + 1
+    manifest.write.mode("errorifexists").parquet(f"{target}/manifest/v={version}")
 
 
 def content_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -67,13 +68,15 @@ def content_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
 def read_archive(spark: SparkSession, target: str) -> DataFrame:
     """Live rows: the run of each shard that the newest manifest names."""
     live = read_manifest(spark, target).select(F.col("name").alias("shard_name"), "run")
-    # At most 10 000 manifest rows.  Naming the runs prunes the folders of dead ones.
+    # Naming the runs prunes the folders of dead ones.
     runs = [r.run for r in live.select("run").distinct().collect()]
+    nothing = spark.createDataFrame([], "shard_name string, shard_ordinal bigint, record string")
+    schema = project.project_records(nothing).schema.add("run", "string")
     # Rows without an ordinal are marks of the ingest, not records.
-    rows = spark.read.parquet(f"{target}/archive").where(
+    rows = spark.read.schema(schema).parquet(f"{target}/archive").where(
         F.col("run").isin(runs) & F.col("shard_ordinal").isNotNull()
     )
-    return rows.join(F.broadcast(live), ["shard_name", "run"], "left_semi").drop("run")
+    return rows.join(live, ["shard_name", "run"], "left_semi").drop("run")
 
 
 def store_run(spark: SparkSession, listed: DataFrame, target: str, run: str) -> tuple[DataFrame, DataFrame]:

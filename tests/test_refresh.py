@@ -78,3 +78,15 @@ def test_file_stream(spark, tmp_path):
     ingest.ingest_stream(spark, str(source), target, state).awaitTermination()
     assert titles(spark, target) == ["a", "b", "c"]
     assert refresh.read_manifest(spark, target).count() == 2
+
+
+def test_export_of_nothing_and_two_writers(spark, tmp_path):
+    source, target = tmp_path / "empty", str(tmp_path / "stored")
+    source.mkdir()
+    (source / "conversations.json").write_text("[]")
+    refresh.refresh(spark, str(source), target)
+    assert refresh.open_archive(spark, str(source), target).conversations.count() == 0
+    manifest = refresh.read_manifest(spark, target)
+    manifest.write.parquet(f"{target}/manifest/v=2")
+    refresh.write_manifest(manifest, target)
+    assert refresh._versions(spark, target) == [1, 2, 3]
