@@ -38,7 +38,7 @@ HOT_SHARE = 4000
 CHUNK_HOT = 64
 NO_ID = np.iinfo(np.int64).max
 
-TEXT, REQUEST, HEAVY = 0, 1, 2
+TEXT, HEAVY = 0, 1
 STORE = "kind int, chunk long, entries long, data binary"
 MESSAGE = "bucket long, chunk long, data binary"
 
@@ -167,14 +167,13 @@ def chunked(docs: DataFrame, id_column: str, text_column: str, size: int) -> Cal
             chunk = int.from_bytes(os.urandom(8), "little") >> 1
             rows = pa.Table.from_batches(held)
             found = Suffixes(rows.column(id_column), rows.column(text_column), size)
-            key, run, owner, _, _ = found.digits()
+            key, _, _, _, _ = found.digits()
             fresh = np.flatnonzero(group_starts(key)) if len(key) else np.zeros(0, np.int64)
             many = np.diff(np.append(fresh, len(key)))
             heavy = many >= CHUNK_HOT
-            kinds = [(TEXT, len(found.ids), to_ipc(held)), (REQUEST, len(key), pack(key, run, owner)),
-                     (HEAVY, int(heavy.sum()), pack(key[fresh[heavy]], many[heavy]))]
+            kinds = [(TEXT, len(key), to_ipc(held)), (HEAVY, int(heavy.sum()), pack(key[fresh[heavy]], many[heavy]))]
             return pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _, _ in kinds], pa.int32()), pa.array([chunk] * 3, pa.int64()),
+                [pa.array([k for k, _, _ in kinds], pa.int32()), pa.array([chunk] * len(kinds), pa.int64()),
                  pa.array([n for _, n, _ in kinds], pa.int64()), pa.array([d for _, _, d in kinds], pa.binary())],
                 names=["kind", "chunk", "entries", "data"],
             )
@@ -196,13 +195,16 @@ def chunked(docs: DataFrame, id_column: str, text_column: str, size: int) -> Cal
     return run
 
 
-def deal(hot: np.ndarray, buckets: int) -> Callable:
+def first_requests(id_column: str, text_column: str, size: int, hot: np.ndarray, buckets: int) -> Callable:
+    """The digits of each chunk, made from its text again: cheaper than to keep them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key, run, owner = unpack(data, 3)
-                rows = list(_split(chunk, key_buckets(key, run, hot, buckets), key, run, owner))
-                yield from _messages(rows).to_batches()
+            for chunk, data in zip(batch.column(0), batch.column(1)):
+                rows = from_ipc(data.as_py())
+                key, run, owner, _, _ = Suffixes(rows.column(id_column), rows.column(text_column), size).digits()
+                bucket = key_buckets(key, run, hot, buckets)
+                yield from _messages(list(_split(chunk.as_py(), bucket, key, run, owner))).to_batches()
 
     return run
 
@@ -374,7 +376,8 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", t
         .partitionBy("kind").bucketBy(text_buckets, "chunk").saveAsTable(name)
     )
     kept = spark.table(name)
-    entries = kept.where(F.col("kind") == REQUEST).agg(F.sum("entries")).first()[0] or 0
+    texts = kept.where(F.col("kind") == TEXT).select("chunk", "data", "entries")
+    entries = texts.agg(F.sum("entries")).first()[0] or 0
     buckets = max(2, round(entries / GROUP_ENTRIES))
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,12 +394,9 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", t
     )
     hot = np.sort(np.array([r.key for r in hot_rows.collect()], np.int64).view(np.uint64))
 
-    asked = kept.where((F.col("kind") == REQUEST) & (F.col("entries") > 0)).select("chunk", "data")
-    first = stored(
-        asked.mapInArrow(deal(hot, buckets), MESSAGE).groupBy("bucket").applyInArrow(first_pass(buckets), MESSAGE),
-        "windows-first",
-    )
-    texts = kept.where(F.col("kind") == TEXT).select("chunk", "data")
+    texts = texts.select("chunk", "data")
+    asked = texts.mapInArrow(first_requests(inner_id, inner_text, size, hot, buckets), MESSAGE)
+    first = stored(asked.groupBy("bucket").applyInArrow(first_pass(buckets), MESSAGE), "windows-first")
     windows = texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(
         second_requests(inner_id, inner_text, size, hot, buckets), MESSAGE
     )
