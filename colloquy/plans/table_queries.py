@@ -199,9 +199,10 @@ def _scan_stream(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------- text functions
 
 
-def _over(table: str, key: str, **columns: Column) -> Query:
+def _over(table: str, key: str, **columns: Callable[[], Column]) -> Query:
+    """Columns over a whole table; they are made when the query runs, since that takes a session."""
     return lambda spark, folder: tables.table(spark, folder, table).select(
-        key, *[c.alias(name) for name, c in columns.items()]
+        key, *[make().alias(name) for name, make in columns.items()]
     )
 
 
@@ -408,8 +409,8 @@ def queries() -> dict[str, Query]:
         "x3_phone_and_government_id": _text_rules("~", "PII_PHONE_LIKE", "PII_GOVERNMENT_ID_LIKE"),
         "x4_home_paths": _text_rules("~", "PII_ABSOLUTE_HOME_PATH"),
         "x5_path_rules": _paths,
-        "x6_opaque_digests": _over("pages", "page_id", digest=keys.path_digest(F.col("url")),
-                                   package_digest=keys.path_digest(F.col("url"), "package-path-v1")),
+        "x6_opaque_digests": _over("pages", "page_id", digest=lambda: keys.path_digest(F.col("url")),
+                                   package_digest=lambda: keys.path_digest(F.col("url"), "package-path-v1")),
         "x7_size_gate": _size_gate,
         "x8_contents_once": _contents_once,
         "x9_object_table": _objects,
@@ -437,23 +438,23 @@ def queries() -> dict[str, Query]:
         "i6_refresh_twice": _refreshed,
         "i8_stream_ingest": _streamed,
         "f2_day_bounds": _day_bounds,
-        "p9_marker_removal": _over("documents", "doc_id", stripped=_hashed(text.strip_markers(F.expr(f"text || {MARKER_SQL}")))),
+        "p9_marker_removal": _over("documents", "doc_id", stripped=lambda: _hashed(text.strip_markers(F.expr(f"text || {MARKER_SQL}")))),
         "p13_display_names": _over(
-            "documents", "doc_id", name=text.clean_display_name(F.expr("text || '/a:b' || chr(92) || chr(7) || text"))
+            "documents", "doc_id", name=lambda: text.clean_display_name(F.expr("text || '/a:b' || chr(92) || chr(7) || text"))
         ),
-        "p14_mime_types": _over("documents", "doc_id", mime=text.clean_mime(F.expr("lang || '/' || source || '; q=' || text"))),
-        "p15_byte_truncation": _over("documents", "doc_id", cut=text.byte_truncate(F.col("text"), 101)),
+        "p14_mime_types": _over("documents", "doc_id", mime=lambda: text.clean_mime(F.expr("lang || '/' || source || '; q=' || text"))),
+        "p15_byte_truncation": _over("documents", "doc_id", cut=lambda: text.byte_truncate(F.col("text"), 101)),
         "j5_candidate_names": _over(
-            "documents", "doc_id", names=F.array_join(A.candidate_names(F.expr(REFERENCE_SQL)), "|")
+            "documents", "doc_id", names=lambda: F.array_join(A.candidate_names(F.expr(REFERENCE_SQL)), "|")
         ),
-        "e3_control_characters": _over("pages", "page_id", encoded=_hashed(text.encode_controls(F.expr(CONTROL_SQL)))),
-        "e4_markdown_text": _over("pages", "page_id", safe=_hashed(markdown_text(F.expr(CODE_SQL)))),
-        "e5_inline_escape": _over("pages", "page_id", escaped=text.markdown_inline(F.expr("'a*b_c`' || html"))),
-        "e6_display_titles": _over("documents", "doc_id", title=text.display_title(F.expr(HEADING_SQL))),
+        "e3_control_characters": _over("pages", "page_id", encoded=lambda: _hashed(text.encode_controls(F.expr(CONTROL_SQL)))),
+        "e4_markdown_text": _over("pages", "page_id", safe=lambda: _hashed(markdown_text(F.expr(CODE_SQL)))),
+        "e5_inline_escape": _over("pages", "page_id", escaped=lambda: text.markdown_inline(F.expr("'a*b_c`' || html"))),
+        "e6_display_titles": _over("documents", "doc_id", title=lambda: text.display_title(F.expr(HEADING_SQL))),
         "e7_opaque_identifiers": _over(
-            "documents", "doc_id", opaque=text.is_opaque_identifier(F.expr(IDENTIFIER_SQL.replace("sha256(text)", "sha2(text, 256)")))
+            "documents", "doc_id", opaque=lambda: text.is_opaque_identifier(F.expr(IDENTIFIER_SQL.replace("sha256(text)", "sha2(text, 256)")))
         ),
-        "e8_file_names": _over("documents", "doc_id", name=text.export_file_name(F.expr(TITLE_SQL), "md")),
+        "e8_file_names": _over("documents", "doc_id", name=lambda: text.export_file_name(F.expr(TITLE_SQL), "md")),
     }
     return out
 
