@@ -69,9 +69,16 @@ def fingerprints(docs: DataFrame, size: int, id_column: str = "doc_id", text_col
 
 
 def covering_masks(radius: int) -> list[int]:
-    """The structured masks; bits are dealt to the labels evenly."""
+    """The structured masks.
+
+    Up to a radius of five the bits are dealt to all labels evenly.  At six there are
+    more labels than bits: those with the highest bit set make a first-order
+    Reed-Muller code, whose masks keep 32 bits each (one keeps all).
+    """
+    if not 1 <= radius <= 6:
+        raise ValueError("a radius from 1 to 6 is covered")
     vectors = range(1, 1 << (radius + 1))
-    label = [1 + bit % len(vectors) for bit in range(BITS)]
+    label = [1 + bit % len(vectors) if len(vectors) <= BITS else BITS | bit for bit in range(BITS)]
     return [sum(1 << bit for bit in range(BITS) if (label[bit] & v).bit_count() % 2) for v in vectors]
 
 

@@ -47,11 +47,11 @@ def test_fingerprint_by_definition():
                 assert simhash.fingerprint(text, size) == plain_fingerprint(text, size)
 
 
-@pytest.mark.parametrize("radius", [1, 2, 6])
+@pytest.mark.parametrize("radius", [1, 2, 3, 4, 5, 6])
 def test_masks_cover_every_pair_within_the_radius(radius):
     rng = random.Random(radius)
     masks = simhash.covering_masks(radius)
-    assert len(masks) == 2 ** (radius + 1) - 1
+    assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) >= 32
     for _ in range(2000):
         differing = sum(1 << b for b in rng.sample(range(64), rng.randint(0, radius)))
         assert any(differing & m == 0 for m in masks)
