@@ -110,7 +110,7 @@ class Voters:
         self.weight = np.log((1 + rows) / (1 + seen)).astype(np.float32) + np.float32(1)
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        weighted = self.weighted(counts[:, :FEATURES])
+        weighted = self.weighted(counts)
         rank = min(DIMENSIONS, *weighted.shape) if len(weighted) else 0
         if rank:
             # Randomised subspace iteration; the seed is fixed, so the space is the same each time.
@@ -121,15 +121,20 @@ class Voters:
             self.axes = np.ascontiguousarray((basis @ turn.T)[:, :rank])
         else:
             self.axes = np.zeros((FEATURES, 1), np.float32)
-        self.vectors = self.project(counts)
+        self.vectors = self.placed(weighted, counts)
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
-        rows = np.log1p(counts).astype(np.float32) * self.weight
-        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+        rows = np.log1p(counts[:, :FEATURES], dtype=np.float32)
+        rows *= self.weight
+        rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
+        return rows
 
     def project(self, counts: np.ndarray) -> np.ndarray:
+        return self.placed(self.weighted(counts), counts)
+
+    def placed(self, weighted: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Unit vectors: the latent coordinates and the weighted shape."""
-        latent = self.weighted(counts[:, :FEATURES]) @ self.axes
+        latent = weighted @ self.axes
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         shape = np.sqrt(counts[:, FEATURES:].astype(np.float32) / 1000) * np.float32(SHAPE_WEIGHT)
         rows = np.concatenate((latent, shape), axis=1)
@@ -150,11 +155,11 @@ class Voters:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS) -> Voters:
     """The classifier of rows whose id's crc32 isn't 1 modulo 3; at most ``per_class`` of each label are kept."""
     seen, rows = document_frequencies(docs)
-    sample = labelled_sample(docs, labels, per_class).orderBy("doc_id", "quality").collect()
-    counts = np.zeros((len(sample), FEATURES + SHAPES), np.int32)
-    for at, row in enumerate(sample):
-        counts[at, row.feature] = row.n
-    return Voters(counts, np.array([r.quality for r in sample], np.int64), seen, rows)
+    sample = labelled_sample(docs, labels, per_class).orderBy("doc_id", "quality").toArrow().combine_chunks()
+    counts = np.zeros((sample.num_rows, FEATURES + SHAPES), np.float32)
+    for at, (feature, n) in enumerate(zip(sample.column("feature"), sample.column("n"))):
+        counts[at, feature.values.to_numpy()] = n.values.to_numpy()
+    return Voters(counts, sample.column("quality").to_numpy(), seen, rows)
 
 
 def score(docs: DataFrame, voters: Voters, id_column: str = "doc_id", text_column: str = "text",
