@@ -131,3 +131,21 @@ def test_lm_query_ranks_good_below_bad(spark, sf_dir):
     rows = {r.doc_id: r.score for r in lm_score.op10_cross_entropy_difference(spark, sf_dir).collect()}
     good, bad = [rows[i] for i in range(400) if i % 4], [rows[i] for i in range(0, 400, 4)]
     assert len(rows) == 404 and max(good) < min(bad)
+
+
+def test_lm_counts_are_exact_over_many_words(spark, monkeypatch):
+    """More different words and pairs than a table of fixed size could tell apart."""
+    monkeypatch.setattr(lm_score, "CHUNK_CHARS", 1 << 18)
+    monkeypatch.setattr(lm_score, "RANGE_TOKENS", 1 << 16)
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(10_000)) + " common words") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = lm_score.fit(docs.selectExpr("text", "doc_id % 3 = 0 AS is_target"))
+    total, share = 10_002 * 10, 1 / lm_score.WORDS
+    for r in lm_score.score(docs, models).collect():
+        want = []
+        for scale, rare, shared in ((1, int(r.doc_id % 3 == 0), 10), (1 / 3, 1 / 3, 10)):
+            chance = [(c + share) / (total + 1) for c in (rare, shared)]
+            loss = [-math.log((s + lm_score.PRIOR * p) / (w + lm_score.PRIOR)) for s, w, p in (
+                (rare, rare, chance[0]), (rare, rare, chance[1]), (shared, shared, chance[1]))]
+            want.append((10_000 * loss[0] + loss[1] + loss[2]) / 10_002)
+        assert (r.target_loss, r.background_loss) == pytest.approx(want, rel=1e-9)
