@@ -115,6 +115,26 @@ def test_near_copies_by_brute_force(docs_of, monkeypatch, limit):
     assert sum(i != c for i, c in got.items()) >= 30
 
 
+@pytest.mark.parametrize("limit", [64, 1])
+def test_near_copies_are_all_pairs_of_the_similarity(docs_of, monkeypatch, limit):
+    monkeypatch.setattr(near_copies, "BUCKET_PAIRS", limit)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(40):
+        text = [rng.choice(words) for _ in range(rng.randint(100, 400))]
+        copy = list(text)
+        for _ in range(max(1, len(text) * (1 + i % 3) // 120)):
+            copy[rng.randrange(len(text))] = rng.choice(words)
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    sets = {i: near_copies.shingle_set(t) for i, t in rows}
+    marks = {i: simhash.fingerprint(t, 2) for i, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and near_copies._similar(sets[a], sets[b], 0.8)]
+    assert sum((marks[a] ^ marks[b]).bit_count() > 6 for a, b in linked) >= 3
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(rows), radius=simhash.BITS).collect()}
+    assert got == closure(list(sets), linked)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5), (None, 3)]
     rows = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
