@@ -38,7 +38,7 @@ def ingest_shards(spark: SparkSession, listed: DataFrame, path: str) -> tuple[Da
         marks = written.where(F.col("shard_ordinal").isNull()).select("shard_name").collect()
         pieces += [paths[r.shard_name][0] for r in marks]
     if pieces:
-        records, refused = shards.cut_records(shards.file_pieces(spark, pieces))
+        records, refused = shards.cut_records(shards.file_pieces(spark, pieces), depth_limit=None)
         projected = project.project_records(records)
         schema = schema or projected.schema
         projected.write.mode(mode).partitionBy("shard_name").parquet(path)

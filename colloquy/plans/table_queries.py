@@ -348,11 +348,11 @@ def _whole_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _piece_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return _describe(shards.cut_records(shards.text_pieces(_texts(spark, folder)))[0])
+    return _describe(shards.cut_records(shards.text_pieces(_texts(spark, folder)), depth_limit=None)[0])
 
 
 def _malformed(spark: SparkSession, folder: str) -> DataFrame:
-    return shards.cut_records(shards.text_pieces(_texts(spark, folder)))[1]
+    return shards.cut_records(shards.text_pieces(_texts(spark, folder)), depth_limit=None)[1]
 
 
 # --------------------------------------------------------------- export folders

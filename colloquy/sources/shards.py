@@ -108,10 +108,12 @@ def _lowest(brackets: Column) -> Column:
     return F.aggregate(F.split(brackets, ""), start, step, lambda acc: acc["low"])
 
 
-def cut_records(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+def cut_records(pieces: DataFrame, depth_limit: int | None = S.MAX_NESTING_DEPTH) -> tuple[DataFrame, DataFrame]:
     """Records of the pieces, and the shards that are not one JSON array.
 
-    Records are ``(shard_name, shard_ordinal, record)``.
+    Records are ``(shard_name, shard_ordinal, record)``.  A shard that nests deeper than
+    the limit is refused as a whole; without a limit, as for whole texts, only an element
+    that the JSON reader itself can't take is refused later, alone.
     """
     place = F.struct("block", "seq")
     ends = pieces.groupBy("shard_name").agg(F.min(place).alias("start"), F.max(place).alias("end"))
@@ -161,11 +163,12 @@ def cut_records(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max(F.col("depth_before") + _count(F.col("outside"), r"\[\{")).alias("deepest"),
     )
     tail_ok = F.col("final.outside").rlike(rf"\]{JSON_SPACE}*\z")
+    too_deep = F.lit(False) if depth_limit is None else F.col("deepest") > depth_limit
     good = (
         F.col("opens") & (F.col("final.depth") == 0) & tail_ok & ~F.col("open_string") & ~F.col("early")
-        & ~F.col("unbalanced") & (F.col("deepest") <= S.MAX_NESTING_DEPTH)
+        & ~F.col("unbalanced") & ~too_deep
     )
-    reason = F.when(F.col("deepest") > S.MAX_NESTING_DEPTH, "RESOURCE_LIMIT").otherwise("MALFORMED_JSON")
+    reason = F.when(too_deep, "RESOURCE_LIMIT").otherwise("MALFORMED_JSON")
     judged = shape.select("shard_name", good.alias("good"), reason.alias("reason"))
     malformed = judged.where(~F.col("good")).select("shard_name", "reason")
 

@@ -93,6 +93,22 @@ def test_deep_nesting_is_refused(spark):
     assert [(r.shard_name, r.reason) for r in bad.collect()] == [("s", "RESOURCE_LIMIT")]
 
 
+def test_deep_record_costs_no_shard(spark, tmp_path, monkeypatch):
+    """A deep record comes out the same by both ways, and the records beside it stay."""
+    folder = tmp_path / "deep"
+    folder.mkdir()
+    deep = '{"a":' * 300 + "1" + "}" * 300
+    (folder / "conversations.json").write_text('[{"b":1},' + deep + ',{"c":2}]')
+    found = listing.shards_in(listing.list_files(spark, str(folder)))
+    seen = []
+    for limit in (ingest.WHOLE_SHARD_BYTES, 0):
+        monkeypatch.setattr(ingest, "WHOLE_SHARD_BYTES", limit)
+        rows, bad = ingest.ingest_shards(spark, found, str(tmp_path / f"rows-{limit}"))
+        assert bad.count() == 0
+        seen.append(sorted((r.shard_ordinal, r.reason) for r in rows.collect()))
+    assert seen[0] == seen[1] and [r[0] for r in seen[0]] == [0, 1, 2]
+
+
 def test_listing(spark, export):
     files = listing.list_files(spark, export)
     row = listing.validation(files).first()
