@@ -71,7 +71,7 @@ def chunked(docs: DataFrame) -> DataFrame:
     def packed(ids: list, texts: list) -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
             out.write_batch(batch)
         sizes = [len((t or "").lower().encode("utf-8", "surrogatepass").split()) for t in texts]
         return pa.RecordBatch.from_arrays(
