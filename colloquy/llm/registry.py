@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe, exact_dedup, html_text, language, lm_score, packing, quality, simhash, suffix_dedup, vectors
+from colloquy.llm import (
+    bpe,
+    exact_dedup,
+    html_text,
+    language,
+    lm_score,
+    packing,
+    quality,
+    rank_bpe,
+    simhash,
+    suffix_dedup,
+    vectors,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_main_text": html_text.op8_main_text,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
         "op10_cross_entropy_difference": lm_score.op10_cross_entropy_difference,
+        "op13_rank_bpe_round_trip": rank_bpe.op13_rank_bpe_round_trip,
     }
 
 
