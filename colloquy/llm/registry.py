@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import (
     bpe,
+    centroids,
     exact_dedup,
     html_text,
     language,
@@ -33,9 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_main_text": html_text.op8_main_text,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
         "op10_cross_entropy_difference": lm_score.op10_cross_entropy_difference,
+        "op12_centroids": centroids.op12_centroids,
         "op13_rank_bpe_round_trip": rank_bpe.op13_rank_bpe_round_trip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op12_centroids": centroids.ORACLE}
