@@ -16,6 +16,7 @@ from colloquy.llm import (
     packing,
     quality,
     rank_bpe,
+    ranked_search,
     simhash,
     suffix_dedup,
     vectors,
@@ -34,10 +35,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_main_text": html_text.op8_main_text,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
         "op10_cross_entropy_difference": lm_score.op10_cross_entropy_difference,
+        "op11_ranked_search": ranked_search.op11_ranked_search,
         "op12_centroids": centroids.op12_centroids,
         "op13_rank_bpe_round_trip": rank_bpe.op13_rank_bpe_round_trip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op12_centroids": centroids.ORACLE}
+    return {
+        "op3_exact_dedup": exact_dedup.ORACLE,
+        "op11_ranked_search": ranked_search.ORACLE,
+        "op12_centroids": centroids.ORACLE,
+    }
