@@ -6,42 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import project
-from colloquy.session import materialize
 from colloquy.sources import shards
 
-# Larger shards are read by many tasks.
-WHOLE_SHARD_BYTES = 32 * 1024 * 1024
-
 
 def ingest_shards(spark: SparkSession, listed: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Write the projected rows of listed shards below ``path``, by shard.
 
-    Small shards are parsed as a whole, once, in the job that writes them.  One that does
-    not parse leaves a mark instead of rows; those and the large ones are read in pieces.
-    Returns the written rows and the shards refused as a whole.  A listing has at most
-    10 000 rows, so its paths fit the driver.
+    Shards of every size are cut into records by the same scan.  Returns the written rows
+    and the shards refused as a whole.  Of the listing only paths reach the driver, where
+    the file source needs them.
     """
-    paths = {r.name: (r.path, r.byte_size) for r in listed.select("name", "path", "byte_size").collect()}
-    small = [p for p, size in paths.values() if size <= WHOLE_SHARD_BYTES]
-    pieces = [p for p, size in paths.values() if size > WHOLE_SHARD_BYTES]
-    refused = spark.createDataFrame([], "shard_name string, reason string")
-    schema, mode = None, "overwrite"
-    if small:
-        records = shards.array_elements(shards.whole_texts(spark, small)).withColumn(
-            "record", F.lit(None).cast("string")
-        )
-        projected = project.project_records(records)
-        schema = projected.schema
-        projected.write.mode(mode).partitionBy("shard_name").parquet(path)
-        mode = "append"
-        written = spark.read.schema(schema).parquet(path)
-        marks = written.where(F.col("shard_ordinal").isNull()).select("shard_name").collect()
-        pieces += [paths[r.shard_name][0] for r in marks]
-    if pieces:
-        records, refused = shards.cut_records(shards.file_pieces(spark, pieces), depth_limit=None)
-        projected = project.project_records(records)
-        schema = schema or projected.schema
-        projected.write.mode(mode).partitionBy("shard_name").parquet(path)
-        refused = materialize(refused, "refused")
-    rows = spark.read.schema(schema).parquet(path).where(F.col("shard_ordinal").isNotNull())
-    return rows, refused
+    paths = [r.path for r in listed.select("path").collect()]
+    nothing = spark.createDataFrame([], "shard_name string, shard_ordinal bigint, record string")
+    records, refused = shards.scan(shards.file_pieces(spark, paths)) if paths else (nothing, None)
+    projected = project.project_records(records)
+    projected.write.mode("overwrite").partitionBy("shard_name").parquet(path)
+    rows = spark.read.schema(projected.schema).parquet(path).where(F.col("shard_ordinal").isNotNull())
+    return rows, spark.createDataFrame([], "shard_name string, reason string") if refused is None else refused

@@ -193,7 +193,7 @@ def oracle_sql() -> dict[str, str]:
         "s3_attachment_names": SNAPSHOTS + " SELECT name, byte_size FROM s0 WHERE doc_id % 7 IN (0, 1)",
         "s4_validation": SNAPSHOTS + """ SELECT count(*) FILTER (doc_id % 7 IN (2, 6)) AS shard_count, count(*) FILTER (doc_id % 7 IN (0, 1)) AS attachment_file_count,
             CAST(sum(byte_size) FILTER (doc_id % 7 IN (2, 6)) AS BIGINT) AS total_json_bytes, count(*) FILTER (doc_id % 7 IN (2, 6)) > 0 AS supported FROM s0""",
-        "s5_array_scan": _elements("0", ""),
+        "s5_array_scan": _elements("0, 1", ""),
         "s6_salvaged_records": _elements("0, 1", "UNION ALL SELECT 'conversations-' || b || '.json', n, NULL, NULL FROM blk WHERE b % 6 = 1"),
         "s7_malformed_shards": f"WITH {BLOCKS} SELECT 'conversations-' || b || '.json' AS shard_name, 'MALFORMED_JSON' AS reason FROM blk WHERE b % 6 IN (2, 3, 4)",
         "i1_current_shards": SNAPSHOTS + " SELECT name FROM cur",

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import keys, rules, text
+from colloquy.functions import variants as V
 from colloquy.functions.markdown import markdown_text
 from colloquy.operators import attachments as A
 from colloquy.operators import browse, inventory, privacy
 from colloquy.plans import refresh
-from colloquy.session import scratch_path, spread
+from colloquy.session import fixed_splits, scratch_path, spread
 from colloquy.sources import listing, shards, tables
 from colloquy.streaming import ingest, scan
 
@@ -342,17 +343,32 @@ def _describe(records: DataFrame) -> DataFrame:
     )
 
 
-def _whole_scan(spark: SparkSession, folder: str) -> DataFrame:
-    rows = shards.array_elements(_texts(spark, folder)).where(F.col("shard_ordinal").isNotNull())
-    return _describe(rows.withColumn("record", F.to_json("doc")))
+_SHARDS: dict[tuple[str, str], str] = {}
 
 
-def _piece_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return _describe(shards.cut_records(shards.text_pieces(_texts(spark, folder)), depth_limit=None)[0])
+def _shard_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts as files, one a shard, read in splits of about 1/64 of them all (at least 4 KiB)."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SHARDS:
+        path = scratch_path(spark, "shards")
+        _texts(spark, folder).select("shard_name", F.col("text").alias("value")).write.partitionBy("shard_name").text(path)
+        _SHARDS[key] = path
+    size = spark.read.format("binaryFile").load(_SHARDS[key]).agg(F.sum("length")).first()[0] or 0
+    split = min(max(size // 64, 4096), 128 << 20)
+    files = fixed_splits(spark, split).read.text(_SHARDS[key], lineSep="}")
+    return shards.pieces(files, F.col("shard_name"))
+
+
+def _strict_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return _describe(shards.scan(_shard_files(spark, folder))[0].where(V.strict_json(F.col("record")).isNotNull()))
+
+
+def _split_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return _describe(shards.scan(_shard_files(spark, folder))[0])
 
 
 def _malformed(spark: SparkSession, folder: str) -> DataFrame:
-    return shards.cut_records(shards.text_pieces(_texts(spark, folder)), depth_limit=None)[1]
+    return shards.scan(_shard_files(spark, folder))[1]
 
 
 # --------------------------------------------------------------- export folders
@@ -425,8 +441,8 @@ def queries() -> dict[str, Query]:
         "s2_shard_order": _shard_order,
         "s3_attachment_names": _attachment_names,
         "s4_validation": _validation,
-        "s5_array_scan": _whole_scan,
-        "s6_salvaged_records": _piece_scan,
+        "s5_array_scan": _strict_scan,
+        "s6_salvaged_records": _split_scan,
         "s7_malformed_shards": _malformed,
         "i1_current_shards": _current,
         "i6_shards_to_read": _to_read,

@@ -82,6 +82,19 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fixed_splits(spark: SparkSession, split_bytes: int | None = None) -> SparkSession:
+    """A session with the settings of this one whose file splits depend on no later change of settings or cluster size."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    if split_bytes is not None:
+        own.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+        own.conf.set("spark.sql.files.openCostInBytes", "0")
+    return own
+
+
 @contextmanager
 def sql_conf(spark: SparkSession, **settings: str):
     """Set SQL settings (dots written as ``__``) for the plans made inside."""

@@ -28,11 +28,18 @@ def shard_stream(spark: SparkSession, source: str, files_per_batch: int = 100) -
     ).where(listing.is_shard_name(F.col("name")))
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that the engine gave to the query of this checkpoint folder."""
+    row = spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()
+    return row.id.replace("-", "")
+
+
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Start an ingest of the shards present now; it ends when they are done.
 
-    A batch writes the run named after it, so a repeated batch overwrites its own
-    folder and the manifest entry it writes is the same.
+    A batch writes the run named after the query's id and itself, so a repeated batch
+    overwrites its own folder and the manifest entry it writes is the same.  The id is new
+    for every checkpoint folder, so no other stream writes there.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -42,7 +49,7 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
             paths = [r.path for r in listed.select("path").collect()]
             if not paths:
                 return
-            run = f"batch-{batch_id}"
+            run = f"stream-{query_id(session, checkpoint)}-{batch_id}"
             rows, refused = refresh.store_run(session, listed, target, run)
             fresh = refresh.new_entries(
                 listed, refresh.content_hashes(session, paths), rows, refused, run, ""
