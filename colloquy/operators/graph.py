@@ -1,12 +1,15 @@
-"""Message trees: active path, terminal leaf of each branch, all paths, branch lists.
+"""Message trees: active path, terminal leaf of each branch, subtrees, all paths, branch lists.
 
 Parents are followed by pointer doubling: after round k a node knows its 2^k-th
 ancestor, so a chain of length L takes about log2(L) rounds instead of L.  Only the
 skeleton of the tree (keys, times) takes part; message text never does.  All edges
 stay inside one conversation, so the skeleton is partitioned once by conversation
-and each round joins it with itself in place.  A conversation has at most 50 000
-nodes, which bounds what one partition can hold for it.  Each round is cut off with
-a reliable checkpoint, so a lost executor does not replay the whole loop.
+and each round joins it with itself in place.  Each round is cut off with a reliable
+checkpoint, so a lost executor does not replay the whole loop.
+
+Subtrees are intervals: nodes are numbered along an Euler tour, whose places are found by
+ranking the list of its steps, again by doubling.  What lies below a node is then a range
+of numbers, so the descendant closure takes one row a node, not one a pair.
 """
 
 from __future__ import annotations
@@ -146,6 +149,89 @@ def cycle_diagnostics(archive: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _tour(archive: DataFrame, links: DataFrame) -> DataFrame:
+    """Steps ``(conversation_key, step, next, places)`` of the Euler tour of every conversation.
+
+    A node is entered (``+``, which takes a place) and left (``-``).  Siblings follow each
+    other by time and id, roots like siblings.  Nodes on or below a cycle take no part; a
+    node whose parent is missing is a root.
+    """
+    key = "conversation_key"
+    sound = links.where(~F.col("cyclic")).select(key, "node_id")
+    bones = skeleton(archive).join(sound, [key, "node_id"], "left_semi").select(
+        key, "node_id", "parent_node_id", F.struct(F.coalesce("created_at", F.lit(0.0)).alias("at"), F.col("node_id").alias("id")).alias("place"))
+    there = bones.select(key, F.col("node_id").alias("parent_node_id"), F.lit(True).alias("found"))
+    rooted = checkpoint(bones.join(there, [key, "parent_node_id"], "left").select(
+        key, "node_id", F.when(F.col("found"), F.col("parent_node_id")).alias("parent"), "place"))
+    first = rooted.where(F.col("parent").isNotNull()).groupBy(key, F.col("parent").alias("node_id")).agg(
+        F.min("place")["id"].alias("first_child"))
+    order = Window.partitionBy(key, "parent").orderBy("place")
+    around = rooted.withColumn("next_sibling", F.lead("node_id").over(order)).join(first, [key, "node_id"], "left")
+
+    def enter(c: str):
+        return F.concat(F.lit("+"), c)
+
+    def leave(c: str):
+        return F.concat(F.lit("-"), c)
+
+    steps = F.array(
+        F.struct(enter("node_id").alias("step"), F.coalesce(enter("first_child"), leave("node_id")).alias("next"),
+                 F.lit(1).cast("bigint").alias("places")),
+        F.struct(leave("node_id").alias("step"), F.coalesce(enter("next_sibling"), leave("parent")).alias("next"),
+                 F.lit(0).cast("bigint").alias("places")),
+    )
+    return around.select(key, F.explode(steps).alias("s")).select(key, "s.step", "s.next", "s.places")
+
+
+def _rank(state: DataFrame) -> DataFrame:
+    """One round of list ranking: add what the next stretch holds, then reach twice as far."""
+    key = "conversation_key"
+    ahead = state.select(key, F.col("step").alias("next"), F.col("next").alias("after"), F.col("places").alias("more"))
+    return state.join(ahead, [key, "next"], "left").select(
+        key, "step", F.col("after").alias("next"), (F.col("places") + F.coalesce("more", F.lit(0))).alias("places"))
+
+
+def tree_intervals(archive: DataFrame, links: DataFrame) -> DataFrame:
+    """``(conversation_key, node_id, pre, last_pre, n_descendants)``, one row a node outside cycles.
+
+    ``pre`` numbers the nodes of a conversation from zero, parents before children; the
+    descendants of a node are those numbered ``pre + 1`` to ``last_pre``.
+    """
+    key = "conversation_key"
+    with sql_conf(archive.sparkSession, **CO_PARTITIONED):
+        state = checkpoint(_tour(archive, links))
+        while not state.where(F.col("next").isNotNull()).isEmpty():
+            state = checkpoint(_rank(state))
+        entered = F.substring("step", 1, 1) == "+"
+        places = state.groupBy(key, F.expr("substring(step, 2)").alias("node_id")).agg(
+            F.max(F.when(entered, F.col("places"))).alias("enter"), F.max(F.when(~entered, F.col("places"))).alias("leave"))
+        whole = state.groupBy(key).agg(F.max("places").alias("whole"))
+        pre = F.col("whole") - F.col("enter")
+        size = F.col("enter") - F.col("leave")
+        return checkpoint(places.join(whole, key).select(
+            key, "node_id", pre.alias("pre"), (pre + size - 1).alias("last_pre"), (size - 1).alias("n_descendants")))
+
+
+def descendants(intervals: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(conversation_key, node_id, descendant_id)`` of the given nodes ``(conversation_key, node_id)``: one range a node."""
+    key = "conversation_key"
+    asked = intervals.join(nodes.select(key, "node_id").distinct(), [key, "node_id"], "left_semi").select(
+        key, "node_id", F.col("pre").alias("low"), F.col("last_pre").alias("high"))
+    below = intervals.select(key, F.col("node_id").alias("descendant_id"), "pre")
+    return asked.join(below, key).where("pre > low AND pre <= high").select(key, "node_id", "descendant_id")
+
+
+def ancestors(intervals: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(conversation_key, node_id, position, ancestor_id)``: the path of each given node, itself included, from its root."""
+    key = "conversation_key"
+    asked = intervals.join(nodes.select(key, "node_id").distinct(), [key, "node_id"], "left_semi").select(
+        key, "node_id", F.col("pre").alias("at"))
+    above = intervals.select(key, F.col("node_id").alias("ancestor_id"), "pre", "last_pre")
+    found = asked.join(above, key).where("at >= pre AND at <= last_pre")
+    order = Window.partitionBy(key, "node_id").orderBy("pre")
+    return found.select(key, "node_id", (F.row_number().over(order) - 1).cast("bigint").alias("position"), "ancestor_id")
+
+
 def all_paths(archive: DataFrame, links: DataFrame) -> DataFrame:
     """The path of every leaf: ``(conversation_key, leaf_node_id, position, node_id)``.
 

@@ -52,7 +52,7 @@ refs AS (
     CASE d.doc_id % 4 WHEN 0 THEN 'report ' || d.doc_id || '.pdf' WHEN 1 THEN 'download'
       WHEN 2 THEN 'a_b_' || d.doc_id || '.png' ELSE 'Attachment' END AS display_name,
     CASE d.doc_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'application/pdfq1' END AS claimed_mime
-  FROM nodes n JOIN documents d ON d.doc_id // 10 = n.c AND d.doc_id % 3 = 0
+  FROM nodes n JOIN documents d ON d.doc_id // 10 = n.c
   WHERE n.t = 0 AND NOT n.bare
   UNION ALL
   SELECT c, t, conversation_key, node_id, NULL, 0, 'sediment://file_' || c, 'Attachment', 'imageassetpointer'
@@ -127,9 +127,9 @@ files AS (
     SELECT doc_id AS d, text, (doc_id // 3) % 6 AS k,
       CASE (doc_id // 3) % 6 WHEN 0 THEN 24 WHEN 1 THEN 39 WHEN 2 THEN 12 WHEN 3 THEN 9 WHEN 4 THEN 0 ELSE 4 END AS ml,
       strlen(text) <= 65536 OR try(decode(encode(text)[1:65536])) IS NOT NULL AS ok_text,
-      unnest(CASE WHEN doc_id % 7 = 1 AND doc_id % 2 = 0 THEN ['FILE-' || doc_id || '.DAT', 'File-' || doc_id || '.dat']
+      unnest(CASE WHEN doc_id % 5 = 0 THEN ['file-spare-' || doc_id || '.dat'] WHEN doc_id % 7 = 1 AND doc_id % 2 = 0 THEN ['FILE-' || doc_id || '.DAT', 'File-' || doc_id || '.dat']
         WHEN doc_id % 7 = 1 THEN ['FILE-' || doc_id || '.DAT'] ELSE ['file-' || doc_id || '.dat'] END) AS name
-    FROM documents WHERE doc_id % 5 <> 0)),
+    FROM documents)),
 unique_files AS (SELECT lower(name) AS folded, min(name) AS name FROM files GROUP BY 1 HAVING count(*) = 1),
 matched AS (SELECT r.*, u.name AS source_name FROM refk r LEFT JOIN unique_files u ON u.folded = 'file-' || r.d || '.dat'),
 att AS (
@@ -360,6 +360,18 @@ def oracle_sql() -> dict[str, str]:
             """SELECT conversation_key, CASE WHEN cur_t IS NULL THEN 'EMPTY' WHEN s.last >= n THEN 'CYCLE' ELSE 'OK' END AS status,
               CAST(coalesce(s.seen, 0) AS BIGINT) AS path_nodes FROM cur LEFT JOIN stat s USING (c)"""
         ),
+        "g3_descendants": _base(
+            """, up AS (SELECT c, t AS node, t, 0 AS dist, [struct_pack(at := coalesce(created_at, 0), id := node_id)] AS way FROM nodes
+                 UNION ALL SELECT u.c, u.node, p.t, u.dist + 1, list_prepend(struct_pack(at := coalesce(p.created_at, 0), id := p.node_id), u.way)
+                 FROM up u JOIN nodes n ON n.c = u.c AND n.t = u.t JOIN nodes p ON p.c = u.c AND p.t = n.pt WHERE u.dist < n.n),
+              whole AS (SELECT c, node, max(dist) AS last, max_by(way, dist) AS way FROM up GROUP BY ALL),
+              below AS (SELECT u.c, u.t, count(*) AS n FROM up u JOIN whole w USING (c, node) JOIN nodes a ON a.c = u.c AND a.t = u.t WHERE w.last < a.n GROUP BY ALL)
+              SELECT a.conversation_key, a.node_id,
+                row_number() OVER (PARTITION BY a.c ORDER BY w.way) - 1 AS pre,
+                row_number() OVER (PARTITION BY a.c ORDER BY w.way) - 2 + b.n AS last_pre, b.n - 1 AS n_descendants
+              FROM whole w JOIN nodes a ON a.c = w.c AND a.t = w.node JOIN below b ON b.c = w.c AND b.t = w.node
+              WHERE w.last < a.n"""
+        ),
         "g4_terminal_leaves": _base(
             "SELECT n.conversation_key, n.node_id, b.terminal_leaf FROM nodes n LEFT JOIN best b USING (c, t)"
         ),

@@ -253,6 +253,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a13_rejections": on(lambda ar: project.rejections(ar.table)),
         "g1_active_path": on(lambda ar: graph.active_path(ar.table, ar.links).drop("message_id")),
         "g2_path_status": on(lambda ar: graph.path_status(ar.table, ar.links)),
+        "g3_descendants": on(lambda ar: graph.tree_intervals(ar.table, ar.links)),
         "g4_terminal_leaves": on(lambda ar: ar.links.select("conversation_key", "node_id", "terminal_leaf")),
         "g5_branches": on(lambda ar: graph.branch_lists(ar.table, ar.links)),
         "g6_conversation_detail": on(_detail_messages),

@@ -183,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
         "x11_verdict": f"SELECT CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, count(*) AS n_findings FROM ({_text(text_tests)})",
         "x12_package_totals": """SELECT count(*) AS files, CAST(sum(strlen(text) + ml) AS BIGINT) AS bytes, 0::BIGINT AS refused FROM (
             SELECT text, CASE (doc_id // 3) % 6 WHEN 0 THEN 24 WHEN 1 THEN 39 WHEN 2 THEN 12 WHEN 3 THEN 9 WHEN 4 THEN 0 ELSE 4 END AS ml,
-              unnest(generate_series(1, CASE WHEN doc_id % 7 = 1 AND doc_id % 2 = 0 THEN 2 ELSE 1 END)) FROM documents WHERE doc_id % 5 <> 0)""",
+              unnest(generate_series(1, CASE WHEN doc_id % 7 = 1 AND doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN 2 ELSE 1 END)) FROM documents)""",
         "x14_stream_scan": _text(text_tests),
         "x15_entry_kinds": f"""WITH {PLANTED}, e AS (SELECT path, {Q.KIND_SQL} AS kind FROM pl)
             SELECT DISTINCT CASE kind {kinds} END AS rule_id, {_digest('path')} AS digest FROM e WHERE kind <> 'file'""",

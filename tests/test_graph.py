@@ -128,3 +128,52 @@ def test_rounds_need_no_exchange(linked):
             assert "Exchange" not in graph._double(state, 1)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def sound_parents(parents):
+    """Nodes that reach a root, with their parent if it is there."""
+    out = {}
+    for n in parents:
+        path, endless = walk(parents, n)
+        if not endless:
+            out[n] = parents[n] if parents[n] in parents else None
+    return out
+
+
+def test_subtrees_are_intervals(linked):
+    cases, table, links, names, order, hashes = linked
+    rows = graph.tree_intervals(table, links)
+    got = {(order[r.conversation_key], names[(r.conversation_key, r.node_id)]): r for r in rows.collect()}
+    want = {(i, n) for i, (parents, _, _) in enumerate(cases) for n in sound_parents(parents)}
+    assert set(got) == want
+    for i, (parents, times, _) in enumerate(cases):
+        sound = sound_parents(parents)
+        place = {n: (times.get(n) or 0.0, hashes[(i, n)]) for n in sound}
+        way = {n: [place[a] for a in reversed(walk(sound, n)[0])] for n in sound}
+        assert sorted(sound, key=way.get) == sorted(sound, key=lambda n: got[(i, n)].pre)
+        assert sorted(got[(i, n)].pre for n in sound) == list(range(len(sound)))
+        for n in sound:
+            mine = got[(i, n)]
+            inside = {m for m in sound if mine.pre <= got[(i, m)].pre <= mine.last_pre}
+            assert inside == below(sound, n) and mine.n_descendants == len(inside) - 1
+    key_of = {i: k for k, i in order.items()}
+    asked = table.sparkSession.createDataFrame(
+        [(key_of[8], hashes[(8, n)]) for n in ("n000", "n005", "n039")] * 2, "conversation_key string, node_id string")
+    parents = sound_parents(cases[8][0])
+    found = {(names[(r.conversation_key, r.node_id)], names[(r.conversation_key, r.descendant_id)]) for r in graph.descendants(rows, asked).collect()}
+    assert found == {(n, m) for n in ("n000", "n005", "n039") for m in below(parents, n) - {n}}
+    up = sorted((names[(r.conversation_key, r.node_id)], r.position, names[(r.conversation_key, r.ancestor_id)]) for r in graph.ancestors(rows, asked).collect())
+    assert up == sorted((n, k, m) for n in ("n000", "n005", "n039") for k, m in enumerate(reversed(walk(parents, n)[0])))
+
+
+def test_list_ranking_needs_no_exchange(linked):
+    _, table, links, _, _, _ = linked
+    spark = table.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with graph.sql_conf(spark, **graph.CO_PARTITIONED):
+            state = graph.checkpoint(graph._tour(table, links))
+            assert "Exchange" not in graph._rank(state)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
