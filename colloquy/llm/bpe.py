@@ -36,7 +36,7 @@ _NOT_PLAIN = re.compile("[^\\t\\n\\r -~¡-±´-¸º»¿-ɀ]")
 _RUNS = ("  ", "\n ", "\t ", "\r ")
 
 SHORT_BYTES = 48
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
 BATCH_ROWS = 1024
 _NONE = 1 << 40
 
