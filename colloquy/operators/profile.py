@@ -36,58 +36,75 @@ PRESENCE_FIELDS = (
 )
 
 
-def back_edges(parent_at: list, child_from: list, child_to: list, n: int) -> int:
-    """Back edges of a depth-first walk over the deduplicated, sorted edges."""
-    targets: list[set] = [set() for _ in range(n)]
-    for node, parent in enumerate(parent_at):
-        if parent is not None and parent >= 0:
-            targets[parent].add(node)
-    for a, b in zip(child_from, child_to):
-        targets[a].add(b)
-    new, open_, done = 0, 1, 2
-    state, found = [new] * n, 0
+def back_edges(edges: list[tuple[int, int]], n: int) -> int:
+    """Back edges of a depth-first walk over distinct edges, in the order of the nodes."""
+    if all(a < b for a, b in edges):
+        return 0
+    targets: list[list[int]] = [[] for _ in range(n)]
+    for a, b in sorted(set(edges), reverse=True):
+        targets[a].append(b)
+    on_walk, left = [False] * n, [True] * n
+    found = 0
     for root in range(n):
-        if state[root] != new:
-            continue
-        state[root] = open_
-        walk = [(root, iter(sorted(targets[root])))]
-        while walk:
-            node, rest = walk[-1]
-            for target in rest:
-                if state[target] == open_:
-                    found += 1
-                elif state[target] == new:
-                    state[target] = open_
-                    walk.append((target, iter(sorted(targets[target]))))
-                    break
-            else:
-                state[node] = done
-                walk.pop()
+        stack = [root] if left[root] else []
+        while stack:
+            node = stack[-1]
+            if left[node]:
+                left[node], on_walk[node] = False, True
+            if not targets[node]:
+                on_walk[node] = False
+                stack.pop()
+                continue
+            ahead = targets[node].pop()
+            found += on_walk[ahead]
+            if left[ahead]:
+                stack.append(ahead)
     return found
 
 
-@F.pandas_udf(T.StructType().add("missing", T.LongType()).add("cycles", T.LongType()))
-def reference_counts(
-    keys: pd.Series, ids: pd.Series, parents: pd.Series, children: pd.Series, current: pd.Series
-) -> pd.DataFrame:
-    """Missing references and cycles of each record, from its ids alone."""
+@F.pandas_udf(T.LongType())
+def cycle_counts(names: pd.Series, owners: pd.Series, sources: pd.Series, targets: pd.Series, n_parents: pd.Series) -> pd.Series:
+    """Cycles of each record: names and the nodes they stand for, then references, those to parents first."""
     out = []
-    for key, own, parent, below, now in zip(keys, ids, parents, children, current):
-        if key is None:
-            out.append((None, None))
+    for name, owner, source, target, parents in zip(names, owners, sources, targets, n_parents):
+        if name is None:
+            out.append(None)
             continue
-        alias: dict = {}
-        for i, (k, own_id) in enumerate(zip(key, own)):
-            alias.setdefault(k, i)
-            if own_id is not None:
-                alias.setdefault(own_id, i)
-        up = [None if p is None else alias.get(p, -1) for p in parent]
-        links = [(i, alias.get(c)) for i, cs in enumerate(below) if cs is not None for c in cs]
-        missing = up.count(-1) + sum(b is None for _, b in links) + (now is not None and now not in alias)
-        known = [(a, b) for a, b in links if b is not None]
-        cycles = back_edges(up, [a for a, _ in known], [b for _, b in known], len(key))
-        out.append((missing, cycles))
-    return pd.DataFrame(out, columns=["missing", "cycles"]).astype("Int64")
+        parents = int(parents)
+        # Of nodes that share a name the first one stands; references to no node are left out.
+        node_of = dict(zip(name[::-1], owner[::-1]))
+        ends = [(a, node_of[b]) for a, b in zip(source[:parents], target[:parents]) if b in node_of]
+        downward = [(a, node_of[b]) for a, b in zip(source[parents:], target[parents:]) if b in node_of]
+        out.append(back_edges([(b, a) for a, b in ends] + downward, 1 + max(owner, default=-1)))
+    return pd.Series(out, dtype="Int64")
+
+
+def with_references(rows: DataFrame, doc: Column, string_children) -> DataFrame:
+    """Add ``missing`` and ``cycles``.  Names and references are flat arrays; missing ones are counted by set operations."""
+
+    def pairs(values: Column) -> Column:
+        """(place, text) of an array, without nulls."""
+        placed = F.transform(values, lambda v, i: F.struct(i.alias("at"), v.alias("text")))
+        return F.filter(placed, lambda p: p["text"].isNotNull())
+
+    entries = F.col("entries")
+    ids = F.transform(entries, lambda n: V.string_at(n, "$.id"))
+    own = F.flatten(F.transform(F.arrays_zip(F.map_keys("mapping").alias("key"), ids.alias("id")), lambda p, i: F.array(
+        F.struct(i.alias("at"), p["key"].alias("text")), F.struct(i.alias("at"), p["id"].alias("text")))))
+    children = F.transform(entries, lambda n, i: F.transform(
+        F.coalesce(string_children(n), F.array().cast("array<string>")), lambda c: F.struct(i.alias("at"), c.alias("text"))))
+    rows = rows.withColumns({
+        "names": F.filter(own, lambda p: p["text"].isNotNull()),
+        "up": pairs(F.transform(entries, lambda n: V.string_at(n, "$.parent"))),
+        "down": F.flatten(children),
+        "current": V.string_at(doc, "$.current_node"),
+    }).withColumn("links", F.concat("up", "down"))
+    lost = F.array_except(F.array_append(F.col("links.text"), F.col("current")), F.col("names.text"))
+    rows = rows.withColumn("lost", F.array_compact(lost))
+    gone = F.size(F.filter("links", lambda r: F.array_contains(F.col("lost"), r["text"])))
+    now = F.coalesce(F.array_contains("lost", F.col("current")), F.lit(False)).cast("int")
+    cycles = cycle_counts("names.text", "names.at", "links.at", "links.text", F.size("up"))
+    return rows.withColumns({"missing": (gone + now).cast("bigint"), "cycles": cycles})
 
 
 def _unknown(obj: Column, known: tuple[str, ...]) -> Column:
@@ -107,16 +124,7 @@ def record_counters(records: DataFrame) -> DataFrame:
     string_children = lambda n: F.array_compact(
         F.transform(V.array_at(n, "$.children"), lambda ch: V.string_at(ch, "$"))
     )
-    rows = rows.withColumn(
-        "refs",
-        reference_counts(
-            F.map_keys("mapping"),
-            F.transform("entries", lambda n: V.string_at(n, "$.id")),
-            F.transform("entries", lambda n: V.string_at(n, "$.parent")),
-            F.transform("entries", string_children),
-            V.string_at(doc, "$.current_node"),
-        ),
-    )
+    rows = with_references(rows, doc, string_children)
     inner = F.aggregate(
         "entries",
         F.lit(0).cast("bigint"),
@@ -138,8 +146,8 @@ def record_counters(records: DataFrame) -> DataFrame:
         "is_object",
         F.struct(*present).alias("present"),
         F.coalesce(F.size("mapping"), F.lit(0)).cast("bigint").alias("nodes"),
-        F.coalesce("refs.missing", F.lit(0).cast("bigint")).alias("missing"),
-        F.coalesce("refs.cycles", F.lit(0).cast("bigint")).alias("cycles"),
+        F.coalesce("missing", F.lit(0).cast("bigint")).alias("missing"),
+        F.coalesce("cycles", F.lit(0).cast("bigint")).alias("cycles"),
         (_unknown(F.col("top"), CONVERSATION_KEYS) + F.coalesce(inner, F.lit(0).cast("bigint"))).alias("unknown"),
     )
 

@@ -45,7 +45,23 @@ def test_other_shapes_give_the_empty_report(spark):
 
 
 def test_back_edges():
-    assert profile.back_edges([None, 0, 1], [], [], 3) == 0
-    assert profile.back_edges([1, 0], [0], [1], 2) == 1
-    assert profile.back_edges([0], [], [], 1) == 1
-    assert profile.back_edges([None, 0, 0, 1], [2, 3], [3, 0], 4) == 1
+    assert profile.back_edges([(0, 1), (1, 2)], 3) == 0
+    assert profile.back_edges([(1, 0), (0, 1), (0, 1)], 2) == 1
+    assert profile.back_edges([(0, 0)], 1) == 1
+    assert profile.back_edges([(0, 1), (0, 2), (1, 3), (2, 3), (3, 0)], 4) == 1
+    assert profile.back_edges([(i + 1, i) for i in range(5000)] + [(0, 5000)], 5001) == 1
+
+
+def test_names_and_references(spark):
+    """Keys and ids both name a node, the first of a name stands, and every lost reference counts.
+
+    Nodes go by their keys, so ``a`` is the node of key ``c``.
+    """
+    mapping = {
+        "k0": {"id": "a", "children": ["b", "b", "lost", None]}, "b": {"parent": "a", "children": ["c"]},
+        "c": {"id": "a", "parent": "lost", "children": ["k0"]}, "d": {"parent": "k0"},
+    }
+    records = [json.dumps({"mapping": mapping, "current_node": "nowhere"}), json.dumps({"mapping": {}, "current_node": "x"}), "{}"]
+    rows = {r.shard_ordinal: r for r in profile.record_counters(records_frame(spark, records)).collect()}
+    assert (rows[0].missing, rows[0].cycles) == (3, 2)
+    assert (rows[1].missing, rows[1].cycles, rows[2].missing, rows[2].cycles) == (1, 0, 0, 0)
