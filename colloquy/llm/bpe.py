@@ -8,11 +8,13 @@ words take the same merges from a heap of ranks.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 from unicodedata import category
@@ -60,6 +62,18 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+@contextmanager
+def no_cycle_search():
+    """Work that makes millions of small lists and no cycles needs no search for cycles meanwhile."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -171,6 +185,10 @@ class Codec:
         The tables of known words and of known pieces between spaces are emptied when
         full, so their size is bounded.
         """
+        with no_cycle_search():
+            return self._encode_batch(texts)
+
+    def _encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.words) + len(self.spaced) > 2 * CACHED_WORDS:
             self.words, self.spaced = {}, {}
         plans, heads, tails = [], set(), set()
