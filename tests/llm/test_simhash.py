@@ -106,10 +106,8 @@ def test_near_copies_by_brute_force(docs_of, monkeypatch, limit):
             rows.append((10 * i + j, " ".join(copy)))
     rows += [(500, None), (501, " "), (502, "short"), (503, "short")]
     sets = {i: near_copies.shingle_set(t) for i, t in rows}
-    marks = {i: simhash.fingerprint(t, 2) for i, t in rows}
     linked = [(a, b) for a in sets for b in sets if a < b and (
-        (len(sets[a]) == len(sets[b]) and (sets[a] == sets[b]).all())
-        or ((marks[a] ^ marks[b]).bit_count() <= 6 and near_copies._similar(sets[a], sets[b], 0.8)))]
+        (len(sets[a]) == len(sets[b]) and (sets[a] == sets[b]).all()) or near_copies._similar(sets[a], sets[b], 0.8))]
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(rows)).collect()}
     assert got == closure(list(sets), linked)
     assert sum(i != c for i, c in got.items()) >= 30
@@ -131,10 +129,43 @@ def test_near_copies_are_all_pairs_of_the_similarity(docs_of, monkeypatch, limit
     marks = {i: simhash.fingerprint(t, 2) for i, t in rows}
     linked = [(a, b) for a in sets for b in sets if a < b and near_copies._similar(sets[a], sets[b], 0.8)]
     assert sum((marks[a] ^ marks[b]).bit_count() > 6 for a, b in linked) >= 3
-    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(rows), radius=simhash.BITS).collect()}
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(rows)).collect()}
     assert got == closure(list(sets), linked)
 
 
+def test_one_id_with_several_texts(spark, docs_of):
+    """Every text of an id has its near copies, and rows are judged by their own text."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(900)]
+    rows, copies = [], []
+    for i in range(12):
+        for _ in range(2):
+            text = [rng.choice(words) for _ in range(150)]
+            rows.append((10 + i, " ".join(text)))
+            text[70] = "changed"
+            copies.append((100 + len(copies), " ".join(text)))
+    rows += [rows[0]] * 40
+    got = [(r.doc_id, r.component_id) for r in near_copies.near_copies(docs_of(rows + copies)).collect()]
+    assert len(got) == len(rows) + len(copies)
+    of = dict(got)
+    assert [of[100 + k] for k in range(24)] == [10 + k // 2 for k in range(24)]
+    late = [(7, copies[0][1]), (50, rows[0][1]), (50, "another text of its own that stays " * 9)]
+    left = near_copies.stage(spark, docs_of(late), "").collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([late[0], late[2]])
+
+
+def test_cells_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(4)
+    ruled_out = 0
+    for _ in range(3000):
+        base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64) * np.uint64(2))
+        other = np.unique(np.concatenate((base[rng.random(len(base)) < rng.uniform(0.6, 1)], rng.integers(0, 1 << 63, int(rng.integers(0, 40)), dtype=np.uint64))))
+        far = near_copies._far_apart(near_copies._cells(base), near_copies._cells(other), np.int64(len(base) + len(other)), 0.8)
+        ruled_out += bool(far)
+        assert not (far and near_copies._similar(base, other, 0.8))
+    assert ruled_out > 300
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5), (None, 3)]
     rows = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
