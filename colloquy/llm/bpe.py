@@ -223,6 +223,10 @@ class Codec:
             out.append(np.frombuffer(raw, "<i4"))
         return out
 
+    def forget(self) -> None:
+        """Drop the known words: a worker that waits for another job holds no memory for them."""
+        self.words, self.spaced = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0].tolist()
 
@@ -253,6 +257,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, id_column: str = "do
                 part = batch.slice(at, BATCH_ROWS)
                 ids = pa.array(own.encode_batch(part.column(1).to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), ids], names=["doc_id", "ids"])
+        own.forget()
 
     return docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(
         run, "doc_id long, ids array<int>"
@@ -295,6 +300,7 @@ def round_trips(docs: DataFrame, vocabulary: str | None = None, id_column: str =
                  pa.array(text_digests, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        own.forget()
 
     return docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

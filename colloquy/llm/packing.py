@@ -55,6 +55,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, id_
                     columns.append(pa.array(arrays, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        own.forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(run, schema)
