@@ -80,6 +80,18 @@ def test_file_stream(spark, tmp_path):
     assert refresh.read_manifest(spark, target).count() == 2
 
 
+def test_two_streams_into_one_archive(spark, tmp_path):
+    """Each stream counts its batches from zero; neither writes where the other did."""
+    target = str(tmp_path / "out")
+    for name, title in (("one", "a"), ("two", "b")):
+        source = tmp_path / name
+        source.mkdir()
+        (source / f"conversations-{ord(title)}.json").write_text(shard(title))
+        ingest.ingest_stream(spark, str(source), target, str(tmp_path / f"state-{name}")).awaitTermination()
+    assert titles(spark, target) == ["a", "b"]
+    assert refresh.read_manifest(spark, target).select("run").distinct().count() == 2
+
+
 def test_export_of_nothing_and_two_writers(spark, tmp_path):
     source, target = tmp_path / "empty", str(tmp_path / "stored")
     source.mkdir()
