@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -73,13 +74,51 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write an intermediate table to the scratch folder and read it back."""
+    """Write an intermediate table to the scratch folder and read it back.
+
+    Its shuffle files go as soon as it is written, since nothing reads them again.
+    """
     path = scratch_path(df.sparkSession, label)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with sql_conf(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        writer.parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scratch.get():
+        _scratch.get()[-1].append(path)
+    return written
+
+
+# Paths of the open ``temporary`` blocks, innermost last.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables written inside are deleted at the end, on failure too.
+
+    What is read later has to be written inside ``lasting()``.
+    """
+    paths: list[str] = []
+    token = _scratch.set((*_scratch.get(), paths))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def lasting():
+    """Tables written inside outlive the innermost ``temporary`` block; an outer one still deletes them."""
+    token = _scratch.set(_scratch.get()[:-1])
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
 
 
 def fixed_splits(spark: SparkSession, split_bytes: int | None = None) -> SparkSession:
