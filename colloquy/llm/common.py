@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.session import materialize
+from colloquy.session import lasting, materialize
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,6 +29,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label)
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``stored`` for a result that outlives the ``temporary`` block around it."""
+    with lasting():
+        return stored(df, label)
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that the table doesn't have yet."""
     taken, name, n = {c.lower() for c in df.columns}, stem, 0

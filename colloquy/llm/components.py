@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import stored
+from colloquy.llm.common import kept, stored
+from colloquy.session import temporary
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -29,8 +30,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     The component is the smallest node that can be reached.  Rows with a null end or
     with equal ends link nothing.  Large-star and small-star rounds alternate until
     the parent table is a forest of stars; rounds grow with the logarithm of the
-    component size.  Each round ends in a written table.
+    component size.  Each round ends in a written table; only the last one stays.
     """
+    with temporary(edges.sparkSession):
+        return kept(_contracted(edges, max_rounds), "cc-components")
+
+
+def _contracted(edges: DataFrame, max_rounds: int) -> DataFrame:
     parents = stored(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("parent"))

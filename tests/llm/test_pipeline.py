@@ -1,6 +1,6 @@
 import corpus_pipeline
 from colloquy.llm import bpe, near_copies, packing, quality
-from colloquy.llm.common import table
+from colloquy.llm.common import stored, table
 
 
 def test_stages_by_brute_force(spark, sf_dir, monkeypatch):
@@ -31,7 +31,7 @@ def test_stages_by_brute_force(spark, sf_dir, monkeypatch):
         after[i] = bytes(b for b, g in zip(raw, gone) if not g).decode("utf-8", "ignore")
 
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name)
         assert docs.columns == columns
     assert {r.doc_id: r.text or "" for r in docs.collect()} == after
     assert 400 not in after and 401 not in after and 8 not in after
@@ -46,5 +46,5 @@ def test_stages_by_brute_force(spark, sf_dir, monkeypatch):
 def test_empty_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name)
         assert docs.count() == 0
