@@ -41,39 +41,40 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     ).withColumn("h", F.xxhash64("norm"))
     limit = max(1, docs.count() // HOT_SHARE)
     # At most HOT_SHARE hashes have more rows than this, so the table may be broadcast.
-    hot = base.groupBy("h").agg(F.count("*").alias("hot_rows")).where(F.col("hot_rows") > limit)
-    keyed = base.join(F.broadcast(hot), "h", "left").select(
-        "*",
-        F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("hot_rows") / limit)), F.lit(0)).alias("chunk"),
-        F.substring("norm", 1, PREFIX).alias("prefix"),
-    )
-    dealt = keyed.repartitionByRange("prefix", "h", "chunk")
-    equal = Window.partitionBy("prefix", "h", "chunk", "norm")
-    ranked = equal.orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
-    first = F.col("place") == 1
-    local = dealt.select(
-        "doc_id", "h", "chunk", "points", "norm", "hot_rows",
-        F.row_number().over(ranked).alias("place"),
-        F.first("doc_id").over(ranked).alias("leader"),
-        F.count("*").over(equal).alias("copies"),
-        *(["row"] if carry else []),
-    ).select(
-        "doc_id", "chunk", "points", "leader", "copies", "place", "hot_rows",
-        F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-        F.when(F.col("hot_rows").isNotNull() & first, F.col("norm")).alias("norm"),
-        *(["row"] if carry else []),
-    )
-    local = stored(local, "exact-local")
+    hot = stored(base.groupBy("h").agg(F.count("*").alias("hot_rows")).where(F.col("hot_rows") > limit), "exact-hot")
+
+    def chunked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("hot_rows") / limit)), F.lit(0)))
+
+    def ranked(dealt: DataFrame, *carried: str) -> DataFrame:
+        """Rows that are dealt by prefix, hash and chunk, each with its place among its equals there."""
+        equal = Window.partitionBy("prefix", "h", "chunk", "norm")
+        order = equal.orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
+        return dealt.select(
+            "doc_id", "chunk", "points", "norm", "hot_rows", *carried,
+            F.row_number().over(order).alias("place"),
+            F.first("doc_id").over(order).alias("leader"),
+            F.count("*").over(equal).alias("copies"),
+        ).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
 
-    winners = local.where(F.col("hot_rows").isNotNull() & first)
+    first = F.col("place") == 1
+    # Chunks of hot texts agree on their winner first: one row a text and chunk.
+    winners = ranked(chunked(base.drop("row").join(F.broadcast(hot), "h")).withColumn("prefix", F.lit("")).repartition("h", "chunk")).where(first)
     same = Window.partitionBy("text_sha256", "norm")
     best = same.orderBy(F.desc("points"), F.asc_nulls_last("leader"))
-    merged = winners.select(
+    merged = stored(winners.select(
         "text_sha256", "chunk",
         F.first("leader").over(best).alias("all_leader"),
         F.row_number().over(best).alias("all_place"),
         F.sum("copies").over(same).alias("all_copies"),
-    )
+    ), "exact-merged")
+    dealt = chunked(base.join(F.broadcast(hot), "h", "left")).withColumn("prefix", F.substring("norm", 1, PREFIX))
+    if carry:
+        # The row brings its text, which is normalised again after the shuffle instead of moving twice.
+        dealt = dealt.drop("norm").repartitionByRange("prefix", "h", "chunk").withColumn("norm", normalised(f"row.`{text_column}`"))
+    else:
+        dealt = dealt.repartitionByRange("prefix", "h", "chunk")
+    local = ranked(dealt, *(["row"] if carry else []))
     final = local.join(F.broadcast(merged), ["text_sha256", "chunk"], "left")
     alone = F.col("all_place").isNull()
     return final.select(
