@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.bpe import BATCH_ROWS, codec
-from colloquy.llm.common import stored, table
+from colloquy.llm.common import stored, table, tidy
 
 SIZE = 1024
 END = 2
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, id_
         own.forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(tidy(run), schema)
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> tuple[np.ndarray, int]:
@@ -129,7 +129,7 @@ def slots(ranked: DataFrame, planned: np.ndarray) -> DataFrame:
                 names=[*kept.schema.names, "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidy(run), schema)
 
 
 def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, id_column: str = "doc_id",

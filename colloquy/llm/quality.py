@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import crc_remainder, stored, table
+from colloquy.llm.common import crc_remainder, stored, table, tidy
 
 FEATURES = 4096
 SHAPES = 4
@@ -68,7 +68,7 @@ def document_frequencies(docs: DataFrame, text_column: str = "text") -> tuple[np
             [pa.array(np.arange(-1, FEATURES)), pa.array(np.concatenate(([rows], seen)))], names=["feature", "n"]
         )
 
-    found = docs.select(F.col(text_column).alias("t")).mapInArrow(run, "feature long, n long")
+    found = docs.select(F.col(text_column).alias("t")).mapInArrow(tidy(run), "feature long, n long")
     out = np.zeros(FEATURES + 1, np.int64)
     for row in found.groupBy("feature").agg(F.sum("n").alias("n")).collect():
         out[row.feature + 1] = row.n
@@ -98,7 +98,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
             )
 
     rows = held.select("doc_id", "text", "quality").mapInArrow(
-        run, "doc_id long, quality int, feature array<int>, n array<int>")
+        tidy(run), "doc_id long, quality int, feature array<int>, n array<int>")
     # A repeated id counts once, so the bound holds.
     return rows.groupBy("doc_id", "quality").agg(F.first("feature").alias("feature"), F.first("n").alias("n"))
 
@@ -187,9 +187,9 @@ def score(docs: DataFrame, voters: Voters, id_column: str = "doc_id", text_colum
             yield batch.filter(pa.array(measured(batch.column(text_at)) >= keep))
 
     if keep is None:
-        return docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(run, "doc_id long, score double")
+        return docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(tidy(run), "doc_id long, score double")
     text_at = docs.columns.index(text_column)
-    return docs.mapInArrow(passing, docs.schema)
+    return docs.mapInArrow(tidy(passing), docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

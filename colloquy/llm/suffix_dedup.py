@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import stored, table
+from colloquy.llm.common import stored, table, tidy
 from colloquy.llm.windows import BUFFER, Rolling, mixed, window_samples
 from colloquy.session import scratch_path
 
@@ -371,7 +371,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", t
     text_buckets = max(2, round(volume / CHUNK_BYTES))
     name = f"windows_{os.urandom(6).hex()}"
     (
-        plain.mapInArrow(chunked(plain, inner_id, inner_text, size), STORE)
+        plain.mapInArrow(tidy(chunked(plain, inner_id, inner_text, size)), STORE)
         .write.format("parquet").option("path", scratch_path(spark, "windows")).option("compression", "none")
         .partitionBy("kind").bucketBy(text_buckets, "chunk").saveAsTable(name)
     )
@@ -395,7 +395,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", t
     hot = np.sort(np.array([r.key for r in hot_rows.collect()], np.int64).view(np.uint64))
 
     texts = texts.select("chunk", "data")
-    asked = texts.mapInArrow(first_requests(inner_id, inner_text, size, hot, buckets), MESSAGE)
+    asked = texts.mapInArrow(tidy(first_requests(inner_id, inner_text, size, hot, buckets)), MESSAGE)
     first = stored(asked.groupBy("bucket").applyInArrow(first_pass(buckets), MESSAGE), "windows-first")
     windows = texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(
         second_requests(inner_id, inner_text, size, hot, buckets), MESSAGE
