@@ -20,6 +20,11 @@ def lines(html):
     ("<article><!-- note --><table><tr><td>1<td>2<tr><td>3</table><pre> x\n y </pre></article>", ["1 2", "3", "x y"]),
     ("<article><p>cut <b>here", ["cut here"]),
     ("<article><header>h</header><p>body</p><div id='cookie-notice'>c</div></article>", ["body"]),
+    ("<div class='content-with-sidebar'><article><p>a</article></div>", ["a"]),
+    ("<div class='has-header'><main><h2 id='related-work'>r</h2><p class='ad-hoc'>b</p><div class='related-links'>x</div></main></div>", ["r", "b"]),
+    ("<main><ul><li class='share'>one<li>two</ul><p>three</main>", ["one", "two", "three"]),
+    ("<main><article><p>story</article></main><section><article><p>teaser</article></section>", ["story"]),
+    ("<main></main><article><p>story</article>", ["story"]),
     ("", []), (None, []), ("plain text", ["plain text"]), ("<article></article>", []),
 ])
 def test_blocks(html, want):
@@ -51,7 +56,9 @@ def test_pages_without_an_article_lose_what_the_nearest_page_shares(spark):
     rows = [(i, f"http://a.example/{i:03d}", page(i, f"<p>own text number {i} of this page</p><p>second line {i}</p>")) for i in range(40)]
     rows += [(100, "http://b.example/x", page(100, "<p>alone</p>")), (101, None, page(101, "<p>no url</p>")), (102, "http://c.example/", None),
              (103, "http://a.example/000", "<article><p>Site menu</p></article>"), (104, "http://d.example/1", page(1, "<p>same</p>")),
-             (105, "http://d.example/1", page(1, "<p>same</p>"))]
+             (105, "http://d.example/1", page(1, "<p>same</p>")), (106, "http://e.example/1", page(1, "<p>copy</p>")),
+             (107, "http://e.example/1?a", page(1, "<p>copy</p>")), (108, "http://e.example/2", page(1, "<p>s</p>")),
+             (109, "http://f.example/1", "<!-- <article> -->" + page(1, "<p>first</p>")), (110, "http://f.example/2", page(1, "<p>next</p>"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS path", "3 AS text").repartition(4)
     got = {r.page_id: r for r in html_text.main_text(pages).collect()}
     assert len(got) == len(rows)
@@ -61,9 +68,37 @@ def test_pages_without_an_article_lose_what_the_nearest_page_shares(spark):
     assert got[100].text == whole.format("alone") and got[101].text == whole.format("no url")
     assert (got[102].text, got[102].n_chars) == ("", 0) and got[103].text == "Site menu"
     assert got[104].text == got[105].text == whole.format("same") and got[104].n_chars == len(got[104].text)
+    assert [got[i].text for i in range(106, 111)] == ["copy", "copy", "s", "first", "next"]
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def nearest_by_brute_force(rows):
+    """The text of each page from a plain list: the last different page of the host before it, else the next one."""
+    ordered = sorted((u.split("//")[1].split("/")[0], u.split("?")[0], u, i, tuple(lines(h))) for i, u, h in rows)
+    out = {}
+    for at, (host, _, _, i, own) in enumerate(ordered):
+        before = [o[4] for o in ordered[:at] if o[0] == host and o[4] != own]
+        after = [o[4] for o in ordered[at:] if o[0] == host and o[4] != own]
+        other = before[-1] if before else after[0] if after else ()
+        out[i] = "\n".join(x for x, same in zip(own, html_text.common_lines(list(own), list(other))) if not same)
+    return out
+
+
+@pytest.mark.parametrize("chars", [1 << 23, 1500, 300])
+def test_ranges_don_t_matter(spark, monkeypatch, chars):
+    """Hosts of one page, of copies only, and runs of copies that are longer than a range."""
+    monkeypatch.setattr(html_text, "RANGE_CHARS", chars)
+    rng = random.Random(9)
+    rows = []
+    for host in range(25):
+        for n in range(rng.choice([1, 2, 2, 3, 12])):
+            body = f"<p>story {host} {rng.randint(0, n)}</p><p>line {rng.randint(0, 2)}</p>"
+            for copy in range(rng.choice([1, 1, 1, 2, 25])):
+                rows.append((len(rows), f"http://h{host:02d}.example/{n:02d}?{copy:02d}", page(0, body)))
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == nearest_by_brute_force(rows) and sum("menu" not in t for t in got.values()) > len(rows) // 2
+
+
 def brute(rows, threshold):
     ids = [r[0] for r in rows]
     unit = []
