@@ -202,20 +202,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = TABL
     )
     files = stored(
         classes.select("rep", "label", "copies", "v").mapInArrow(
-            filed(tables), "rep long, label long, copies long, unit binary, keys array<long>"),
+            filed(tables), "rep long, label long, copies long, unit binary, keys array<long>"
+        ).withColumn("file", F.monotonically_increasing_id()),
         "vector-files",
     )
-    placed = files.select("*", F.explode(F.array_distinct("keys")).alias("bucket"))
-    sizes = stored(placed.select("bucket").groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "vector-sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    groups = max(1, round(total / GROUP_ROWS))
+    # Buckets are sized and split over numbers alone; a vector joins its blocks afterwards.
+    placed = files.select("file", F.explode(F.array_distinct("keys")).alias("bucket"))
+    sizes = stored(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "vector-sizes")
     # A bucket of n vectors has ceil(n / BLOCK) blocks; each vector meets every block.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    total = sizes.agg(F.sum(F.col("n") * blocks)).first()[0] or 0
+    groups = max(1, round(total / GROUP_ROWS))
     met = placed.join(sizes, "bucket").withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        "block", F.pmod(F.xxhash64("file"), F.col("blocks")).cast("int"))
     met = met.select(
         "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select(
+    ).hint("shuffle_merge").join(files, "file").select(
         "rep", "label", "copies", "unit", "keys", "bucket", "block",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
     ).withColumn("group", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(groups)))
