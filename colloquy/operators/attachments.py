@@ -127,12 +127,20 @@ def classify_files(files: DataFrame) -> DataFrame:
 
     Only the first 64 KiB decide.
     """
+    return classify_prefixes(files.select(
+        F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"),
+        F.col("length").alias("byte_size"),
+        F.when(F.col("length") <= S.MAX_DOWNLOAD_BYTES, F.substring("content", 1, S.SIGNATURE_BYTES)).alias("prefix"),
+    ))
+
+
+def classify_prefixes(files: DataFrame) -> DataFrame:
+    """``(name, byte_size, prefix)`` to MIME type, extension and preview kind.
+
+    A null prefix is that of a file too large to be opened, which has no type.
+    """
     rows = (
-        files.select(
-            F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"),
-            F.col("length").alias("byte_size"),
-            F.substring("content", 1, S.SIGNATURE_BYTES).alias("prefix"),
-        )
+        files.select("name", "byte_size", "prefix")
         .withColumn("mime", _signature(F.col("prefix"), 0))
         .withColumn("ext", _signature(F.col("prefix"), 1))
         .withColumn("is_text", F.when(F.col("mime").isNull(), looks_like_text(
@@ -422,6 +430,6 @@ def changed_files(attachments: DataFrame, files_now: DataFrame) -> DataFrame:
 
 __all__ = [
     "attachment_name", "attachment_records", "bounded_kind", "candidate_names", "changed_files",
-    "classify_files", "match_files", "preview_eligible",
+    "classify_files", "classify_prefixes", "match_files", "preview_eligible",
     "read_text_files", "resolve_attachments", "type_mismatches", "unique_casefold",
 ]

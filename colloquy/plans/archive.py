@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -10,18 +12,19 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import attachments as A
 from colloquy.operators import browse, graph, project, search
-from colloquy.session import materialize, scratch_path
+from colloquy.session import complete_folders, materialize, scratch_path, write_table
 
 
 @dataclass
 class Archive:
     """``table`` has one row per record (see ``project_records``), ``files`` one row per
     classified attachment file.  Derived tables are computed once, on first use, and
-    kept in the scratch folder.
+    kept in the scratch folder, or in ``folder`` for later sessions too.
     """
 
     table: DataFrame
     files: DataFrame
+    folder: str | None = None
     _derived: dict = field(default_factory=dict, repr=False)
 
     @property
@@ -40,21 +43,32 @@ class Archive:
     def search_documents(self) -> DataFrame:
         return project.search_documents(self.table)
 
+    def _kept(self, name: str, build: Callable[[], DataFrame], write: Callable[[DataFrame, str], None] = write_table
+              ) -> DataFrame:
+        """A derived table as an earlier session stored it, or built and written now.
+
+        Every writer takes a folder of its own, and only complete ones are read, so
+        sessions that write the same table don't meet.
+        """
+        stored = complete_folders(self.spark, f"{self.folder}/{name}-*") if self.folder else []
+        if stored:
+            return self.spark.read.parquet(stored[0])
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:12]}" if self.folder else scratch_path(self.spark, name)
+        rows = build()
+        write(rows, path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     @cached_property
     def links(self) -> DataFrame:
-        return materialize(graph.link_nodes(self.table), "links")
+        return self._kept("links", lambda: graph.link_nodes(self.table))
 
     @cached_property
     def attachments(self) -> DataFrame:
-        refs = project.attachment_refs(self.table)
-        return materialize(A.resolve_attachments(refs, self.files), "attachments")
+        return self._kept("attachments", lambda: A.resolve_attachments(project.attachment_refs(self.table), self.files))
 
     @cached_property
     def postings(self) -> DataFrame:
-        path = scratch_path(self.spark, "postings")
-        index = search.postings(self.search_documents)
-        search.write_postings(index, path)
-        return self.spark.read.schema(index.schema).parquet(path)
+        return self._kept("postings", lambda: search.postings(self.search_documents), search.write_postings)
 
     @property
     def roles(self) -> DataFrame:

@@ -4,13 +4,16 @@ Layout under the target folder::
 
     archive/run=<id>/shard_name=<name>/   nested archive rows, never rewritten
     quarantine/run=<id>/                  refused records and shards
+    files/run=<id>/                       one row per attachment file, classified
+    derived/v=<n>/<table>-<id>/           tables derived from one manifest version
     manifest/v=<n>/                       one row per live shard: which run holds it
 
 A run writes its rows into a folder of its own and the manifest last.  The manifest is
 the commit: a reader takes the newest complete one and sees, per shard, exactly the run
 that it names.  A run that dies leaves files nobody refers to, and the old state.  A
 removed shard is missing from the next manifest; a shard that cannot be read keeps its
-previous entry.
+previous entry.  Attachment files are classified when they are new or have changed; a
+run that finds changes writes the whole inventory, a narrow row per file, and commits.
 """
 
 from __future__ import annotations
@@ -26,11 +29,16 @@ from colloquy.operators import inventory, project
 from colloquy.plans import ingest
 from colloquy.plans.archive import Archive
 from colloquy.session import materialize
-from colloquy.sources import listing
+from colloquy.sources import listing, ranges
 
 MANIFEST = (
     "name string, byte_size bigint, modified timestamp, content_hash string, conversation_count bigint, "
-    "indexed_at timestamp, projection_version string, run string, attachment_fingerprint string"
+    "indexed_at timestamp, projection_version string, run string, attachment_fingerprint string, "
+    "files_run string"
+)
+FILES = (
+    "name string, byte_size bigint, modified timestamp, detected_mime string, detected_extension string, "
+    "preview_kind string, width bigint, height bigint"
 )
 
 
@@ -56,13 +64,34 @@ def write_manifest(manifest: DataFrame, target: str) -> None:
     manifest.write.mode("errorifexists").parquet(f"{target}/manifest/v={version}")
 
 
-def content_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    if not paths:
-        return spark.createDataFrame([], "name string, content_hash string")
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select(
-        F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"), F.sha2("content", 256).alias("content_hash")
-    )
+def files_state(manifest: DataFrame) -> tuple[str, str | None]:
+    """Fingerprint and run of the classified files that a manifest names; all its rows name the same."""
+    row = manifest.where("files_run IS NOT NULL").select("attachment_fingerprint", "files_run").first()
+    return (row.attachment_fingerprint, row.files_run) if row else ("", None)
+
+
+def read_files(spark: SparkSession, target: str, run: str | None) -> DataFrame:
+    """Classified attachment files, as a run stored them."""
+    if run is None:
+        return spark.createDataFrame([], FILES)
+    return spark.read.schema(FILES).parquet(f"{target}/files/run={run}")
+
+
+def classify_listed(spark: SparkSession, source: str, listed: DataFrame) -> DataFrame:
+    """Listed attachment files with type and kind; only their prefixes are read, none of files too large to open."""
+    read = ranges.prefixes(spark, source, listed, S.SIGNATURE_BYTES, S.MAX_DOWNLOAD_BYTES)
+    typed = A.classify_prefixes(read).drop("byte_size").join(listed.select(*inventory.ENTRY), "name")
+    columns = spark.createDataFrame([], FILES).schema
+    return typed.select(*[F.col(f.name).cast(f.dataType) for f in columns])
+
+
+def store_files(spark: SparkSession, source: str, listed: DataFrame, target: str, run: str, before: str | None) -> None:
+    """Write the inventory of a run: what the last one has of unchanged files, and the others classified."""
+    stored = read_files(spark, target, before)
+    entry = list(inventory.ENTRY)
+    kept = stored.join(listed.select(*entry), entry, "left_semi")
+    fresh = classify_listed(spark, source, listed.join(stored.select(*entry), entry, "left_anti"))
+    kept.select(*fresh.columns).unionByName(fresh).write.mode("errorifexists").parquet(f"{target}/files/run={run}")
 
 
 def read_archive(spark: SparkSession, target: str) -> DataFrame:
@@ -91,7 +120,9 @@ def store_run(spark: SparkSession, listed: DataFrame, target: str, run: str) ->
     return rows, refused
 
 
-def new_entries(read: DataFrame, hashes: DataFrame, rows: DataFrame, refused: DataFrame, run: str, fingerprint: str) -> DataFrame:
+def new_entries(read: DataFrame, hashes: DataFrame, rows: DataFrame, refused: DataFrame, run: str, state: tuple[str, str | None]
+                ) -> DataFrame:
+    """Manifest rows of the shards of one run; ``state`` is that of the classified files."""
     counts = rows.where(F.col("reason").isNull()).groupBy("shard_name").agg(F.count("*").alias("n"))
     return (
         read.join(hashes, "name")
@@ -103,46 +134,63 @@ def new_entries(read: DataFrame, hashes: DataFrame, rows: DataFrame, refused: Da
             F.current_timestamp().alias("indexed_at"),
             F.lit(S.PROJECTION_VERSION).alias("projection_version"),
             F.lit(run).alias("run"),
-            F.lit(fingerprint).alias("attachment_fingerprint"),
+            F.lit(state[0]).alias("attachment_fingerprint"),
+            F.lit(state[1]).cast("string").alias("files_run"),
         )
     )
 
 
 def refresh(spark: SparkSession, source: str, target: str) -> dict:
-    """Read new and changed shards, drop removed ones; returns the counters of the run."""
+    """Read new and changed shards and attachment files, drop removed ones; returns the counters of the run."""
     # Written down, not cached: the check at the end has to list the folder again, and a
     # cached plan would answer for it.
     files = materialize(listing.list_files(spark, source), "listing")
     listing.require_supported(files)
-    found = listing.shards_in(files)
-    fingerprint = inventory.fingerprint(listing.attachments_in(files)).first().fingerprint
+    found, attached = listing.shards_in(files), listing.attachments_in(files)
     manifest = read_manifest(spark, target)
-    same = inventory.unchanged_metadata(found, manifest).join(found.select("name", "path"), "name")
-    hashes = content_hashes(spark, [r.path for r in same.select("path").collect()])
+    same = inventory.unchanged_metadata(found, manifest).select("name")
+    hashes = ranges.content_hashes(spark, found.join(same, "name"))
     current = inventory.current_shards(found, manifest, hashes).cache()
-    to_read = inventory.shards_to_read(found, current)
-    paths = [r.path for r in to_read.select("path").collect()]
+    to_read = inventory.shards_to_read(found, current).select("path", *inventory.ENTRY).cache()
+    n_read = to_read.count()
     run = uuid.uuid4().hex[:12]
     gone = inventory.stale_shards(manifest, found).count()
-    kept = manifest.join(found.select("name"), "name", "left_semi").withColumn(
-        "attachment_fingerprint", F.lit(fingerprint)
+    before = files_state(manifest)
+    fingerprint = inventory.fingerprint(attached).first().fingerprint
+    moved = before[1] is None or before[0] != fingerprint
+    state = (fingerprint, run) if moved else before
+    if moved:
+        store_files(spark, source, attached, target, run, before[1])
+    kept = manifest.join(found.select("name"), "name", "left_semi").withColumns(
+        {"attachment_fingerprint": F.lit(state[0]), "files_run": F.lit(state[1])}
     )
     n_refused = n_records = 0
-    if paths:
+    if n_read:
         rows, refused = store_run(spark, to_read, target, run)
-        fresh = new_entries(to_read, content_hashes(spark, paths), rows, refused, run, fingerprint)
+        fresh = new_entries(to_read, ranges.content_hashes(spark, to_read), rows, refused, run, state)
         kept = kept.join(fresh.select("name"), "name", "left_anti").unionByName(fresh)
         n_refused, n_records = refused.count(), rows.count()
     if not inventory.unchanged(files, listing.list_files(spark, source)):
         raise RuntimeError("the source changed while it was read; nothing was committed")
-    if paths or gone:
+    if n_read or gone or moved:
         write_manifest(kept, target)
     return {
-        "skipped": current.count(), "read": len(paths), "refused": n_refused, "records": n_records, "pruned": gone,
+        "skipped": current.count(), "read": n_read, "refused": n_refused, "records": n_records, "pruned": gone,
+        "files_changed": moved,
     }
 
 
 def open_archive(spark: SparkSession, source: str, target: str) -> Archive:
-    """The stored archive together with the attachment files of its source."""
-    names = listing.attachments_in(listing.binary_files(spark, source))
-    return Archive(read_archive(spark, target), materialize(A.classify_files(names), "files"))
+    """The stored archive with the attachment files of its last refresh.
+
+    Nothing is classified again, and tables derived from this version are read where an
+    earlier session has stored them.  An archive that only streams have written has no
+    stored files yet; those of its source are classified then.
+    """
+    versions = _versions(spark, target)
+    _, run = files_state(read_manifest(spark, target))
+    if run is None:
+        listed = listing.attachments_in(listing.list_files(spark, source))
+        return Archive(read_archive(spark, target), materialize(classify_listed(spark, source, listed), "files"))
+    folder = f"{target}/derived/v={versions[-1]}"
+    return Archive(read_archive(spark, target), read_files(spark, target, run), folder)

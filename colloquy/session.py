@@ -79,15 +79,27 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     Its shuffle files go as soon as it is written, since nothing reads them again.
     """
     path = scratch_path(df.sparkSession, label)
+    write_table(df, path, partition_by)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scratch.get():
+        _scratch.get()[-1].append(path)
+    return written
+
+
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Write a table whose shuffle files nothing reads again; they go with the job."""
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     with sql_conf(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         writer.parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path)
-    if _scratch.get():
-        _scratch.get()[-1].append(path)
-    return written
+
+
+def complete_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a pattern and whose writer has committed, by name."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    return sorted(f.getPath().getParent().toString() for f in found)
 
 
 # Paths of the open ``temporary`` blocks, innermost last.

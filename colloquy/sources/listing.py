@@ -45,10 +45,33 @@ def binary_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, name, byte_size, modified)`` of the files directly in a folder."""
-    return binary_files(spark, root).select(
+    """``(path, name, byte_size, modified)`` of the files directly in a folder.
+
+    The file sources leave out empty files when they read, but have listed them; those
+    are taken from there, without a time.  The names stay in the JVM, where the listing is.
+    """
+    found = binary_files(spark, root).select(
         "path", "name", F.col("length").alias("byte_size"), F.col("modificationTime").alias("modified")
     )
+    jvm = spark._jvm
+    listed = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(spark.read.format("binaryFile").load(root)._jdf.inputFiles())
+    uris = DataFrame(spark._jsparkSession.createDataset(listed, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    prefix = qualified(spark, root) + "/"
+    name = F.substring("path", len(prefix) + 1, 2**30)
+    # A path writes an empty authority without its slashes.
+    plain = F.regexp_replace(unescaped(F.col("value")), "^([^:/]+):///", "$1:/")
+    every = uris.select(plain.alias("path")).where(
+        F.col("path").startswith(prefix) & ~name.contains("/")
+    )
+    empty = every.join(found.select("path"), "path", "left_anti").select(
+        "path", name.alias("name"), F.lit(0).cast("bigint").alias("byte_size"), F.lit(None).cast("timestamp").alias("modified")
+    )
+    return found.unionByName(empty)
+
+
+def unescaped(uri: Column) -> Column:
+    """An address as the path it stands for; a plus sign is itself there."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
 def shards_in(files: DataFrame) -> DataFrame:

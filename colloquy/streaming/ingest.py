@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from colloquy.plans import refresh
-from colloquy.sources import listing
+from colloquy.sources import listing, ranges
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -46,15 +46,14 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
         session = batch.sparkSession
         listed = batch.cache()
         try:
-            paths = [r.path for r in listed.select("path").collect()]
-            if not paths:
+            if listed.isEmpty():
                 return
             run = f"stream-{query_id(session, checkpoint)}-{batch_id}"
             rows, refused = refresh.store_run(session, listed, target, run)
+            manifest = refresh.read_manifest(session, target)
             fresh = refresh.new_entries(
-                listed, refresh.content_hashes(session, paths), rows, refused, run, ""
+                listed, ranges.content_hashes(session, listed), rows, refused, run, refresh.files_state(manifest)
             )
-            manifest = refresh.read_manifest(session, target)
             refresh.write_manifest(
                 manifest.join(fresh.select("name"), "name", "left_anti").unionByName(fresh), target
             )
