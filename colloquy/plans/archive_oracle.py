@@ -444,6 +444,19 @@ def oracle_sql() -> dict[str, str]:
             "SELECT name, byte_size, detected_mime, detected_extension, preview_kind, width, height FROM files"
         ),
         "c5_resolved_attachments": _base("SELECT * EXCLUDE (c, t) FROM att"),
+        "c5_rejected_attachments": _base(
+            """SELECT attachment_key, conversation_key, node_id, ordinal, claimed_mime,
+                 CASE WHEN large THEN NULL ELSE source_name END AS source_name,
+                 CASE WHEN NOT large THEN display_name
+                   WHEN display_name LIKE 'report %' OR display_name LIKE 'a!_b%' ESCAPE '!' THEN regexp_replace(display_name, '[.][^.]*$', '.bin')
+                   ELSE 'File attachment ' || (ordinal + 1) || '.bin' END AS display_name,
+                 CASE WHEN large THEN NULL ELSE detected_mime END AS detected_mime,
+                 CASE WHEN large THEN byte_size + 17179869185 ELSE byte_size END AS byte_size,
+                 CASE WHEN large THEN 'rejected' ELSE status END AS status,
+                 CASE WHEN large THEN 'unsupported' ELSE preview_kind END AS preview_kind
+               FROM (SELECT *, coalesce(CAST(regexp_extract(source_name, '[0-9]+') AS BIGINT) % 11 = 3, false) AS large
+                     FROM att)"""
+        ),
         "c6_categories": _base(
             """SELECT status, CASE WHEN detected_mime LIKE 'image/%' THEN 'Image' WHEN detected_mime LIKE 'audio/%' THEN 'Audio'
               WHEN detected_mime LIKE 'text/%' THEN 'Text' WHEN detected_mime = 'application/pdf' THEN 'PDF'

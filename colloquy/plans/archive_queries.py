@@ -13,6 +13,8 @@ from colloquy.operators import attachments as A
 from colloquy.operators import browse, graph, profile, project, render, search
 from colloquy.operators.browse import ConversationQuery
 from colloquy.plans.archive import Archive, build_archive
+from colloquy.schemas import MAX_DOWNLOAD_BYTES
+from colloquy.session import materialize
 from colloquy.sources import listing, tables
 
 _ARCHIVES: dict[tuple[str, str], Archive] = {}
@@ -219,6 +221,17 @@ def _changed(ar: Archive) -> DataFrame:
     return A.changed_files(ar.attachments, later)
 
 
+def _rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """References of an export in which every eleventh file is listed with a size beyond what is opened."""
+    digits = F.regexp_extract("path", r"([0-9]+)", 1).cast("bigint")
+    large = F.col("length") + MAX_DOWNLOAD_BYTES + 1
+    files = tables.attachment_files(spark, folder).withColumn(
+        "length", F.when(digits % 11 == 3, large).otherwise(F.col("length"))
+    )
+    typed = materialize(A.classify_files(files), "files")
+    return A.resolve_attachments(project.attachment_refs(archive_for(spark, folder).table), typed)
+
+
 def _postings(ar: Archive) -> DataFrame:
     return ar.postings.select(
         "token", "column", "conversation_key", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")
@@ -285,6 +298,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "t8_search_summary": on(lambda ar: ar.list_conversations(SEARCH_PAGE)[1]),
         "c1_classified_files": on(lambda ar: ar.files),
         "c5_resolved_attachments": on(lambda ar: ar.attachments),
+        "c5_rejected_attachments": _rejected,
         "c6_categories": on(_categories),
         "c8_type_mismatches": on(lambda ar: A.type_mismatches(ar.attachments)),
         "c9_preview_eligible": on(lambda ar: A.preview_eligible(ar.attachments)),
