@@ -1,14 +1,17 @@
 """Main text of web pages.
 
-Where a page declares its article, the markup says what isn't part of it.  A page
-without such a declaration is compared with the nearest different page by URL path on
-its host: the text lines of both are aligned by their longest common subsequence and the
-shared lines, the template, are deleted.
+Every page is compared with the nearest different page by URL path on its host: the text
+lines of both are aligned by their longest common subsequence, and the shared lines, the
+template, are deleted.  The markup has votes of its own: it says what isn't part of a
+declared article, and lines that it makes paragraphs, headings, items, cells or quotes of
+that article stay, since copies and licence lines belong to their article.  Pages that
+declare an article are compared with each other, and so are those that don't.
 
 Neighbours come from a range-partitioned sort by host and path, so that a host with
 many pages is spread over tasks.  Each range reports its first and last pages in one
 small row; from these rows follows which page beyond its edges a range needs, so the
-result doesn't depend on the ranges.
+result doesn't depend on the ranges.  Pages are dealt and compared by digests of their
+lines; their text isn't shuffled but where lines are deleted.
 """
 
 from __future__ import annotations
@@ -49,7 +52,9 @@ NEUTRAL = frozenset("area bar block box container inner item items link links li
 # Elements whose class and id count; a hint on a paragraph, a list item or inline text doesn't take text away.
 CONTAINERS = frozenset("article aside details div dl figure ol section table ul".split())
 _WORDS = re.compile(r"[a-z]+")
-PLACED = ["part", "place", "page_id", "url", "host", "text", "edge"]
+# Elements whose lines in a declared article are its text, shared or not.
+PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
+PLACED = ["part", "place", "row", "host", "lines", "prose", "edge"]
 EDGE = pa.struct([("first_host", pa.string()), ("first", pa.string()), ("second", pa.int64()),
                   ("last_host", pa.string()), ("last", pa.string()), ("prior", pa.int64())])
 
@@ -72,16 +77,17 @@ class _Page(HTMLParser):
         self.dropped = self.articles = self.mains = 0
         self.seen_article = self.seen_main = False
         self.held: list[str] = []
-        self.body: list[str] = []
-        self.main: list[str] = []
-        self.article: list[str] = []
-        self.main_article: list[str] = []
+        self.body: list[tuple[str, bool]] = []
+        self.main: list[tuple[str, bool]] = []
+        self.article: list[tuple[str, bool]] = []
+        self.main_article: list[tuple[str, bool]] = []
 
     def flush(self) -> None:
         if self.held:
-            line = " ".join("".join(self.held).split())
+            text = " ".join("".join(self.held).split())
             self.held = []
-            if line:
+            if text:
+                line = text, self._prose()
                 self.body.append(line)
                 if self.mains:
                     self.main.append(line)
@@ -90,6 +96,14 @@ class _Page(HTMLParser):
                     if self.mains:
                         self.main_article.append(line)
 
+    def _prose(self) -> bool:
+        for tag, _ in reversed(self.open):
+            if tag in ("article", "main"):
+                return False
+            if tag in PROSE:
+                return True
+        return False
+
     def _foreign(self, tag: str, attrs: list) -> bool:
         if tag in NOT_TEXT:
             return True
@@ -154,8 +168,8 @@ class _Page(HTMLParser):
             self.held.append(data)
 
 
-def page_blocks(html: str | None) -> tuple[list[str], bool]:
-    """Text blocks in page order, and whether the page declares them to be its article."""
+def page_blocks(html: str | None) -> tuple[list[str], bool, list[bool]]:
+    """Text blocks in page order, whether the page declares them to be its article, and which of them are that article's prose."""
     page = _Page()
     page.feed(html or "")
     page.close()
@@ -163,8 +177,11 @@ def page_blocks(html: str | None) -> tuple[list[str], bool]:
     if page.seen_main:
         # Articles outside the main element are teasers, unless the main element is empty.
         found = page.main_article or page.main
-        return (found if found or not page.article else page.article), True
-    return (page.article, True) if page.seen_article else (page.body, False)
+        found = found if found or not page.article else page.article
+    else:
+        found = page.article if page.seen_article else page.body
+    declared = page.seen_main or page.seen_article
+    return [line for line, _ in found], declared, [declared and prose for _, prose in found]
 
 
 def common_lines(mine: list[str], other: list[str]) -> list[bool]:
@@ -203,26 +220,35 @@ def common_lines(mine: list[str], other: list[str]) -> list[bool]:
     return shared
 
 
-def without_template(mine: list[str], other: list[str] | None) -> list[str]:
-    """My lines without those that the nearest different page shares, however many they are."""
-    if not mine or not other:
-        return mine
-    return [line for line, same in zip(mine, common_lines(mine, other)) if not same]
+DIGEST = 16
 
 
-def _rows(ids: list, urls: list, texts: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()),
-         pa.array(list(map(len, texts)), pa.int64())],
-        names=["page_id", "url", "text", "n_chars"],
-    )
+def template_lines(mine: bytes, other: bytes | None, prose: str) -> list[int]:
+    """The numbers of my lines that the nearest different page shares, however many they are; prose of an article aside.
+
+    Pages are the digests of their lines; ``prose`` has a ``1`` for each line that stays.
+    """
+    if not mine or not other or "0" not in prose:
+        return []
+    shared = common_lines(*([page[i:i + DIGEST] for i in range(0, len(page), DIGEST)] for page in (mine, other)))
+    return [i for i, (same, stays) in enumerate(zip(shared, prose)) if same and stays == "0"]
+
+
+def _digests(blocks: list[str]) -> bytes:
+    return b"".join(hashlib.md5(line.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for line in blocks)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        blocks, declared = zip(*(page_blocks(html.as_py()) for html in batch.column(2))) if batch.num_rows else ((), ())
-        rows = _rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ["\n".join(b) for b in blocks])
-        yield rows.append_column("declared", pa.array(declared, pa.bool_()))
+        found = [page_blocks(html.as_py()) for html in batch.column(2)]
+        texts = ["\n".join(blocks) for blocks, _, _ in found]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()),
+             pa.array(list(map(len, texts)), pa.int64()), pa.array([declared for _, declared, _ in found], pa.bool_()),
+             pa.array([_digests(blocks) for blocks, _, _ in found], pa.binary()),
+             pa.array(["".join("01"[p] for p in prose) for _, _, prose in found], pa.string())],
+            names=["page_id", "url", "text", "n_chars", "declared", "lines", "prose"],
+        )
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +261,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = last = None
     second, prior = -1, -1
     for batch in batches:
-        digests = [hashlib.md5(text.as_py().encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest() for text in batch.column("text")]
+        digests = [hashlib.md5(lines.as_py(), usedforsecurity=False).hexdigest() for lines in batch.column("lines")]
         for at, now in enumerate(zip(batch.column("host").to_pylist(), digests)):
             if first is None:
                 first = now
@@ -250,7 +276,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place += batch.num_rows
     if place:
         edge = {"first_host": first[0], "first": first[1], "second": second, "last_host": last[0], "last": last[1], "prior": prior}
-        nothing = [pa.nulls(1, kind) for kind in (pa.int64(), pa.string(), pa.string(), pa.string())]
+        nothing = [pa.nulls(1, kind) for kind in (pa.int64(), pa.string(), pa.binary(), pa.string())]
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([place - 1]), *nothing, pa.array([edge], EDGE)], names=PLACED)
 
 
@@ -280,13 +306,14 @@ def beyond(edges: list) -> list[tuple[int, bool, int, int]]:
 
 
 def _differenced(rows: pa.Table, edges: pa.Table) -> pa.Table:
-    """The pages of a range: each meets the last different one before it on its host, else the next one."""
+    """What the pages of a range lose: each meets the last different one before it on its host, else the next one."""
     rows = rows.sort_by("place")
-    outside = dict(zip(edges.column("later").to_pylist(), edges.column("text").to_pylist()))
-    hosts, texts = rows.column("host").to_pylist(), rows.column("text").to_pylist()
+    outside = dict(zip(edges.column("later").to_pylist(), edges.column("lines").to_pylist()))
+    hosts, texts = rows.column("host").to_pylist(), rows.column("lines").to_pylist()
+    names, prose = rows.column("row").to_pylist(), rows.column("prose").to_pylist()
     starts = [i for i in range(len(texts)) if not i or (hosts[i], texts[i]) != (hosts[i - 1], texts[i - 1])]
     ends = [*starts[1:], len(texts)][:len(starts)]
-    out: list[str] = []
+    out: list[tuple[int, list[int]]] = []
     for start, end in zip(starts, ends):
         if start:
             before = texts[start - 1] if hosts[start - 1] == hosts[start] else None
@@ -297,14 +324,17 @@ def _differenced(rows: pa.Table, edges: pa.Table) -> pa.Table:
         else:
             after = outside.get(True)
         other = before if before is not None else after
-        left = without_template(texts[start].split("\n") if texts[start] else [], other.split("\n") if other else None)
-        out += ["\n".join(left)] * (end - start)
-    return pa.Table.from_batches([_rows(rows.column("page_id").to_pylist(), rows.column("url").to_pylist(), out)])
+        # Copies in a row may differ in their markup.
+        lost = {kind: template_lines(texts[start], other, kind) for kind in set(prose[start:end])}
+        out += [(names[i], lost[prose[i]]) for i in range(start, end) if lost[prose[i]]]
+    return pa.table({"row": pa.array([row for row, _ in out], pa.int64()), "lost": pa.array([n for _, n in out], pa.list_(pa.int64()))})
 
 
 # Characters of a range; a range is one task and one group.
 RANGE_CHARS = 8 << 20
 SCHEMA = "page_id long, url string, text string, n_chars long"
+PLACES = ("part long, place long, row long, host string, lines binary, prose string, "
+          "edge struct<first_host: string, first: string, second: long, last_host: string, last: string, prior: long>")
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -318,30 +348,30 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     plain = pages.select(
         F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html")
     )
-    parsed = stored(plain.mapInArrow(_parsed, SCHEMA + ", declared boolean"), "page-blocks")
+    parsed = plain.mapInArrow(_parsed, SCHEMA + ", declared boolean, lines binary, prose string")
+    parsed = stored(parsed.withColumn("row", F.monotonically_increasing_id()), "page-blocks")
     link = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    others = parsed.where("NOT declared").withColumn("host", F.lower(F.regexp_extract(link, r"^[^/?#]*", 0))).withColumn(
-        "path", F.regexp_extract(link, r"^[^/?#]*([^?#]*)", 1))
-    declared = parsed.where("declared").drop("declared")
-    volume = others.agg(F.sum(F.col("n_chars") + 64)).first()[0]
-    if volume is None:
-        return declared
+    host = F.concat(F.when(F.col("declared"), "+").otherwise("-"), F.lower(F.regexp_extract(link, r"^[^/?#]*", 0)))
+    keyed = parsed.select("row", "page_id", "url", "lines", "prose", host.alias("host"),
+                          F.regexp_extract(link, r"^[^/?#]*([^?#]*)", 1).alias("path"))
+    volume = parsed.agg(F.sum(F.col("n_chars") + 64)).first()[0] or 0
     # Repeated rows are told apart by the row's number, so that they can be dealt to several ranges.
-    sort = ["host", "path", "url", "page_id", "digest", "number"]
-    keyed = others.withColumns({"digest": F.xxhash64("text"), "number": F.monotonically_increasing_id()})
+    sort = ["host", "path", "url", "page_id", F.xxhash64("lines"), "row"]
     dealt = keyed.repartitionByRange(max(1, round(volume / RANGE_CHARS)), *sort).sortWithinPartitions(*sort)
-    placed = stored(dealt.select("page_id", "url", "host", "text").mapInArrow(
-        _placed, "part long, place long, page_id long, url string, host string, text string, "
-        "edge struct<first_host: string, first: string, second: long, last_host: string, last: string, prior: long>"), "page-ranges")
+    placed = stored(dealt.select("row", "host", "lines", "prose").mapInArrow(_placed, PLACES), "page-ranges")
     pages_of = placed.where("edge IS NULL")
     # One row a range.
     edges = beyond(placed.where("edge IS NOT NULL").select("part", "place", "edge").orderBy("part").collect())
     asked = pages.sparkSession.createDataFrame(edges, "for_part long, later boolean, part long, place long")
     brought = stored(
-        pages_of.select("part", "place", "text").join(asked, ["part", "place"]).select(F.col("for_part").alias("part"), "later", "text"),
+        pages_of.select("part", "place", "lines").join(asked, ["part", "place"]).select(F.col("for_part").alias("part"), "later", "lines"),
         "page-beyond")
-    differenced = pages_of.drop("edge").groupBy("part").cogroup(brought.groupBy("part")).applyInArrow(_differenced, SCHEMA)
-    return declared.union(differenced)
+    differenced = pages_of.drop("edge").groupBy("part").cogroup(brought.groupBy("part")).applyInArrow(
+        _differenced, "row long, lost array<long>")
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("lost", i.cast("long")))
+    text = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return parsed.join(stored(differenced, "page-template"), "row", "left").select(
+        "page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

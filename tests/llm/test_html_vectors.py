@@ -72,6 +72,20 @@ def test_pages_without_an_article_lose_what_the_nearest_page_shares(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_declared_articles_lose_shared_lines_that_no_markup_vouches_for(spark):
+    body = "<article><div>Share this story</div><h1>Title</h1><p>own text {0}</p><ul><li>Licence</li></ul>Read more at a.example</article>"
+    rows = [(i, f"http://a.example/{i:02d}", body.format(i)) for i in range(6)]
+    rows += [(6, "http://a.example/03?copy", body.format(3)), (7, "http://b.example/", body.format(7)),
+             (8, "http://a.example/02/x", "<p>Share this story</p><p>other page</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.main_text(pages).collect()}
+    for i in range(7):
+        want = f"Title\nown text {3 if i == 6 else i}\nLicence"
+        assert got[i] == (want, len(want))
+    assert got[7][0] == "Share this story\nTitle\nown text 7\nLicence\nRead more at a.example"
+    assert got[8][0] == "Share this story\nother page"
+
+
 def nearest_by_brute_force(rows):
     """The text of each page from a plain list: the last different page of the host before it, else the next one."""
     ordered = sorted((u.split("//")[1].split("/")[0], u.split("?")[0], u, i, tuple(lines(h))) for i, u, h in rows)
