@@ -151,3 +151,28 @@ def test_snippet_window(spark):
 def test_prefix_reaches_the_index_scan(archive):
     plan = search.phrase_filter(archive.postings, ["alp"])._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(token,alp)" in plan
+
+
+def test_postings_and_single_words_are_made_in_place(spark, archive):
+    """Neither the postings nor the starts of one-word terms pass a shuffle of single positions."""
+    built = search.postings(archive.search_documents)
+    assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString()
+    got = {(r.conversation_key, r.column, r.token): list(r.positions) for r in built.collect()}
+    want = {}
+    for r in archive.search_documents.collect():
+        for column in ("title", "body"):
+            for at, word in enumerate(fold_py(r[column])):
+                want.setdefault((r.conversation_key, column, word), []).append(at)
+    assert got == want
+    asked = search.search_terms(spark.createDataFrame([(1, "be foo-b"), (2, "alpha")], "query_id int, search string"))
+    hits = search.term_hits(search.term_words(asked), archive.postings)
+    grouped = hits._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "explode(starts" in grouped and "aggregate [query_id, term_no, conversation_key, column, start" not in grouped
+    texts = {r.conversation_key: {"title": fold_py(r.title), "body": fold_py(r.body)} for r in archive.search_documents.collect()}
+    expected = {
+        (q, no, key, column, at) for q, no, term in ((1, 0, ["be"]), (1, 1, ["foo", "b"]), (2, 0, ["alpha"]))
+        for key, columns in texts.items() for column, words in columns.items() for at in range(len(words))
+        if words[at:at + len(term) - 1] == term[:-1] and len(words) >= at + len(term) and words[at + len(term) - 1].startswith(term[-1])
+    }
+    rows = [tuple(r) for r in hits.select("query_id", "term_no", "conversation_key", "column", "start").collect()]
+    assert set(rows) == expected and len(rows) == len(expected) > 3
