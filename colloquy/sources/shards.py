@@ -325,6 +325,29 @@ def file_pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
     return pieces(fixed_splits(spark).read.text(paths, lineSep="}"))
 
 
+def text_pieces(texts: DataFrame, split_bytes: int) -> DataFrame:
+    """Pieces of shards that are rows ``(shard_name, text)``, as files of theirs cut after about ``split_bytes`` would give them.
+
+    A row is a whole split, so neither files nor a listing are needed for each shard.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw, start = (text.as_py() or "").encode("utf-8", "surrogatepass"), 0
+                while start < len(raw):
+                    brace = raw.find(b"}", start + split_bytes - 1)
+                    end = len(raw) if brace < 0 else brace + 1
+                    # The brace that ends a split isn't part of its piece.
+                    piece = raw[start:end - 1] if raw[end - 1:end] == b"}" else raw[start:end]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name], pa.string()), pa.array([start], pa.int64()), pa.array([split_bytes], pa.int64()),
+                         pa.array([piece], pa.binary())], names=["shard_name", "block", "length", "piece"])
+                    start = end
+
+    return texts.select("shard_name", "text").mapInArrow(cut, "shard_name string, block bigint, length bigint, piece binary")
+
+
 def scan(read: DataFrame, depth_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Records ``(shard_name, shard_ordinal, record)`` of the pieces, and shards ``(shard_name, reason)`` that are refused.
 

@@ -205,3 +205,23 @@ def test_no_shards_is_refused(spark, tmp_path):
     (tmp_path / "other.txt").write_text("x")
     with pytest.raises(ValueError, match="not a supported export"):
         listing.require_supported(listing.list_files(spark, str(tmp_path)))
+
+
+@pytest.mark.parametrize("split_bytes", [1, 7, 60, 1 << 20])
+def test_shards_as_rows_scan_like_files(spark, export, split_bytes):
+    texts = spark.createDataFrame(list({**GOOD, **BAD}.items()), "shard_name string, text string").repartition(3)
+    records, bad = shards.scan(shards.text_pieces(texts, split_bytes))
+    in_files, bad_files = scanned(spark, [f"{export}/{n}" for n in {**GOOD, **BAD}], 1 << 20)
+    assert sorted(map(tuple, bad.collect())) == sorted(map(tuple, bad_files.collect()))
+    got = elements(records)
+    assert got == elements(in_files) and len(got) == records.count() > 60
+
+
+def test_registered_scan_writes_no_file_per_shard(spark, tmp_path):
+    from colloquy.plans import table_queries
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(600)], "doc_id bigint, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    read = table_queries._shard_pieces(spark, str(tmp_path))
+    assert read.select("shard_name").distinct().count() == 60 and len(read.inputFiles()) < 20
+    assert table_queries._malformed(spark, str(tmp_path)).count() == 30
