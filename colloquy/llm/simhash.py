@@ -43,7 +43,10 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int) -> int:
     """Bits that are set in over half the hashes; no word at all gives zero."""
-    hashes = shingle_hashes(text, size)
+    return fingerprint_of(shingle_hashes(text, size))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     counts = np.zeros(BITS, np.int64)

@@ -171,3 +171,22 @@ def test_components_of_a_chain_and_a_star(spark):
     rows = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     got = {r.node: r.component for r in rows}
     assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1300), 1000)} and len(rows) == len(got)
+
+
+def test_simhash_is_the_first_round_of_near_copies(spark, docs_of, monkeypatch):
+    """Copies with a word changed meet by their fingerprints; what those join is verified in that round."""
+    words = [f"w{i}" for i in range(900)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1] + ["other"])), (3, " ".join(f"v{i}" for i in range(900)))]
+    found, alike = [], near_copies._alike
+
+    def spied(nodes):
+        found.append(alike(nodes))
+        pairs = {(r.a, r.b) for r in found[-1].collect()}
+        marks = {r.node: r.fp for r in nodes.collect()}
+        near = {(a, b) for a in marks for b in marks if a < b and ((marks[a] ^ marks[b]) & (1 << 64) - 1).bit_count() <= 2}
+        assert pairs == near and len(near) == 1
+        return found[-1]
+
+    monkeypatch.setattr(near_copies, "_alike", spied)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(rows)).collect()}
+    assert found and got == {1: 1, 2: 1, 3: 3}
