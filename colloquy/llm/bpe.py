@@ -4,6 +4,9 @@ Short words hold their parts and the ranks of adjacent parts in contiguous array
 smallest rank is found by a scan, its boundary deleted and the ranks on both sides
 refreshed.  Words of equal length do this together, as the rows of one matrix.  Long
 words take the same merges from a heap of ranks.
+
+A column of texts is cut at its spaces by Arrow, and each distinct piece and word is
+merged once; no table of words outlives a few megabytes of text.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +43,8 @@ _RUNS = ("  ", "\n ", "\t ", "\r ")
 
 SHORT_BYTES = 48
 CACHED_WORDS = 500_000
-BATCH_ROWS = 1024
-_NONE = 1 << 40
+COLUMN_BYTES = 4 << 20
+_NONE = np.iinfo(np.int32).max
 
 
 def split_words(text: str) -> list[str]:
@@ -93,49 +97,61 @@ class Codec:
             pairs.append(vocabulary[left] << 32 | vocabulary[right])
             merged.append(vocabulary[left + right])
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
-        self.merged = np.array(merged, np.int64)
+        self.merged = np.array(merged, np.int32)
         by_pair = np.argsort(np.array(pairs, np.int64))
-        self.pairs, self.pair_ranks = np.array(pairs, np.int64)[by_pair], by_pair
-        self.byte_array = np.array(self.byte_ids, np.int64)
+        self.pairs, self.pair_ranks = np.array(pairs, np.int64)[by_pair], by_pair.astype(np.int32)
+        self.byte_array = np.array(self.byte_ids, np.int32)
+        each = self.byte_array.astype(np.int64)
+        self.byte_pair_ranks = self._rank(np.repeat(each, 256), np.tile(each, 256))
         # Ids as little-endian 32-bit numbers.
         self.words: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
-        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        special = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
+        self.cut = re.compile(special) if special else None
+        # Texts that are not cut at every space and nowhere else.
+        self.odd = "|".join(filter(None, (_NOT_PLAIN.pattern, *_RUNS, special)))
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        wanted = left << 32 | right
+        wanted = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == wanted, self.pair_ranks[at], _NONE)
+        return np.where(self.pairs[at] == wanted, self.pair_ranks[at], np.int32(_NONE))
 
-    def merge_equal(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words of one length.  Each pass deletes one boundary of every word that still has a merge."""
-        parts = self.byte_array[np.frombuffer(b"".join(words), np.uint8)].reshape(len(words), -1)
-        out: list = [None] * len(words)
-        rows = np.arange(len(words))
-        near = self._rank(parts[:, :-1], parts[:, 1:])
+    def merge_rows(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Groups ``(rows, ids)`` of a matrix of bytes, a word a row.  Each pass deletes one boundary of every word that still has a merge."""
+        parts, rows = self.byte_array[raw], np.arange(len(raw))
+        near = self.byte_pair_ranks[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]]
         while len(rows):
+            each = np.arange(len(rows))
             if parts.shape[1] == 1:
-                least = np.full(len(rows), _NONE)
-            else:
-                at = near.argmin(axis=1)
-                least = near[np.arange(len(rows)), at]
-            over = least == _NONE
-            step, raw = 4 * parts.shape[1], parts[over].astype("<i4").tobytes()
-            for at_byte, row in enumerate(rows[over].tolist()):
-                out[row] = raw[at_byte * step:(at_byte + 1) * step]
-            rows, parts, near = rows[~over], parts[~over], near[~over]
-            if not len(rows):
-                break
-            at, least = at[~over], least[~over]
-            each, width = np.arange(len(rows)), parts.shape[1] - 1
+                yield rows, parts
+                return
+            at = near.argmin(axis=1)
+            least = near[each, at]
+            if (over := least == _NONE).any():
+                yield rows[over], parts[over]
+                rows, parts, near, at, least = (x[~over] for x in (rows, parts, near, at, least))
+                if not len(rows):
+                    return
+                each = np.arange(len(rows))
+            width = parts.shape[1] - 1
             parts[each, at] = whole = self.merged[least]
-            kept = np.arange(width)
-            parts = np.take_along_axis(parts, kept + (kept > at[:, None]), axis=1)
-            kept = np.arange(width - 1)
-            near = np.take_along_axis(near, kept + (kept >= at[:, None]), axis=1)
+            stays = np.ones(parts.shape, bool)
+            stays[each, at + 1] = False
+            parts = parts[stays].reshape(len(rows), width)
+            stays = np.ones(near.shape, bool)
+            stays[each, at] = False
+            near = near[stays].reshape(len(rows), width - 1)
             left, right = each[at > 0], each[at < width - 1]
             near[left, at[left] - 1] = self._rank(parts[left, at[left] - 1], whole[left])
             near[right, at[right]] = self._rank(whole[right], parts[right, at[right] + 1])
+
+    def merge_equal(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of one length."""
+        out: list = [None] * len(words)
+        for rows, ids in self.merge_rows(np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)):
+            step, raw = 4 * ids.shape[1], ids.astype("<i4").tobytes()
+            for at, row in enumerate(rows.tolist()):
+                out[row] = raw[at * step:(at + 1) * step]
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -223,6 +239,67 @@ class Codec:
             out.append(np.frombuffer(raw, "<i4"))
         return out
 
+    def _merge_all(self, words: pa.Array) -> pa.Array:
+        """Lists of the ids of distinct words."""
+        _, ends, data = words.buffers()
+        ends = np.frombuffer(ends, np.int32)[:len(words) + 1] if len(words) else np.zeros(1, np.int32)
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        starts, lengths = ends[:-1], np.diff(ends)
+        by_length = np.argsort(lengths, kind="stable")
+        widths, firsts = np.unique(lengths[by_length], return_index=True)
+        counts, found = np.zeros(len(words), np.int64), []
+        for width, rows in zip(widths.tolist(), np.split(by_length, firsts[1:])):
+            if width > SHORT_BYTES:
+                groups = ((rows[i:i + 1], np.frombuffer(self.merge_long(data[a:a + width].tobytes()), "<i4")[None])
+                          for i, a in enumerate(starts[rows].tolist()))
+            else:
+                groups = ((rows[own], ids) for own, ids in self.merge_rows(data[starts[rows][:, None] + np.arange(width)]))
+            for own, ids in groups:
+                counts[own] = ids.shape[1]
+                found.append((own, ids))
+        offsets = np.concatenate(([0], np.cumsum(counts)))
+        flat = np.empty(offsets[-1], np.int32)
+        for own, ids in found:
+            flat[offsets[own][:, None] + np.arange(ids.shape[1])] = ids
+        return pa.ListArray.from_arrays(offsets.astype(np.int32), flat)
+
+    def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_column`` of texts in which every space starts a word."""
+        cut = pc.split_pattern(texts, " ")
+        starts = cut.offsets.to_numpy()
+        pieces = cut.flatten().dictionary_encode()
+        items, distinct = pieces.indices.to_numpy().astype(np.int32), pieces.dictionary
+        # Steps: pieces that are one word, other pieces, and the texts' first pieces, which follow no space.
+        first = pc.take(distinct, pa.array(items[starts[:-1]])).dictionary_encode()
+        alone = pc.utf8_is_alpha(distinct)
+        is_alone = alone.to_numpy(zero_copy_only=False)
+        rest = [_PLAIN.findall(" " + piece) for piece in distinct.filter(pc.invert(alone)).to_pylist()]
+        rest += map(_PLAIN.findall, first.dictionary.to_pylist())
+        n, n_alone = len(distinct), int(is_alone.sum())
+        step = np.where(is_alone, np.cumsum(is_alone) - 1, n_alone + np.cumsum(~is_alone) - 1).astype(np.int32)[items]
+        step[starts[:-1]] = n + first.indices.to_numpy()
+        spaced = pc.binary_join_element_wise("", distinct.filter(alone), " ")
+        words = pa.concat_arrays([spaced, pa.array(list(chain.from_iterable(rest)), pa.string())]).dictionary_encode()
+        ids = self._merge_all(words.dictionary).take(words.indices)
+        ends = np.concatenate((np.arange(n_alone + 1), n_alone + np.cumsum([len(x) for x in rest], dtype=np.int64)))
+        steps = pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy()[ends], pa.int32()), ids.flatten())
+        found = steps.take(pa.array(step))
+        return found.flatten().to_numpy(), found.offsets.to_numpy()[starts].astype(np.int64)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (and the last one's end)."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._encode_plain(texts)
+        ids, ends = self._encode_plain(texts.filter(pa.array(~odd)))
+        out: list = [None] * len(odd)
+        for at, own in zip(np.flatnonzero(~odd).tolist(), np.split(ids, ends[1:-1])):
+            out[at] = own
+        for at, own in zip(np.flatnonzero(odd).tolist(), self.encode_batch(texts.filter(pa.array(odd)).to_pylist())):
+            out[at] = own
+        return np.concatenate(out), np.concatenate(([0], np.cumsum([len(x) for x in out])))
+
     def forget(self) -> None:
         """Drop the known words: a worker that waits for another job holds no memory for them."""
         self.words, self.spaced = {}, {}
@@ -240,6 +317,18 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches ``(id, text)`` cut into ones of a few megabytes of text; a longer text is one of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < batch.num_rows:
+            before = ends[at] - sizes[at]
+            to = max(at + 1, int(np.searchsorted(ends, before + COLUMN_BYTES, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 @lru_cache(maxsize=2)
 def codec(path: str | None = None) -> Codec:
     """The codec of a worker process; without a path, the vocabulary installed on that machine."""
@@ -252,11 +341,10 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, id_column: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                ids = pa.array(own.encode_batch(part.column(1).to_pylist()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), ids], names=["doc_id", "ids"])
+        for part in text_slices(batches):
+            ids, ends = own.encode_column(part.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], names=["doc_id", "ids"])
         own.forget()
 
     return docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(
@@ -287,14 +375,14 @@ def round_trips(docs: DataFrame, vocabulary: str | None = None, id_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         written = {i: str(i) for i in own.token_bytes}
-        for batch in batches:
+        for batch in text_slices(batches):
             counts, ids_digests, text_digests = [], [], []
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                for ids in own.encode_batch(batch.column(1).slice(at, BATCH_ROWS).to_pylist()):
-                    ids = ids.tolist()
-                    counts.append(len(ids))
-                    ids_digests.append(hashlib.sha256(",".join(map(written.__getitem__, ids)).encode()).hexdigest())
-                    text_digests.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+            flat, ends = own.encode_column(batch.column(1))
+            for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                ids = flat[start:end].tolist()
+                counts.append(len(ids))
+                ids_digests.append(hashlib.sha256(",".join(map(written.__getitem__, ids)).encode()).hexdigest())
+                text_digests.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()),
                  pa.array(text_digests, pa.string())],

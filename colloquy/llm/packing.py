@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.bpe import BATCH_ROWS, codec
+from colloquy.llm.bpe import codec, text_slices
 from colloquy.llm.common import stored, table, tidy
 
 SIZE = 1024
@@ -37,24 +37,23 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = codec(vocabulary), np.array([END], "<i4")
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                rows, arrays = [], []
-                for doc, ids in zip(part.column(0).to_pylist(), own.encode_batch(part.column(1).to_pylist())):
-                    ids = np.concatenate((ids, end))
-                    for piece, (start, length) in enumerate(cut(len(ids), size)):
-                        own_ids = ids[start:start + length]
-                        rows.append((doc, piece, start, length, zlib.crc32(own_ids.tobytes())))
-                        if with_ids:
-                            arrays.append(own_ids)
-                columns = [pa.array([r[i] for r in rows], kind) for i, kind in
-                           enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.array(arrays, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for part in text_slices(batches):
+            rows, arrays = [], []
+            flat, ends = own.encode_column(part.column(1))
+            for doc, first, last in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                ids = np.concatenate((flat[first:last].astype("<i4", copy=False), end))
+                for piece, (start, length) in enumerate(cut(len(ids), size)):
+                    own_ids = ids[start:start + length]
+                    rows.append((doc, piece, start, length, zlib.crc32(own_ids)))
+                    if with_ids:
+                        arrays.append(own_ids)
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in
+                       enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns.append(pa.array(arrays, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
         own.forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids

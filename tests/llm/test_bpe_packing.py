@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -50,6 +51,34 @@ def test_tables_of_known_words_are_emptied(monkeypatch, library):
     assert len(own.words) + len(own.spaced) < 40
 
 
+def test_columns_equal_the_library(library):
+    own, rng = bpe.Codec(bpe.default_vocabulary()), random.Random(3)
+    letters = " eéª_µ'9.,\n"
+    texts = TEXTS + [" ", "a ", "\na"] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    for column in (texts, [None, ""], [], [t for t in texts if t and t.isascii()]):
+        ids, ends = own.encode_column(pa.array(column, pa.string()))
+        assert len(ends) == len(column) + 1 and ends[-1] == len(ids)
+        for text, start, end in zip(column, ends, ends[1:]):
+            assert ids[start:end].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_words_of_a_column_are_merged_once_and_not_kept(monkeypatch):
+    own, merged = bpe.Codec(bpe.default_vocabulary()), []
+    rows = own.merge_rows
+    monkeypatch.setattr(own, "merge_rows", lambda raw: merged.extend(map(bytes, raw)) or rows(raw))
+    own.encode_column(pa.array([f"some word{'abc'[i % 3]} again, some word{'abc'[i % 3]}" for i in range(500)]))
+    assert len(merged) == len(set(merged)) == 7 and not own.words and not own.spaced
+
+
+def test_slices_of_texts_hold_every_row(monkeypatch):
+    monkeypatch.setattr(bpe, "COLUMN_BYTES", 10)
+    texts = ["abc", None, "d" * 30, "", "efgh", "ijkl", "mnop", "é" * 4]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["i", "t"])
+    slices = list(bpe.text_slices([batch.slice(0, 0), batch]))
+    assert [t for s in slices for t in s.column(1).to_pylist()] == texts
+    assert all(s.num_rows == 1 or sum(len((t or "").encode()) for t in s.column(1).to_pylist()) <= 10 for s in slices)
+
+
 def test_operators(docs_of, library):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0])]
     docs = docs_of(rows).selectExpr("*", "1 AS ids", "2 AS n_tokens", "3 AS i")
