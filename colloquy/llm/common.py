@@ -50,13 +50,14 @@ def _give_back() -> None:
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A ``mapInArrow`` function after which its worker returns freed memory to the system.
+    """A ``mapInArrow`` function before and after which its worker returns freed memory to the system.
 
     Workers serve the next jobs too, and an executor's limit counts what they hold.
     """
 
     @functools.wraps(run)
     def tidied(batches: Iterator) -> Iterator:
+        _give_back()
         try:
             yield from run(batches)
         finally:
@@ -65,6 +66,32 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``tidy`` for ``applyInArrow`` on groups: after each of them."""
+
+    @functools.wraps(run)
+    def tidied(rows: pa.Table) -> pa.Table:
+        try:
+            return run(rows)
+        finally:
+            _give_back()
+
+    return tidied
+
+
+def tidy_cogroup(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``tidy`` for ``applyInArrow`` on cogroups: after each of them."""
+
+    @functools.wraps(run)
+    def tidied(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            _give_back()
+
+    return tidied
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that the table doesn't have yet."""
     taken, name, n = {c.lower() for c in df.columns}, stem, 0

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import stored, table, tidy
+from colloquy.llm.common import stored, table, tidy, tidy_cogroup, tidy_group
 from colloquy.llm.windows import BUFFER, Rolling, mixed, window_samples
 from colloquy.session import scratch_path
 
@@ -118,8 +118,9 @@ class Suffixes:
             low, high = self.low[at], self.high[at]
             begin = np.repeat(low - np.concatenate(([0], np.cumsum(high - low)[:-1])), high - low)
             begin += np.arange(len(begin))
-            for base in range(0, len(text) - self.size + 1, BUFFER):
-                here = begin[(begin >= base) & (begin < base + BUFFER)]
+            bases = range(0, len(text) - self.size + 1, BUFFER)
+            cuts = np.searchsorted(begin, [*bases, len(text)])
+            for base, here in zip(bases, map(lambda a, b: begin[a:b], cuts, cuts[1:])):
                 if not len(here):
                     continue
                 data = np.frombuffer(text[base:base + BUFFER + self.size - 1], np.uint8)
@@ -396,11 +397,11 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", t
 
     texts = texts.select("chunk", "data")
     asked = texts.mapInArrow(tidy(first_requests(inner_id, inner_text, size, hot, buckets)), MESSAGE)
-    first = stored(asked.groupBy("bucket").applyInArrow(first_pass(buckets), MESSAGE), "windows-first")
+    first = stored(asked.groupBy("bucket").applyInArrow(tidy_group(first_pass(buckets)), MESSAGE), "windows-first")
     windows = texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(
-        second_requests(inner_id, inner_text, size, hot, buckets), MESSAGE
+        tidy_cogroup(second_requests(inner_id, inner_text, size, hot, buckets)), MESSAGE
     )
-    second = stored(windows.groupBy("bucket").applyInArrow(second_pass, MESSAGE), "windows-second")
+    second = stored(windows.groupBy("bucket").applyInArrow(tidy_group(second_pass), MESSAGE), "windows-second")
 
     if digests:
         def finish(rows: pa.Table | None, cuts: list) -> pa.Table:
@@ -420,7 +421,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", t
 
         result = plain.schema
     out = texts.groupBy("chunk").cogroup(first.union(second).groupBy("chunk")).applyInArrow(
-        removal(inner_id, inner_text, size, hot, buckets, finish), result
+        tidy_cogroup(removal(inner_id, inner_text, size, hot, buckets, finish)), result
     )
     return out if digests else out.toDF(*columns)
 

@@ -6,7 +6,8 @@ from functools import lru_cache
 
 import numpy as np
 
-BUFFER = 1 << 20
+# A worker keeps two tables of this many powers for each of four seeds.
+BUFFER = 1 << 17
 _POSITION = np.uint64((1 << 24) - 1)
 
 

@@ -1,9 +1,10 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
-from colloquy.llm import suffix_dedup, windows
+from colloquy.llm import common, suffix_dedup, windows
 
 SIZE = 50
 
@@ -62,6 +63,16 @@ def test_text_longer_than_a_buffer(docs_of, monkeypatch):
     assert got[1][2:4] == (0, 0) and got[2][1:4] == (120_002, 120_000, 1) and got[3][2] == len(long)
 
 
+def test_workers_keep_little_memory(monkeypatch):
+    # Seeds of the four hashes; the tables of all stay in every worker process.
+    assert sum(x.nbytes for seed in (1, 7, 11, 13) for x in windows._powers(seed)) < 16 << 20
+    calls = []
+    monkeypatch.setattr(common, "_give_back", lambda: calls.append(1))
+    one = pa.table({"a": [1]})
+    assert common.tidy_group(lambda rows: rows)(one) is one and common.tidy_cogroup(lambda a, b: b)(None, one) is one
+    assert list(common.tidy(iter)([1, 2])) == [1, 2] and len(calls) == 4
+
+
 def test_empty_table_and_clashing_columns(spark, docs_of):
     assert found(docs_of(sample()).limit(0)) == []
     docs = docs_of(sample()).selectExpr("*", "1 AS kind", "2 AS chunk", "3 AS data", "4 AS c0")
