@@ -133,3 +133,14 @@ def test_text_whose_prefix_ends_inside_a_character(spark):
     kinds = {r.name: r.preview_kind for r in A.classify_files(files).collect()}
     assert kinds == {**{f"file-{i}.dat": "text" for i in range(6)}, "file-9.dat": "unsupported"}
     assert A.read_text_files(files).count() == 6
+
+
+def test_text_is_judged_by_the_control_bytes_it_has(spark):
+    cases = [b"plain", b"", "日本語 é".encode(), b"a" * 19 + b"\x01", b"a" * 18 + b"\x01", "é".encode() * 19 + b"\x01\x7f",
+             b"ok\x00", b"\xff\xfe bad", b"\t\n\r" * 9, b"\x1b" * 3]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, prefix binary")
+    judged = A.looks_like_text(F.col("prefix"))
+    got = [r.t for r in rows.select("i", judged.alias("t")).orderBy("i").collect()]
+    assert got == [True, True, True, True, False, True, False, False, True, False]
+    # No pass replaces every ordinary character: whole texts go through here.
+    assert "[^" not in str(judged)
