@@ -190,3 +190,38 @@ def test_simhash_is_the_first_round_of_near_copies(spark, docs_of, monkeypatch):
     monkeypatch.setattr(near_copies, "_alike", spied)
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(rows)).collect()}
     assert found and got == {1: 1, 2: 1, 3: 3}
+
+
+def test_parities_never_rule_out_a_similar_pair(monkeypatch):
+    rng = np.random.default_rng(9)
+    ruled_out = 0
+    for bits in (16, 7):
+        monkeypatch.setattr(near_copies, "PARITY_BITS", bits)
+        for _ in range(1500):
+            base = np.unique(rng.integers(0, 1 << 64, int(rng.integers(0, 900)), dtype=np.uint64))
+            other = np.unique(np.concatenate((base[rng.random(len(base)) < rng.uniform(0.6, 1)], rng.integers(0, 1 << 64, int(rng.integers(0, 60)), dtype=np.uint64))))
+            least = near_copies._differing(near_copies._parities(base), near_copies._parities(other))
+            assert least <= len(np.setxor1d(base, other))
+            far = least * 1.8 > 0.2 * (len(base) + len(other)) + 1e-6
+            ruled_out += far
+            assert not (far and len(base) + len(other) and near_copies._similar(base, other, 0.8))
+    assert ruled_out > 300
+
+
+def test_sets_are_fetched_for_pairs_that_are_similar(docs_of, monkeypatch):
+    """Long texts that share half of their passages meet in buckets; their sets are not fetched for it."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    shared = [rng.choice(words) for _ in range(900)]
+    rows = [(i, " ".join(shared + [rng.choice(words) for _ in range(900)])) for i in range(8)]
+    rows += [(100 + i, t.replace(" ", " more ", 9)) for i, t in rows[:2]]
+    asked, verified = [], near_copies._verified
+
+    def spied(pairs, sets, similarity):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return verified(pairs, sets, similarity)
+
+    monkeypatch.setattr(near_copies, "_verified", spied)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(rows)).collect()}
+    assert got == {**{i: i for i in range(8)}, 100: 0, 101: 1}
+    assert len(set(asked)) == 2
