@@ -83,7 +83,8 @@ class Suffixes:
             # A text longer than a buffer is sampled in stretches of window starts.
             for base in range(0, max(0, len(text) - size + 1), BUFFER):
                 data = np.frombuffer(text[base:base + BUFFER + size - 1], np.uint8)
-                keys = Rolling(data, 1).every(KEY)
+                hashes = Rolling(data, 1)
+                keys = hashes.every(KEY)
                 sample = window_samples(keys, size - KEY + 1)
                 change = np.flatnonzero(np.diff(sample)) + 1
                 low, high = np.concatenate(([0], change)), np.concatenate((change, [len(sample)]))
@@ -91,17 +92,16 @@ class Suffixes:
                 parts["low"].append(low + base)
                 parts["high"].append(high + base)
                 parts["key"].append(mixed(keys[sample[low]]))
-                parts["run"].append(Rolling(data, 7).spans(low, high + size - 1))
+                parts["run"].append(hashes.spans(low, high + size - 1))
         join = lambda name, kind: np.concatenate(parts[name]).astype(kind) if parts[name] else np.zeros(0, kind)
         self.doc, self.low, self.high = join("doc", np.int64), join("low", np.int64), join("high", np.int64)
         self.key, self.run = join("key", np.uint64), join("run", np.uint64)
 
     def digits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Different (key, run) with the chunk's smallest id of each; and the place of every suffix among them."""
-        order = np.lexsort((self.run, self.key))
+        order = sorted_pairs(self.key, self.run)
         key, run = self.key[order], self.run[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (run[1:] != run[:-1])
+        fresh = group_starts(key, run)
         starts = np.flatnonzero(fresh)
         owner = np.minimum.reduceat(self.ids[self.doc[order]], starts) if len(starts) else np.zeros(0, np.int64)
         place = np.empty(len(order), np.int64)
@@ -133,6 +133,17 @@ class Suffixes:
         return tuple(map(np.concatenate, (docs, starts, first, second)))
 
 
+def sorted_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """An order by two columns; only rows that tie in the first are sorted by the second."""
+    order = np.argsort(first)
+    same = ~group_starts(first[order])
+    tied = same.copy()
+    tied[:-1] |= same[1:]
+    rows = order[tied]
+    order[tied] = rows[np.lexsort((second[rows], first[rows]))]
+    return order
+
+
 def group_starts(*sorted_columns: np.ndarray) -> np.ndarray:
     fresh = np.ones(len(sorted_columns[0]), bool)
     fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
@@ -147,9 +158,15 @@ def key_buckets(key: np.ndarray, run: np.ndarray, hot: np.ndarray, buckets: int)
                     (key % np.uint64(buckets)).astype(np.int64))
 
 
+def by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """The stable order by bucket; numpy sorts 16-bit numbers by radix."""
+    small = not len(bucket) or bucket.max() < 1 << 16
+    return np.argsort(bucket.astype(np.uint16) if small else bucket, kind="stable")
+
+
 def _split(chunk: int, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """One message for each bucket; the order inside is kept."""
-    order = np.argsort(bucket, kind="stable")
+    order = by_bucket(bucket)
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for at in np.split(order, cuts) if len(order) else ():
         yield int(bucket[at[0]]), chunk, pack(*(c[at] for c in columns))
@@ -217,10 +234,10 @@ def first_pass(buckets: int) -> Callable:
         sizes = [len(p[0]) for p in parts]
         key, run, owner = (np.concatenate(c) for c in zip(*parts))
         owner = owner.astype(np.int64)
-        order = np.lexsort((owner, run, key))
+        order = sorted_pairs(key, run)
         k, r, o = key[order], run[order], owner[order]
         new_key, new_run = group_starts(k), group_starts(k, r)
-        least = o[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
+        least = np.minimum.reduceat(o, np.flatnonzero(new_run))[np.cumsum(new_run) - 1]
         at = np.flatnonzero(new_key)
         group = np.cumsum(new_key) - 1
         several = (np.add.reduceat(new_run.astype(np.int64), at) > 1) & (
@@ -245,7 +262,7 @@ def _chunk(texts: pa.Table, id_column: str, text_column: str, size: int) -> tupl
 
 def _answers(answers: pa.Table, bucket: np.ndarray) -> np.ndarray:
     """Put the answers of all buckets back into the order of the entries."""
-    order = np.argsort(bucket, kind="stable")
+    order = by_bucket(bucket)
     parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist()))
     joined = np.concatenate([np.frombuffer(zstandard.decompress(d), np.uint8) for _, d in parts] or [np.zeros(0, np.uint8)])
     out = np.empty(len(bucket), np.uint8)
@@ -264,9 +281,9 @@ def _decide(found: Suffixes, answers: pa.Table, hot: np.ndarray, buckets: int) -
 def _windows(found: Suffixes, asked: np.ndarray, buckets: int):
     """Different windows of a chunk with the smallest id of each, and the place of every asked window among them."""
     doc, start, first, second = found.windows(asked)
-    order = np.lexsort((second, first))
+    order = sorted_pairs(first, second)
     a, b = first[order], second[order]
-    fresh = group_starts(a, b) if len(a) else np.zeros(0, bool)
+    fresh = group_starts(a, b)
     at = np.flatnonzero(fresh)
     owner = np.minimum.reduceat(found.ids[doc[order]], at) if len(at) else np.zeros(0, np.int64)
     place = np.empty(len(order), np.int64)
@@ -293,10 +310,10 @@ def second_pass(messages: pa.Table) -> pa.Table:
     sizes = [len(p[0]) for p in parts]
     first, second, owner = (np.concatenate(c) for c in zip(*parts))
     owner = owner.astype(np.int64)
-    order = np.lexsort((owner, second, first))
+    order = sorted_pairs(first, second)
     o, fresh = owner[order], group_starts(first[order], second[order])
     codes = np.empty(len(order), np.uint8)
-    codes[order] = o > o[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    codes[order] = o > np.minimum.reduceat(o, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
     return _messages([
         (-1 - b, c, zstandard.compress(part.tobytes(), 1))
         for b, c, part in zip(messages.column("bucket").to_pylist(), messages.column("chunk").to_pylist(),
@@ -324,17 +341,19 @@ def removal(id_column: str, text_column: str, size: int, hot: np.ndarray, bucket
         rows, found = _chunk(texts, id_column, text_column, size)
         side = np.array(answers.column("bucket").to_pylist(), np.int64)
         whole, asked = _decide(found, answers.filter(pa.array(side >= 0)), hot, buckets)
-        covered = [np.zeros(max(0, len(t) - size + 1), bool) for t in found.texts]
-        for doc, low, high in zip(found.doc[whole].tolist(), found.low[whole].tolist(), found.high[whole].tolist()):
-            covered[doc][low:high] = True
+        # The windows of all documents in one array: those of document d are [at[d], at[d + 1]).
+        at = np.concatenate(([0], np.cumsum([max(0, len(t) - size + 1) for t in found.texts], dtype=np.int64)))
+        change = np.zeros(at[-1] + 1, np.int8)
+        change[at[found.doc[whole]] + found.low[whole]] += 1
+        change[at[found.doc[whole]] + found.high[whole]] -= 1
+        covered = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
         doc, start, first, _, owner, place, bucket = _windows(found, asked, buckets)
         second = answers.filter(pa.array(side < 0))
         second = second.set_column(0, "bucket", pa.array(-1 - side[side < 0], pa.int64()))
         code = _answers(second, bucket)
         repeated = (found.ids[doc] > owner[place]) | (code[place] == 1) if len(doc) else np.zeros(0, bool)
-        for d in np.unique(doc[repeated]).tolist():
-            covered[d][start[repeated & (doc == d)]] = True
-        return finish(rows, [cut_text(t, c, size) for t, c in zip(found.texts, covered)])
+        covered[at[doc[repeated]] + start[repeated]] = True
+        return finish(rows, [cut_text(t, covered[a:b], size) for t, a, b in zip(found.texts, at.tolist(), at[1:].tolist())])
 
     return run
 

@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-# A worker keeps two tables of this many powers for each of four seeds.
+# A worker keeps two tables of this many powers for each of three seeds.
 BUFFER = 1 << 17
 _POSITION = np.uint64((1 << 24) - 1)
 

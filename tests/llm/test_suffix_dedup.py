@@ -91,3 +91,26 @@ def test_window_sample_depends_on_the_window_only():
     for start in range(0, 300, 7):
         part = windows.Rolling(data[start:start + 50], 1).every(20)
         assert windows.window_samples(part, 31)[0] == whole[start] - start
+
+
+def test_digits_take_one_hash_table_a_text_and_sort_ties_only(monkeypatch):
+    made = []
+
+    class Counted(windows.Rolling):
+        def __init__(self, data, seed):
+            made.append(seed)
+            super().__init__(data, seed)
+
+    monkeypatch.setattr(suffix_dedup, "Rolling", Counted)
+    rows = [(i, t) for i, t in sample() if i is not None]
+    ids, texts = (pa.chunked_array([pa.array(c)]) for c in zip(*rows))
+    found = suffix_dedup.Suffixes(ids, texts, SIZE)
+    assert len(made) == sum(len((t or "").encode()) >= SIZE for _, t in rows)
+    key, run, owner, place, _ = found.digits()
+    pairs = list(zip(key.tolist(), run.tolist()))
+    assert pairs == sorted(set(zip(found.key.tolist(), found.run.tolist())))
+    assert (key[place] == found.key).all() and (run[place] == found.run).all()
+    least = {}
+    for d, k, r in zip(found.ids[found.doc].tolist(), found.key.tolist(), found.run.tolist()):
+        least[k, r] = min(d, least.get((k, r), d))
+    assert owner.tolist() == [least[p] for p in pairs] and len(set(key.tolist())) < len(key)
