@@ -6,12 +6,13 @@ import ctypes
 import functools
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.session import lasting, materialize
+from colloquy.session import lasting, materialize, sql_conf
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -41,7 +42,17 @@ def kept(df: DataFrame, label: str) -> DataFrame:
         return stored(df, label)
 
 
+def small_batches(spark: SparkSession) -> AbstractContextManager:
+    """For a job that is run inside: tables reach Python functions in batches of a few megabytes.
+
+    Ten thousand long texts, Spark's default, are tens of megabytes in the worker and twice
+    that beside the heap of the executor.
+    """
+    return sql_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000")
+
+
 def _give_back() -> None:
+    """Return freed memory to the system."""
     pa.default_memory_pool().release_unused()
     if sys.platform.startswith("linux"):
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.bpe import codec, text_slices
-from colloquy.llm.common import stored, table, tidy
+from colloquy.llm.common import small_batches, stored, table, tidy
 
 SIZE = 1024
 END = 2
@@ -138,7 +138,8 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, id_co
     Null and empty texts are one piece, the end mark.  Repeated rows are packed as often
     as they occur; other columns don't matter.  An empty table gives an empty result.
     """
-    cut_up = stored(pieces(docs, size, vocabulary, id_column, text_column, with_ids), "pack-pieces")
+    with small_batches(docs.sparkSession):
+        cut_up = stored(pieces(docs, size, vocabulary, id_column, text_column, with_ids), "pack-pieces")
     histogram = {r.length: r.n for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}
     planned, _ = plan(histogram, size)
     subs = max(16, sum(histogram.values()) // SUB_ROWS)

@@ -12,13 +12,17 @@ sorted, and only through the window.
 
 Digits are compared by hash: 128 bits for a run, 96 for a window.  Texts are stored once,
 in chunks that are bucketed in the shared folder; the passes shuffle packed digits only.
+
+A task holds one chunk: its texts where Arrow has them, 28 bytes a suffix and 12 bytes a
+window asked about.  Windows are ordered a share of the buckets at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +30,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import stored, table, tidy, tidy_cogroup, tidy_group
+from colloquy.llm import common
+from colloquy.llm.common import small_batches, stored, table, tidy, tidy_cogroup, tidy_group
 from colloquy.llm.windows import BUFFER, Rolling, mixed, window_samples
 from colloquy.session import scratch_path
 
 KEY = 20
 CHUNK_BYTES = 8 << 20
 GROUP_ENTRIES = 1_000_000
+# Windows of a chunk that are put in order at once, about.
+SHARE_WINDOWS = 500_000
+# Rows whose cut texts are made at once.
+CUT_ROWS = 1000
 # A key with more than this share of all suffixes is dealt by run; there are at most as many such keys.
 HOT_SHARE = 4000
 CHUNK_HOT = 64
@@ -67,8 +76,21 @@ def to_ipc(batches: list[pa.RecordBatch]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def from_ipc(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
+def from_ipc(data: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all()
+
+
+def byte_views(texts: pa.ChunkedArray) -> list[memoryview]:
+    """The bytes of each text where Arrow holds them; a null has none."""
+    out = []
+    for part in texts.cast(pa.large_binary()).chunks:
+        if len(part):
+            _, ends, data = part.buffers()
+            ends = np.frombuffer(ends, np.int64)[part.offset:part.offset + len(part) + 1]
+            stops = np.where(part.is_valid().to_numpy(zero_copy_only=False), ends[1:], ends[:-1])
+            data = memoryview(data or b"").cast("B")
+            out += [data[a:b] for a, b in zip(ends[:-1].tolist(), stops.tolist())]
+    return out
 
 
 class Suffixes:
@@ -77,7 +99,7 @@ class Suffixes:
     def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, size: int):
         self.size = size
         self.ids = ids.cast(pa.int64()).fill_null(NO_ID).to_numpy()
-        self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+        self.texts = byte_views(texts)
         parts: dict[str, list[np.ndarray]] = {name: [] for name in ("doc", "low", "high", "key", "run")}
         for doc, text in enumerate(self.texts):
             # A text longer than a buffer is sampled in stretches of window starts.
@@ -88,13 +110,18 @@ class Suffixes:
                 sample = window_samples(keys, size - KEY + 1)
                 change = np.flatnonzero(np.diff(sample)) + 1
                 low, high = np.concatenate(([0], change)), np.concatenate((change, [len(sample)]))
-                parts["doc"].append(np.full(len(low), doc))
-                parts["low"].append(low + base)
-                parts["high"].append(high + base)
+                # One text has less than 2^31 bytes, on the JVM and in a column of strings.
+                parts["doc"].append(np.full(len(low), doc, np.int32))
+                parts["low"].append((low + base).astype(np.int32))
+                parts["high"].append((high + base).astype(np.int32))
                 parts["key"].append(mixed(keys[sample[low]]))
                 parts["run"].append(hashes.spans(low, high + size - 1))
-        join = lambda name, kind: np.concatenate(parts[name]).astype(kind) if parts[name] else np.zeros(0, kind)
-        self.doc, self.low, self.high = join("doc", np.int64), join("low", np.int64), join("high", np.int64)
+
+        def join(name: str, kind: type) -> np.ndarray:
+            found = parts.pop(name)
+            return np.concatenate(found) if found else np.zeros(0, kind)
+
+        self.doc, self.low, self.high = join("doc", np.int32), join("low", np.int32), join("high", np.int32)
         self.key, self.run = join("key", np.uint64), join("run", np.uint64)
 
     def digits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,14 +135,14 @@ class Suffixes:
         place[order] = np.cumsum(fresh) - 1
         return key[starts], run[starts], owner, place, order
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Document, start and two hashes of each window bound to the chosen suffixes."""
-        docs, starts, first, second = [], [], [], []
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each window bound to the chosen suffixes, in their order."""
         chosen = np.flatnonzero(chosen)
+        n = int((self.high[chosen] - self.low[chosen]).sum(dtype=np.int64))
+        first, second, done = np.empty(n, np.uint64), np.empty(n, np.uint32), 0
         for at in np.split(chosen, np.flatnonzero(np.diff(self.doc[chosen])) + 1) if len(chosen) else ():
-            doc = self.doc[at[0]]
-            text = self.texts[doc]
-            low, high = self.low[at], self.high[at]
+            text = self.texts[self.doc[at[0]]]
+            low, high = self.low[at].astype(np.int64), self.high[at].astype(np.int64)
             begin = np.repeat(low - np.concatenate(([0], np.cumsum(high - low)[:-1])), high - low)
             begin += np.arange(len(begin))
             bases = range(0, len(text) - self.size + 1, BUFFER)
@@ -124,13 +151,10 @@ class Suffixes:
                 if not len(here):
                     continue
                 data = np.frombuffer(text[base:base + BUFFER + self.size - 1], np.uint8)
-                docs.append(np.full(len(here), doc))
-                starts.append(here)
-                first.append(Rolling(data, 11).spans(here - base, here - base + self.size))
-                second.append(Rolling(data, 13).spans(here - base, here - base + self.size) >> np.uint64(32))
-        if not docs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return tuple(map(np.concatenate, (docs, starts, first, second)))
+                to = slice(done, done := done + len(here))
+                first[to] = Rolling(data, 11).spans(here - base, here - base + self.size)
+                second[to] = Rolling(data, 13).spans(here - base, here - base + self.size) >> np.uint64(32)
+        return first, second
 
 
 def sorted_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -219,10 +243,14 @@ def first_requests(id_column: str, text_column: str, size: int, hot: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column(0), batch.column(1)):
-                rows = from_ipc(data.as_py())
+                rows = from_ipc(data)
                 key, run, owner, _, _ = Suffixes(rows.column(id_column), rows.column(text_column), size).digits()
-                bucket = key_buckets(key, run, hot, buckets)
-                yield from _messages(list(_split(chunk.as_py(), bucket, key, run, owner))).to_batches()
+                del rows
+                messages = list(_split(chunk.as_py(), key_buckets(key, run, hot, buckets), key, run, owner))
+                del key, run, owner
+                yield from _messages(messages).to_batches()
+                del messages
+                common._give_back()
 
     return run
 
@@ -256,7 +284,7 @@ def first_pass(buckets: int) -> Callable:
 
 
 def _chunk(texts: pa.Table, id_column: str, text_column: str, size: int) -> tuple[pa.Table, Suffixes]:
-    rows = from_ipc(texts.column("data")[0].as_py())
+    rows = from_ipc(texts.column("data")[0])
     return rows, Suffixes(rows.column(id_column), rows.column(text_column), size)
 
 
@@ -278,18 +306,37 @@ def _decide(found: Suffixes, answers: pa.Table, hot: np.ndarray, buckets: int) -
     return behind | (code[place] == 1), ~behind & (code[place] == 2)
 
 
-def _windows(found: Suffixes, asked: np.ndarray, buckets: int):
-    """Different windows of a chunk with the smallest id of each, and the place of every asked window among them."""
-    doc, start, first, second = found.windows(asked)
-    order = sorted_pairs(first, second)
-    a, b = first[order], second[order]
-    fresh = group_starts(a, b)
-    at = np.flatnonzero(fresh)
-    owner = np.minimum.reduceat(found.ids[doc[order]], at) if len(at) else np.zeros(0, np.int64)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(fresh) - 1
-    bucket = (mixed(a[at]) % np.uint64(buckets)).astype(np.int64)
-    return doc, start, a[at], b[at], owner, place, bucket
+def _windows(found: Suffixes, asked: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each share of the buckets: different windows of a chunk, their smallest ids and buckets; document, start and place of every asked window.
+
+    Equal windows have equal buckets, so a share needs no other; every bucket is in one share.
+    """
+    first, second = found.windows(asked)
+    asked = np.flatnonzero(asked)
+    ends = np.cumsum(found.high[asked] - found.low[asked], dtype=np.int64)
+    shares = min(buckets, -(-len(first) // SHARE_WINDOWS))
+    share = np.empty(len(first), np.uint16)
+    for at in range(0, len(first), SHARE_WINDOWS):
+        # Below 2^16 shares, a chunk would have to hold over 3 * 10^10 windows for more.
+        share[at:at + SHARE_WINDOWS] = window_buckets(first[at:at + SHARE_WINDOWS], buckets) * shares // buckets
+    for n in range(shares):
+        here = np.flatnonzero(share == n)
+        order = sorted_pairs(first[here], second[here])
+        at = here[order]
+        a, b = first[at], second[at]
+        fresh = group_starts(a, b)
+        starts = np.flatnonzero(fresh)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(fresh) - 1
+        suffix = np.searchsorted(ends, here, side="right")
+        doc, start = found.doc[asked[suffix]], found.high[asked[suffix]] - (ends[suffix] - here)
+        owner = np.minimum.reduceat(found.ids[doc[order]], starts) if len(starts) else np.zeros(0, np.int64)
+        a, b = a[starts], b[starts]
+        yield a, b, owner, window_buckets(a, buckets), doc, start, place
+
+
+def window_buckets(first: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(first) % np.uint64(buckets)).astype(np.int64)
 
 
 def second_requests(id_column: str, text_column: str, size: int, hot: np.ndarray, buckets: int) -> Callable:
@@ -298,8 +345,10 @@ def second_requests(id_column: str, text_column: str, size: int, hot: np.ndarray
             return _messages([])
         _, found = _chunk(texts, id_column, text_column, size)
         _, asked = _decide(found, answers, hot, buckets)
-        _, _, first, second, owner, _, bucket = _windows(found, asked, buckets)
-        return _messages(list(_split(texts.column("chunk")[0].as_py(), bucket, first, second, owner)))
+        chunk, messages = texts.column("chunk")[0].as_py(), []
+        for first, second, owner, bucket, *_ in _windows(found, asked, buckets):
+            messages += _split(chunk, bucket, first, second, owner)
+        return _messages(messages)
 
     return run
 
@@ -321,7 +370,7 @@ def second_pass(messages: pa.Table) -> pa.Table:
     ])
 
 
-def cut_text(text: bytes, covered: np.ndarray, size: int) -> tuple[bytes, int, int]:
+def cut_text(text: bytes | memoryview, covered: np.ndarray, size: int) -> tuple[bytes | memoryview, int, int]:
     """The bytes outside the covered windows, how many went, and in how many runs."""
     if not covered.any():
         return text, 0, 0
@@ -346,28 +395,41 @@ def removal(id_column: str, text_column: str, size: int, hot: np.ndarray, bucket
         change = np.zeros(at[-1] + 1, np.int8)
         change[at[found.doc[whole]] + found.low[whole]] += 1
         change[at[found.doc[whole]] + found.high[whole]] -= 1
-        covered = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
-        doc, start, first, _, owner, place, bucket = _windows(found, asked, buckets)
+        # The runs of a document don't overlap: each window is in one.
+        covered = np.cumsum(change, dtype=np.int8, out=change)[:-1].view(bool)
         second = answers.filter(pa.array(side < 0))
         second = second.set_column(0, "bucket", pa.array(-1 - side[side < 0], pa.int64()))
-        code = _answers(second, bucket)
-        repeated = (found.ids[doc] > owner[place]) | (code[place] == 1) if len(doc) else np.zeros(0, bool)
-        covered[at[doc[repeated]] + start[repeated]] = True
-        return finish(rows, [cut_text(t, covered[a:b], size) for t, a, b in zip(found.texts, at.tolist(), at[1:].tolist())])
+        side = second.column("bucket").to_numpy()
+        for _, _, owner, bucket, doc, start, place in _windows(found, asked, buckets):
+            own = pa.array(np.isin(side, bucket))
+            code = _answers(second.filter(own), bucket)
+            repeated = (found.ids[doc] > owner[place]) | (code[place] == 1)
+            covered[at[doc[repeated]] + start[repeated]] = True
+        return finish(rows, (cut_text(t, covered[a:b], size) for t, a, b in zip(found.texts, at.tolist(), at[1:].tolist())))
 
     return run
 
 
-def _digests(rows: pa.Table | None, cuts: list, id_column: str, text_column: str) -> pa.Table:
+def _digests(rows: pa.Table | None, cuts: Iterable, id_column: str) -> pa.Table:
+    found = [(len(kept) + gone, gone, runs, hashlib.sha256(kept).hexdigest()) for kept, gone, runs in cuts]
+    numbers = [pa.array([row[i] for row in found], pa.int64()) for i in range(3)]
     return pa.table({
         "doc_id": (rows.column(id_column).cast(pa.int64()) if rows is not None else pa.array([], pa.int64())),
-        "n_bytes": pa.array([len(kept) + gone for kept, gone, _ in cuts], pa.int64()),
-        "n_removed": pa.array([gone for _, gone, _ in cuts], pa.int64()),
-        "n_spans": pa.array([runs for _, _, runs in cuts], pa.int64()),
-        "kept_sha256": pa.array([hashlib.sha256(kept).hexdigest() for kept, _, _ in cuts], pa.string()),
+        "n_bytes": numbers[0], "n_removed": numbers[1], "n_spans": numbers[2],
+        "kept_sha256": pa.array([row[3] for row in found], pa.string()),
     })
 
 
+def _with_cuts(rows: pa.Table, cuts: Iterable, text_column: str) -> pa.Table:
+    """The rows with what is left of their texts, made for some rows at a time; a null stays null."""
+    valid, parts = rows.column(text_column).is_valid().to_pylist(), []
+    pairs = zip(valid, cuts)
+    while some := list(islice(pairs, CUT_ROWS)):
+        parts.append(pa.array([str(kept, "utf-8", "ignore") if there else None for there, (kept, _, _) in some], pa.string()))
+    at = rows.column_names.index(text_column)
+    return rows.set_column(at, text_column, pa.chunked_array(parts, pa.string()))
+
+
 def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", text_column: str = "text",
                    digests: bool = False) -> DataFrame:
     """Remove each byte covered by a window of ``size`` bytes that also starts in a document with a smaller id.
@@ -390,11 +452,12 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", t
     volume = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     text_buckets = max(2, round(volume / CHUNK_BYTES))
     name = f"windows_{os.urandom(6).hex()}"
-    (
-        plain.mapInArrow(tidy(chunked(plain, inner_id, inner_text, size)), STORE)
-        .write.format("parquet").option("path", scratch_path(spark, "windows")).option("compression", "none")
-        .partitionBy("kind").bucketBy(text_buckets, "chunk").saveAsTable(name)
-    )
+    with small_batches(spark):
+        (
+            plain.mapInArrow(tidy(chunked(plain, inner_id, inner_text, size)), STORE)
+            .write.format("parquet").option("path", scratch_path(spark, "windows")).option("compression", "none")
+            .partitionBy("kind").bucketBy(text_buckets, "chunk").saveAsTable(name)
+        )
     kept = spark.table(name)
     texts = kept.where(F.col("kind") == TEXT).select("chunk", "data", "entries")
     entries = texts.agg(F.sum("entries")).first()[0] or 0
@@ -423,20 +486,15 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", t
     second = stored(windows.groupBy("bucket").applyInArrow(tidy_group(second_pass), MESSAGE), "windows-second")
 
     if digests:
-        def finish(rows: pa.Table | None, cuts: list) -> pa.Table:
-            return _digests(rows, cuts, inner_id, inner_text)
+        def finish(rows: pa.Table | None, cuts: Iterable) -> pa.Table:
+            return _digests(rows, cuts, inner_id)
 
         result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     else:
         empty = plain.limit(0).toArrow().schema
-        at = columns.index(text_column)
-
-        def finish(rows: pa.Table | None, cuts: list) -> pa.Table:
-            if rows is None:
-                return empty.empty_table()
-            before = rows.column(at).to_pylist()
-            texts = [None if old is None else kept.decode("utf-8", "ignore") for old, (kept, _, _) in zip(before, cuts)]
-            return rows.set_column(at, rows.column_names[at], pa.array(texts, pa.string()))
+
+        def finish(rows: pa.Table | None, cuts: Iterable) -> pa.Table:
+            return empty.empty_table() if rows is None else _with_cuts(rows, cuts, inner_text)
 
         result = plain.schema
     out = texts.groupBy("chunk").cogroup(first.union(second).groupBy("chunk")).applyInArrow(

@@ -114,3 +114,65 @@ def test_digits_take_one_hash_table_a_text_and_sort_ties_only(monkeypatch):
     for d, k, r in zip(found.ids[found.doc].tolist(), found.key.tolist(), found.run.tolist()):
         least[k, r] = min(d, least.get((k, r), d))
     assert owner.tolist() == [least[p] for p in pairs] and len(set(key.tolist())) < len(key)
+
+
+def chunk_of(rows):
+    return suffix_dedup.Suffixes(*(pa.chunked_array([pa.array(c)]) for c in zip(*rows)), SIZE)
+
+
+def test_windows_are_ordered_a_share_of_the_buckets_at_a_time(monkeypatch):
+    import numpy as np
+
+    found = chunk_of([(i, t) for i, t in sample() if i is not None])
+    asked = np.arange(len(found.doc)) % 3 > 0
+
+    def windows_of(share):
+        monkeypatch.setattr(suffix_dedup, "SHARE_WINDOWS", share)
+        shares = list(suffix_dedup._windows(found, asked, 7))
+        distinct = [row for a, b, owner, bucket, *_ in shares for row in zip(bucket.tolist(), a.tolist(), b.tolist(), owner.tolist())]
+        each = sorted(row for a, b, owner, bucket, doc, start, place in shares
+                      for row in zip(doc.tolist(), start.tolist(), a[place].tolist(), b[place].tolist()))
+        return len(shares), sorted(distinct), each
+
+    one, many = windows_of(10**9), windows_of(300)
+    assert (one[0], many[0]) == (1, 7) and one[1:] == many[1:]
+    raw = {(d, s): bytes(found.texts[d][s:s + SIZE]) for d, s, _, _ in one[2]}
+    assert len({(a, b) for _, _, a, b in one[2]}) == len(set(raw.values())) == len(one[1])
+    assert len(raw) == sum((found.high - found.low)[asked])
+
+
+def test_memory_of_a_chunk(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=20_000))) for i in range(50)]
+    monkeypatch.setattr(suffix_dedup, "SHARE_WINDOWS", 100_000)
+    found = chunk_of(rows)
+    tracemalloc.start()
+    try:
+        chunk_of(rows[:1])
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        for n, _ in enumerate(suffix_dedup._windows(found, np.ones(len(found.doc), bool), 40)):
+            pass
+        peak = tracemalloc.get_traced_memory()[1] - held
+    finally:
+        tracemalloc.stop()
+    # A million windows took over 100 bytes each when all were ordered at once.
+    assert n > 5 and peak < 40 * 1_000_000
+
+
+def test_texts_of_a_chunk_are_views():
+    texts = pa.chunked_array([pa.array(["x", None, "", "é" * 30]).slice(1), pa.array([], pa.string()), pa.array(["ab"], pa.string())])
+    assert [bytes(t) for t in suffix_dedup.byte_views(texts)] == [b"", b"", ("é" * 30).encode(), b"ab"]
+    assert all(isinstance(t, memoryview) for t in suffix_dedup.byte_views(texts.cast(pa.large_string())))
+
+
+def test_small_batches(spark, docs_of):
+    docs = docs_of([(i, "a") for i in range(2500)]).coalesce(1)
+    rows = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    with common.small_batches(spark):
+        assert max(r.n for r in docs.mapInArrow(rows, "n long").collect()) <= 1000
+    assert max(r.n for r in docs.mapInArrow(rows, "n long").collect()) > 1000
