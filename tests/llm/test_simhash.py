@@ -225,3 +225,48 @@ def test_sets_are_fetched_for_pairs_that_are_similar(docs_of, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(rows)).collect()}
     assert got == {**{i: i for i in range(8)}, 100: 0, 101: 1}
     assert len(set(asked)) == 2
+
+
+def test_order_counts_a_fixed_share_of_the_texts(docs_of, monkeypatch):
+    """In a table far beyond ``ORDER_TEXTS`` passages that many texts share still come last and make no crowds."""
+    monkeypatch.setattr(near_copies, "ORDER_TEXTS", 8)
+    monkeypatch.setattr(near_copies, "BUCKET_PAIRS", 8)
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(5000)]
+    passages = [[rng.choice(words) for _ in range(60)] for _ in range(10)]
+    rows = [(i, " ".join(passages[i % 10] + [rng.choice(words) for _ in range(60)])) for i in range(1200)]
+    rows += [(2000 + i, t + " end") for i, t in rows[:20]]
+    joined, crowds = [], near_copies._crowds
+
+    def spied(met):
+        found = crowds(met)
+        joined.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_copies, "_crowds", spied)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(rows)).select("doc_id", "component_id").collect() if r.doc_id != r.component_id}
+    assert got == {2000 + i: i for i in range(20)}
+    assert joined == [0]
+
+
+def test_most_frequent_takes_a_share_of_equal_counts(spark):
+    rows = spark.createDataFrame([(i, 9 if i < 50 else 5 if i < 5000 else 3) for i in range(9000)], "shingle long, n long").repartition(3)
+    found = {r.shingle: r.n for r in near_copies._most_frequent(rows, 1000).collect()}
+    assert set(range(50)) < set(found) and 800 < len(found) < 1100 and 3 not in found.values()
+    assert near_copies._most_frequent(rows, 9000).count() == 9000
+
+
+def test_large_crowds_meet_by_size(spark, monkeypatch):
+    """Only blocks whose sizes may be similar meet, and every pair of similar sizes does."""
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    rng = random.Random(14)
+    size = {i: rng.choice([1, 2, 4, 5, 100, 125, rng.randint(1, 3000)]) for i in range(200)} | {300: 7, 301: 900}
+    crowds = spark.createDataFrame([(i, int(i >= 300)) for i in size], "node long, crowd long")
+    sizes = spark.createDataFrame(list(size.items()), "node long, size long")
+    groups = {}
+    for r in near_copies._meetings(crowds, sizes, 0.8).collect():
+        groups.setdefault((r.crowd, r.low, r.high), set()).add(r.node)
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert all((a, b) in met for a in range(200) for b in range(a + 1, 200) if min(size[a], size[b]) >= 0.8 * max(size[a], size[b]))
+    assert sum(len(g) for g in groups.values()) < 200 * 13 / 2
+    assert [g for (crowd, _, _), g in groups.items() if crowd] == [{300, 301}]
