@@ -270,3 +270,23 @@ def test_large_crowds_meet_by_size(spark, monkeypatch):
     assert all((a, b) in met for a in range(200) for b in range(a + 1, 200) if min(size[a], size[b]) >= 0.8 * max(size[a], size[b]))
     assert sum(len(g) for g in groups.values()) < 200 * 13 / 2
     assert [g for (crowd, _, _), g in groups.items() if crowd] == [{300, 301}]
+
+
+def test_rows_without_an_id_are_compared(spark, docs_of):
+    """Near copies of them and over them are found; they name no component and stay."""
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(2000)]
+
+    def changed(text, at):
+        return " ".join(w if not at <= i < at + 4 else f"new{i}" for i, w in enumerate(text.split()))
+
+    first, second, third = (" ".join(rng.choice(words) for _ in range(120)) for _ in range(3))
+    rows = [(5, first), (None, changed(first, 10)), (7, changed(changed(first, 10), 60)), (None, second), (9, changed(second, 30)),
+            (None, third), (None, changed(third, 30)), (None, third), (None, "alone here"), (11, "alone there")]
+    sets = [near_copies.shingle_set(t) for _, t in rows]
+    similar = {(a, b) for a in range(len(rows)) for b in range(a) if near_copies._similar(sets[a], sets[b], 0.8)}
+    assert similar == {(1, 0), (2, 1), (4, 3), (6, 5), (7, 5), (7, 6)}
+    got = sorted(((r.doc_id, r.component_id) for r in near_copies.near_copies(docs_of(rows)).collect()), key=str)
+    assert got == sorted([(5, 5), (None, 5), (7, 5), (None, 9), (9, 9), (None, None), (None, None), (None, None), (None, None), (11, 11)], key=str)
+    left = near_copies.stage(spark, docs_of(rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted((row for row in rows if row[0] != 7), key=str)
