@@ -290,3 +290,14 @@ def test_rows_without_an_id_are_compared(spark, docs_of):
     assert got == sorted([(5, 5), (None, 5), (7, 5), (None, 9), (9, 9), (None, None), (None, None), (None, None), (None, None), (11, 11)], key=str)
     left = near_copies.stage(spark, docs_of(rows), "").collect()
     assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted((row for row in rows if row[0] != 7), key=str)
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 256])
+def test_few_texts_but_those_asked_for_are_dealt_out(docs_of, monkeypatch, bits):
+    monkeypatch.setattr(near_copies, "FILTER_BITS", bits)
+    rows = [(i if i % 3 else None, f"text {i}") for i in range(3000)] + [(1, "text 1"), (7, None)]
+    plain = docs_of(rows).selectExpr("doc_id AS i", "text AS t", "xxhash64(text) AS h")
+    asked = plain.where("t IN ('text 1', 'text 2', 'text 2997') OR t IS NULL").selectExpr("h AS hash")
+    found = sorted(((r.i, r.t) for r in near_copies._wanted(plain, asked).collect()), key=str)
+    assert {(1, "text 1"), (2, "text 2"), (None, "text 2997"), (7, None)} <= set(found) and found.count((1, "text 1")) == 2
+    assert len(found) < (10 if bits > 256 else 150)
